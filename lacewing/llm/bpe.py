@@ -309,8 +309,9 @@ def _extended(df: DataFrame, source: str, target: str, kind: T.DataType, make) -
         for batch in batches:
             begin, held, values = 0, 0, []
             for i, value in enumerate(batch.column(at)):
-                values.append(f(value.as_py()))
-                held += len(values[-1] or b"") + len(value) if value.is_valid else 0
+                value = value.as_py()
+                values.append(f(value))
+                held += len(value or ()) + len(values[-1] or ())
                 if held > BATCH_BYTES or i + 1 == batch.num_rows:
                     part = batch.slice(begin, i + 1 - begin)
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, arrow)], names=[*part.schema.names, target])

@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacewing.llm import bpe
+from lacewing.llm import bpe, chat, quality, secrets
+from lacewing.llm.common import cut
 
 #: The vocabulary of op1 and of the pipeline's last stage.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -40,8 +41,34 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole document."""
+    found = secrets.find_secrets(documents(spark, sf_dir)).withColumn("base", F.filter("spans", lambda x: x["kind"] < 3))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS[:3])]
+    base = F.sha2(secrets.shown(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, secrets.shown(F.col("spans")).alias("spans"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logged conversations, collapsed and rendered."""
+    return chat.render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts of every whole document, and verdicts that join in its host's."""
+    featured = cut(quality.features(documents(spark, sf_dir).select("doc_id", "text", "source")).drop("text"))
+    return quality.judge(featured).drop("source", "n_lines")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_secrets": op4_secrets,
+    "op5_chat": op5_chat,
+    "op7_quality": op7_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_chat": chat.ORACLE,
+    "op7_quality": quality.oracle(),
+}
