@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacewing.llm import bpe, chat, quality, secrets
+from lacewing.llm import bpe, chat, mixing, quality, secrets, sharding, simhash
 from lacewing.llm.common import cut
 
 #: The vocabulary of op1 and of the pipeline's last stage.
@@ -41,6 +41,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near-equal bytes; equal texts have one key."""
+    text = F.col("text")
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
+    rows = cut(documents(spark, sf_dir).select("doc_id", size.alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")))
+    out = sharding.shard(rows, 16, F.col("key"), F.col("size"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole document."""
     found = secrets.find_secrets(documents(spark, sf_dir)).withColumn("base", F.filter("spans", lambda x: x["kind"] < 3))
@@ -61,11 +70,26 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(featured).drop("source", "n_lines")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to their sources' weights."""
+    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_sharding": op2_sharding,
     "op4_secrets": op4_secrets,
     "op5_chat": op5_chat,
     "op7_quality": op7_quality,
+    "op8_simhash": op8_simhash,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLES: dict[str, str] = {
