@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacewing.llm import bpe, chat, mixing, quality, secrets, sharding, simhash
+from lacewing.llm import bpe, chat, media, mixing, quality, secrets, sharding, simhash, warc
 from lacewing.llm.common import cut
 
 #: The vocabulary of op1 and of the pipeline's last stage.
@@ -64,6 +64,14 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back; equal payloads are written once."""
+    folder = warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    number = lambda c: F.expr(f"cast(nullif(substr({c}, {len('urn:page:') + 1}), '') as bigint)")
+    found = warc.read_warc(spark, folder, payloads=False)
+    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts of every whole document, and verdicts that join in its host's."""
     featured = cut(quality.features(documents(spark, sf_dir).select("doc_id", "text", "source")).drop("text"))
@@ -82,14 +90,28 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes stored as the frames of a GIF, read back and summed up by their colours."""
+    rows = media.payloads(documents(spark, sf_dir).select("doc_id", "text"))
+    stored = media.read_gif(media.store_gif(rows.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "payload")).drop("payload"))
+    read = F.col("gif.samples")
+    feature = F.concat(F.col("gif.n_frames").cast("string"), F.lit("x"), F.array_join(F.transform("gif.delays", lambda x: x.cast("string")), "+"), F.lit(":"), F.array_join(F.col("gif.histogram").cast("array<string>"), ","))
+    return stored.select(
+        "doc_id", "n_bytes", F.octet_length(read).cast("long").alias("payload_bytes"), F.sha2(read, 256).alias("payload_sha256"), F.crc32(F.substring(read, -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
     "op4_secrets": op4_secrets,
     "op5_chat": op5_chat,
+    "op6_warc": op6_warc,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
+    "op10_media": op10_media,
 }
 
 ORACLES: dict[str, str] = {
