@@ -49,6 +49,11 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often body uses it, also where the optimizer moves the expression elsewhere."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
     """Join with a checkpointed side that is broadcast when its counted size allows it.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacewing.llm.common import PRE, SPACE, checked_join, replace_columns, words
+from lacewing.llm.common import PRE, checked_join, let, replace_columns, words
 
 #: Words of the windows whose repetition counts.
 WINDOW = 5
@@ -36,6 +36,17 @@ def _covered(positions: Column) -> Column:
     )
 
 
+def _repeated(windows: Column) -> Column:
+    """Words covered by windows whose hash occurs twice or more; only where one does are the windows sorted."""
+
+    def twice(s: Column) -> Column:
+        again = F.filter(s, lambda x, i: x["h"].eqNullSafe(F.get(s, i - 1)["h"]) | x["h"].eqNullSafe(F.get(s, i + 1)["h"]))
+        return _covered(F.array_sort(F.transform(again, lambda x: x["p"])))
+
+    placed = lambda h: F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+    return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), let(placed(h), twice)).otherwise(0))
+
+
 def features(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the counts that the rules need; all longs.
 
@@ -44,29 +55,22 @@ def features(df: DataFrame, text_col: str = "text") -> DataFrame:
     all counts are zero. Repeated rows are counted each by itself; existing columns of these names are replaced. One pass, no shuffle;
     only texts that repeat a window sort their windows.
     """
-    w, h, s = (PRE + x for x in ("words", "windows", "sorted"))
     df = replace_columns(df, *FEATURES)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = PRE + "lines"
-    df = df.withColumns({w: words(F.col(text_col)), lines: F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
-    window = F.transform(
-        F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(F.col(w), i + k) for k in range(WINDOW)])
-    )
-    df = df.withColumn(h, F.when(F.size(w) >= WINDOW, window).otherwise(F.array().cast("array<bigint>")))
-    pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
-    df = df.withColumn(s, F.when(F.size(F.array_distinct(h)) < F.size(h), pairs))
-    twice = F.filter(
-        s, lambda x, i: x["h"].eqNullSafe(F.get(F.col(s), i - 1)["h"]) | x["h"].eqNullSafe(F.get(F.col(s), i + 1)["h"])
-    )
+    text, w = F.coalesce(F.col(text_col), F.lit("")), words(F.col(text_col))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+    def windows(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
+
     counts = {
         "n_words": F.size(w),
         "word_chars": F.length(F.array_join(w, "")),
         "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")),
         "n_lines": F.size(lines),
-        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
-        "n_repeat_words": F.when(F.col(s).isNotNull(), _covered(F.array_sort(F.transform(twice, lambda x: x["p"])))).otherwise(0),
+        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
+        "n_repeat_words": let(w, lambda w: F.when(F.size(w) >= WINDOW, _repeated(windows(w))).otherwise(0)),
     }
-    return df.withColumns({name: count.cast("long") for name, count in counts.items()}).drop(w, h, s, lines)
+    return df.withColumns({name: count.cast("long") for name, count in counts.items()})
 
 
 def base_failed() -> Column:

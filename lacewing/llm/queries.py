@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacewing.llm import bpe, chat, media, mixing, quality, secrets, sharding, simhash, warc
+from lacewing.llm import bpe, chat, lines, media, mixing, quality, secrets, sharding, simhash, warc
 from lacewing.llm.common import cut
 
 #: The vocabulary of op1 and of the pipeline's last stage.
@@ -50,6 +50,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that another one has, or nearly has."""
+    return lines.deduplicate_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole document."""
     found = secrets.find_secrets(documents(spark, sf_dir)).withColumn("base", F.filter("spans", lambda x: x["kind"] < 3))
@@ -105,6 +110,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
+    "op3_lines": op3_lines,
     "op4_secrets": op4_secrets,
     "op5_chat": op5_chat,
     "op6_warc": op6_warc,
