@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import gc
+import struct
+import sys
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -24,6 +26,10 @@ from lacewing.llm.common import replace_columns
 
 #: Bounds of what a worker keeps: transitions of the machine, and (twice as many) whole words of at most LONGEST_KEPT characters.
 TRANSITIONS_KEPT, WORDS_KEPT, LONGEST_KEPT = 120_000, 250_000, 40
+#: A rank above all.
+LAST = 1 << 40
+#: Tokens below a node up to which paths are reduced; marks in the place of the token before.
+FEW, ANY, NEVER = 1, -2, -3
 #: A batch is handed on to Spark when its output reaches this many bytes.
 BATCH_BYTES = 8 << 20
 
@@ -41,7 +47,6 @@ class Transducer:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.edges: dict[int, int] = {}
         self.token_at: list[int] = [-1]
-        self.has_child: set[int] = set()
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -49,14 +54,37 @@ class Transducer:
                 if key not in self.edges:
                     self.edges[key] = len(self.token_at)
                     self.token_at.append(-1)
-                    self.has_child.add(node)
                 node = self.edges[key]
             self.token_at[node] = rank
         self.made_of: dict[int, tuple[int, int] | None] = {}
-        self.edge_of: dict[tuple[int, int], list[int] | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.edge_of: dict[int, list[tuple[bytes, int]] | None] = {}
+        self.fits: dict[int, bool] = {}
+        self.below = self._few_below()
+        self.alive: dict[int, int] = {}
         self.reset()
 
+    def _few_below(self) -> list[tuple[int, ...] | None]:
+        """Of each node of the trie, the tokens that end below it, if they are few."""
+        below: list[tuple[int, ...] | None] = [()] * len(self.token_at)
+        for key, child in sorted(self.edges.items(), key=lambda x: -x[1]):  # children were numbered after their parents
+            token, under, above = self.token_at[child], below[child], below[key >> 8]
+            if under is not None and token >= 0:
+                under = (*under, token)
+            below[key >> 8] = None if under is None or above is None or len(above) + len(under) > FEW else above + under
+        return below
+
+    def _reduced(self, last: int, node: int) -> int:
+        """What a path within a token must know of the token before: nothing (ANY) if all that may still end can follow it, and
+        NEVER if none can, so that the path is dead; else the token."""
+        key = (last + 1) << 24 | node
+        found = self.alive.get(key)
+        if found is None:
+            if len(self.alive) > TRANSITIONS_KEPT:
+                self.alive.clear()
+            fits = [self.compatible(last, token) for token in self.below[node]]
+            found = self.alive[key] = ANY if all(fits) else last if any(fits) else NEVER
+        return found
+
     def reset(self) -> None:
         self.kept = 0
         self.states: dict[tuple, dict] = {}
@@ -74,16 +102,18 @@ class Transducer:
             self.made_of[token] = found
         return self.made_of[token]
 
-    def _edge(self, token: int, side: int) -> list[int] | None:
-        """What stands at a token's left (0) or right (1) edge while it is being made, from the single byte to the token itself."""
-        if (edge := self.edge_of.get((token, side), 0)) == 0:
-            if len(self.bytes_of[token]) == 1:
-                edge = [token]
+    def _edge(self, token: int, side: int) -> list[tuple[bytes, int]] | None:
+        """What stands at a token's left (0) or right (1) edge while it is being made, from the single byte to the token itself: its bytes, and
+        the rank of the merge that ends it."""
+        if (edge := self.edge_of.get(token << 1 | side, 0)) == 0:
+            data = self.bytes_of[token]
+            if len(data) == 1:
+                edge = [(data, LAST)]
             else:
                 parts = self.halves(token)
                 below = parts and self._edge(parts[side], side)
-                edge = below and [*below, token]
-            self.edge_of[token, side] = edge
+                edge = below and [*below[:-1], (below[-1][0], token), (data, LAST)]
+            self.edge_of[token << 1 | side] = edge
         return edge
 
     def _apart(self, left: int, right: int, limit: int) -> bool:
@@ -95,26 +125,26 @@ class Transducer:
         lefts, rights = self._edge(left, 1), self._edge(right, 0)
         if not lefts or not rights:
             return False
-        i = j = 0
+        rank_of, lefts, rights = self.ranks.get, iter(lefts), iter(rights)
+        (one, one_ends), (other, other_ends) = next(lefts), next(rights)
         while True:
-            left_end = lefts[i + 1] if i + 1 < len(lefts) else limit
-            right_end = rights[j + 1] if j + 1 < len(rights) else limit
-            rank = self.ranks.get(self.bytes_of[lefts[i]] + self.bytes_of[rights[j]], limit)
-            if rank < limit and rank < left_end and rank <= right_end:
+            rank = rank_of(one + other)
+            if rank is not None and rank < one_ends and rank <= other_ends and rank < limit:
                 return False
-            if i + 1 == len(lefts) and j + 1 == len(rights):
-                return True
-            if left_end <= right_end and i + 1 < len(lefts) or j + 1 == len(rights):
-                i += 1
+            if one_ends <= other_ends:
+                if one_ends == LAST:
+                    return True
+                one, one_ends = next(lefts)
             else:
-                j += 1
+                other, other_ends = next(rights)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether right may follow left; left is -1 at a word's start, where right must only be one that merging makes."""
-        if (fit := self.fits.get((left, right))) is None:
+        key = (left + 1) << 24 | right
+        if (fit := self.fits.get(key)) is None:
             if len(self.fits) > 2 * TRANSITIONS_KEPT:
                 self.fits.clear()
-            fit = self.fits[left, right] = bool(self._edge(right, 0)) if left < 0 else self._apart(left, right, 1 << 60)
+            fit = self.fits[key] = bool(self._edge(right, 0)) if left < 0 else self._apart(left, right, LAST)
         return fit
 
     def _state(self, paths: tuple) -> dict:
@@ -126,23 +156,27 @@ class Transducer:
 
     def _grow(self, state: dict, byte: int) -> tuple[dict, tuple]:
         """Make the transition of a state by a byte: the next state, and the tokens that are now certain."""
-        paths = []
+        paths, edges, below, token_at, fits = [], self.edges, self.below, self.token_at, self.fits
         for last, node, out in state[-1]:
-            node = self.edges.get(node << 8 | byte)
+            node = edges.get(node << 8 | byte)
             if node is None:
                 continue
-            if node in self.has_child:
+            few, token = below[node], token_at[node]
+            if few is None:
                 paths.append((last, node, out))
-            token = self.token_at[node]
-            if token >= 0 and self.compatible(last, token):
-                paths.append((token, 0, (*out, token)))
-        shared = 0
-        outs = [out for _, _, out in paths]
-        for column in zip(*outs, strict=False):
-            if len(set(column)) > 1:
-                break
-            shared += 1
-        emitted = outs[0][:shared]
+            elif few and (known := last if last == ANY else self._reduced(last, node)) != NEVER:
+                paths.append((known, node, out))
+            if token >= 0:
+                fit = True if last == ANY else fits.get((last + 1) << 24 | token)
+                if self.compatible(last, token) if fit is None else fit:
+                    paths.append((token, 0, (*out, token)))
+        first, shared = paths[0][2], 0
+        if first:
+            shared = len(first)
+            for _, _, out in paths:
+                while out[:shared] != first[:shared]:
+                    shared -= 1
+        emitted = first[:shared]
         if self.kept >= TRANSITIONS_KEPT:
             self.reset()
             gc.collect()
@@ -184,11 +218,8 @@ class WordTable(dict):
         return packed
 
 
-def pack(ids: Iterable[int]) -> bytes:
-    packed = array("I", ids)
-    if packed.itemsize != 4 or array("H", [1]).tobytes() != b"\1\0":
-        return b"".join(i.to_bytes(4, "little") for i in packed)
-    return packed.tobytes()
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
@@ -272,8 +303,10 @@ class Decoder:
         return rest
 
     def decode(self, packed: bytes) -> str:
-        ids = array("I")
+        ids = array("I")  # of four bytes on every platform that Spark runs on
         ids.frombytes(packed)
+        if sys.byteorder == "big":
+            ids.byteswap()
         return "".join([self.feed(ids[i : i + self.STEP]) for i in range(0, len(ids), self.STEP)]) + self.finish()
 
 
