@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacewing.functions.lineage import cut
+
 
 def leading(states: DataFrame, k: int) -> DataFrame:
     """(pos, carriers, rank) of the k variants with most carriers, ties by position."""
@@ -37,12 +39,12 @@ def start_tree(pairs: DataFrame) -> DataFrame:
 
 def ancestors(edges: DataFrame, rounds: int) -> DataFrame:
     """(ancestor, child, distance) of all pairs of a tree by doubling; rounds: the base-2 logarithm of its depth, rounded up."""
-    paths = edges.select(F.col("parent").alias("ancestor"), "child", F.lit(1).alias("distance"))
+    paths = cut(edges.select(F.col("parent").alias("ancestor"), "child", F.lit(1).alias("distance")))
     for _ in range(rounds):
         upper = paths.select("ancestor", F.col("child").alias("via"), F.col("distance").alias("above"))
         lower = paths.select(F.col("ancestor").alias("via"), "child", F.col("distance").alias("below"))
         longer = upper.join(lower, "via").select("ancestor", "child", (F.col("above") + F.col("below")).alias("distance"))
-        paths = paths.unionByName(longer).distinct()
+        paths = cut(paths.unionByName(longer).distinct())
     return paths
 
 

@@ -198,7 +198,7 @@ def codon_effect(spark, d):
     return _effects(spark, d).select("pos", "orf", "codon_position", "amino", "amino_mutated", "effect", "change")
 
 
-@query("select type, effect, coalesce(n, 0)::bigint as n, round(coalesce(n, 0) / nullif(sum(coalesce(n, 0)) over (partition by type), 0), 6) as share from (select distinct type from cells), (select distinct effect from cells) left join cells using (type, effect)", *EFFECTS, T.CALLS, T.SAMPLES, FACTS, "cells as (select type, effect, count(*) as n from effects join seen using (pos) group by 1, 2)")
+@query("select type, effect, coalesce(n, 0)::bigint as n, round(coalesce(n, 0) / nullif(sum(coalesce(n, 0)) over (partition by type), 0), 6) as share from (select a.type, b.effect from (select distinct type from cells) a, (select distinct effect from cells) b) left join cells using (type, effect)", *EFFECTS, T.CALLS, T.SAMPLES, FACTS, "cells as (select type, effect, count(*) as n from effects join seen using (pos) group by 1, 2)")
 def contingency_type_effect(spark, d):
     rows = _effects(spark, d).join(L.mutation_types(T.calls(spark, d)), "pos")
     return L.contingency(rows, "type", "effect")
