@@ -229,8 +229,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a text; each match of the pattern is merged separately."""
-        words = self.words
-        return b"".join([words[w] for w in self.split.findall(text)])
+        return b"".join(map(self.words.__getitem__, self.split.findall(text)))
 
 
 #: For each leading byte: bytes that must follow, and the range of the first of these (the Unicode Standard, table 3-7).

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacewing.functions.lineage import cut, ensure_checkpoint_dir
+
+__all__ = ["BROADCAST_ROWS", "PRE", "SPACE", "checked_join", "cut", "ensure_checkpoint_dir", "let", "n_words", "replace_columns", "words"]
+
 #: Prefix of every working column; an input column of that name is not supported.
 PRE = "_lw_"
 #: ASCII white space as the contracts define it, for Java's regular expressions.
@@ -15,24 +17,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 50_000
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints, shared by driver and executors.
-
-    It is the session's spark.checkpoint.dir; only where that is unset (local tests) a temporary folder is taken.
-    """
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return folder or sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a (narrow) intermediate table to the shared folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def replace_columns(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns that the operator is about to write (case-insensitive, as Spark resolves names)."""
     taken = {n.lower() for n in names}

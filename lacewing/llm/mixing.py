@@ -56,7 +56,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     df = replace_columns(df, _SIZE, "source_size", "target", "copies")
     key = F.struct(F.col(source_col).isNull().alias("missing"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"))
     part = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(PARTS)).cast("int")
-    sized = df.withColumns({_SOURCE: key, _SIZE: n_words(F.col(text_col)), _PART: part})
+    order = F.struct(F.xxhash64(F.lit(seed + 1), F.col(id_col)).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
+    sized = df.withColumns({_SOURCE: key, _SIZE: n_words(F.col(text_col)), _PART: part, PRE + "order": order})
     cells = cut(sized.groupBy(_SOURCE, _SIZE, _PART).agg(F.count("*").alias("n")))
     dealt = targets(cells.select(_SOURCE, (F.col(_SIZE) * F.col("n")).alias(_SIZE)), seed=seed)
     sizes = cells.groupBy(_SOURCE, _SIZE).agg(F.sum("n").alias("m"))
@@ -66,8 +67,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     places = checked_join(cells.withColumn("inner", inner), sizes.drop("m"), [_SOURCE, _SIZE], "inner")
     places = checked_join(places, dealt, [_SOURCE], "inner").withColumn(PRE + "first", F.col("first") + F.col("inner")).drop("n", "first", "inner")
     rows = sized.join(cut(places), [_SOURCE, _SIZE, _PART])
-    hashed = F.xxhash64(F.lit(seed + 1), F.col(id_col))
-    within = Window.partitionBy(_SOURCE, _SIZE, _PART).orderBy(hashed, F.col(id_col), F.xxhash64(F.col(text_col)))
+    within = Window.partitionBy(_SOURCE, _SIZE, _PART).orderBy(PRE + "order", F.col(id_col))
     at = F.col(PRE + "first") + F.row_number().over(within)
     crossed = lambda x: F.floor(x * F.col(PRE + "rate") + F.col(PRE + "offset"))
     rows = rows.withColumn(PRE + "at", at).withColumn("copies", (crossed(F.col(PRE + "at")) - crossed(F.col(PRE + "at") - 1)).cast("long"))
