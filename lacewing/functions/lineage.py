@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write a (narrow) intermediate table to the shared folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same for larger intermediate tables: as compressed Parquet below the shared folder.
+
+    Each is in a folder of its own, named after the application, and may go when the application has ended.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
