@@ -24,8 +24,8 @@ CANDIDATE = f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: Ordinary identifiers of the training sample: words of letters, perhaps joined by _ or -.
 ORDINARY = r"\b[A-Za-z][a-z]{5,}(?:[_-][a-z]+)*\b"
 #: Documents at most, in expectation, from which each of the two models is trained; log-likelihood ratio per transition from which
-#: a token counts as random; weight of a transition never seen.
-SAMPLE_DOCS, RATIO, SMOOTH = 2000, 0.25, 0.5
+#: a token counts as random; weight of a character's own frequency against its transitions, and of even chances within that.
+SAMPLE_DOCS, RATIO, BACKOFF, EVEN = 2000, 0.25, 5.0, 0.05
 
 _SPAN = "array<struct<at:int,kind:int,end:int,token:string>>"
 
@@ -64,20 +64,24 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratios of all transitions, random over ordinary, from samples (token, random boolean).
 
-    Each model has the transition counts of its tokens within ALPHABET, smoothed by SMOOTH, so without samples it is uniform. The
-    result has a fixed size, the square of the alphabet's.
+    A model's chance of a transition comes from its count and, with the weight of BACKOFF counts, from the second character's frequency,
+    so a model says something of characters it has rarely seen; without samples it is uniform. The result has a fixed size, the square
+    of the alphabet's.
     """
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substr(F.col("token"), i, F.lit(2))))
     rows = samples.where(F.length("token") > 1).select("random", pair.alias("pair")).groupBy("random", "pair").count()
     rows = rows.where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).collect()  # at most 2 x 67 x 67
     counts = {(r["random"], r["pair"]): r["count"] for r in rows}
-    ratios = []
-    for a in ALPHABET:
-        total = {kind: sum(counts.get((kind, a + b), 0) for b in ALPHABET) + SMOOTH * len(ALPHABET) for kind in (True, False)}
-        for b in ALPHABET:
-            chance = {kind: (counts.get((kind, a + b), 0) + SMOOTH) / total[kind] for kind in (True, False)}
-            ratios.append(math.log(chance[True] / chance[False]))
-    return ratios
+    size, chance = len(ALPHABET), {}
+    for kind in (True, False):
+        whole = sum(n for (k, _), n in counts.items() if k == kind)
+        seen = {b: sum(counts.get((kind, a + b), 0) for a in ALPHABET) / whole if whole else 1 / size for b in ALPHABET}
+        single = {b: (1 - EVEN) * seen[b] + EVEN / size for b in ALPHABET}
+        for a in ALPHABET:
+            total = sum(counts.get((kind, a + b), 0) for b in ALPHABET) + BACKOFF
+            for b in ALPHABET:
+                chance[kind, a + b] = (counts.get((kind, a + b), 0) + BACKOFF * single[b]) / total
+    return [math.log(chance[True, a + b] / chance[False, a + b]) for a in ALPHABET for b in ALPHABET]
 
 
 def ratio(token: Column, ratios: list[float]) -> Column:

@@ -40,7 +40,7 @@ def member_of(record_id: str, kind: str, uri: str | None, payload: bytes, length
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}"]
-    lines += [f"WARC-Target-URI: {_clean(uri)}"] * (uri is not None)
+    lines += [f"WARC-Target-URI: {_clean(uri)}"] if uri is not None else []
     lines += [f"WARC-Refers-To: <{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers_to else []
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
