@@ -367,7 +367,7 @@ def lines_by_brute_force(rows):
             if len(words) >= lines.LEAST_WORDS:
                 seen.setdefault(" ".join(words), []).append((doc, i))
     keys = sorted(seen)
-    prints = dict(zip(keys, (int(x) % (1 << 64) for x in lines.simhashes([k.split() for k in keys], hashes)), strict=True))
+    prints = dict(zip(keys, (int(x) % (1 << 64) for x in lines.simhashes([set(k.split()) for k in keys], hashes)), strict=True))
     root = {k: k for k in keys}
 
     def find(x):
