@@ -11,7 +11,9 @@ from lacewing.operators import calls as C
 from lacewing.operators import contexts as X
 from lacewing.operators import landscape as L
 from lacewing.operators import phylogeny as P
+from lacewing.operators import signatures as G
 from lacewing.operators import stats as S
+from lacewing.operators import windows as W
 from lacewing.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -327,3 +329,59 @@ def dominance_order(spark, d):
 def memo_sort(spark, d):
     states = _states(spark, d)
     return P.memo_sort(states, P.leading(states, LEADING))
+
+
+SLIDING = "spots as (select distinct cluster, pos, effect from effects join facts using (pos)), starts as (select unnest(range(1, (select max(p_partkey) from part) - 298, 3)) as start), sliding as (select cluster, start, sum((effect = 'NS')::int)::bigint as n_ns, sum((effect = 'S')::int)::bigint as n_s from starts join spots on pos between start and start + 299 group by 1, 2), ratios as (select *, n_ns / nullif(n_s, 0) as ratio from sliding)"
+
+
+def _sliding(spark, d):
+    rows = _effects(spark, d).select("pos", "effect").join(_facts(spark, d).select("pos", "cluster"), "pos")
+    return W.sliding_counts(rows, T.table(spark, d, "part").agg(F.max("p_partkey")).scalar())
+
+
+@query("select cluster, start, n_ns, n_s, round(ratio, 6) as ratio from ratios", *EFFECTS, T.CALLS, T.SAMPLES, FACTS, SLIDING)
+def dnds_windows(spark, d):
+    return _sliding(spark, d)
+
+
+@query("select cluster, pos, round(avg(ratio), 6) as mean from (select cluster, unnest(range(start, start + 300)) as pos, ratio from ratios) group by 1, 2", *EFFECTS, T.CALLS, T.SAMPLES, FACTS, SLIDING)
+def dnds_smooth(spark, d):
+    return W.smoothed(_sliding(spark, d), "ratio")
+
+
+#: Categories of a count vector, and signatures and replicates of the kernels' queries.
+CATEGORIES, SIGNATURES, REPLICATES = 6, 3, 100
+
+
+def _vectors(spark, d):
+    """(sample, x): count vectors as arrays."""
+    x = F.transform(F.slice("embedding", 1, CATEGORIES), lambda v: F.abs(v.cast("double")))
+    return T.table(spark, d, "embeddings").select(F.col("vec_id").alias("sample"), x.alias("x"))
+
+
+def _factorised(spark, d):
+    return G.factorise(_vectors(spark, d), SIGNATURES, CATEGORIES)
+
+
+@query()
+def nmf_decomposition(spark, d):
+    fitted, _ = _factorised(spark, d)
+    return fitted.select("sample", F.posexplode("alpha").alias("signature", "exposure"))
+
+
+@query()
+def nmf_quality(spark, d):
+    fitted, beta = _factorised(spark, d)
+    return G.quality(fitted, beta)
+
+
+@query()
+def bootstrap_significance(spark, d):
+    _, beta = _factorised(spark, d)
+    return G.significance(G.bootstrap(_vectors(spark, d), beta, REPLICATES))
+
+
+@query()
+def kmeans_clusters(spark, d):
+    fitted, _ = _factorised(spark, d)
+    return G.clusters(fitted)
