@@ -83,3 +83,56 @@ def memo_sort(states: DataFrame, top: DataFrame) -> DataFrame:
 
 def ancestors_rounds(k: int) -> int:
     return max(1, (k - 1).bit_length())
+
+
+def clone_genotypes(tree: DataFrame, closure: DataFrame, top: DataFrame) -> DataFrame:
+    """(clone, pos): the variants of each clone, its own and its ancestors'; clones are numbered by the rank of their own variant."""
+    own = top.select(F.col("rank").alias("clone"), "pos")
+    above = closure.join(top.select(F.col("pos").alias("child"), F.col("rank").alias("clone")), "child").select("clone", F.col("ancestor").alias("pos"))
+    return own.unionByName(above).distinct()
+
+
+def attachments(states: DataFrame, samples: DataFrame, genotypes: DataFrame, top: DataFrame, clones: int, alpha: float, beta: float) -> DataFrame:
+    """(sample, clone, log_likelihood): the clone of largest likelihood for each sample, the smallest number on ties; 0 is the root without variants.
+
+    Of a sample's states of the leading variants, per clone: beta for a 0 where the clone has the variant, 1 - beta where it has not,
+    alpha for a 1 where it has not, 1 - alpha where it has; missing states contribute nothing. States are counted, not listed: pairs without a row are
+    0, so what isn't a 1 or missing follows from the sizes.
+    """
+    rows = states.where("state is null or state = 1").join(F.broadcast(top.select("pos")), "pos")
+    own = rows.groupBy("sample").agg(F.count("state").alias("ones"), F.count_if(F.col("state").isNull()).alias("gone"))
+    inside = rows.join(F.broadcast(genotypes), "pos").groupBy("sample", "clone").agg(F.count("state").alias("ones_in"), F.count_if(F.col("state").isNull()).alias("gone_in"))
+    sizes = genotypes.groupBy("clone").agg(F.count("*").alias("size"))
+    grid = samples.select("sample").withColumn("clone", F.explode(F.sequence(F.lit(0), F.lit(clones))))
+    full = grid.join(F.broadcast(sizes), "clone", "left").join(own, "sample", "left").join(inside, ["sample", "clone"], "left").fillna(0)
+    total = top.agg(F.count("*")).scalar()
+    outside = F.col("ones") - F.col("ones_in")
+    missed = F.col("size") - F.col("ones_in") - F.col("gone_in")
+    absent = total - F.col("size") - outside - (F.col("gone") - F.col("gone_in"))
+    ln = lambda p: F.ln(F.lit(p))
+    score = missed * ln(beta) + absent * ln(1 - beta) + outside * ln(alpha) + F.col("ones_in") * ln(1 - alpha)
+    scored = full.select("sample", "clone", F.round(score, 6).alias("log_likelihood"))
+    best = F.max_by(F.struct("clone", "log_likelihood"), F.struct("log_likelihood", -F.col("clone")))
+    return scored.groupBy("sample").agg(best.alias("x")).select("sample", "x.clone", "x.log_likelihood")
+
+
+def prevalence(attached: DataFrame, clones: int) -> DataFrame:
+    """(clone, n, prevalence) of all clones; null for those without samples."""
+    n = attached.groupBy("clone").agg(F.count("*").alias("n"))
+    every = attached.sparkSession.range(clones + 1).select(F.col("id").cast("int").alias("clone"))
+    return every.join(n, "clone", "left").withColumn("prevalence", F.col("n") / attached.agg(F.count("*")).scalar())
+
+
+def newick(edges: list[tuple[int, int]], names: dict[int, str] | None = None) -> str:
+    """A tree of a few leading variants, given as (parent, child), as Newick text; children in order of their numbers."""
+    children: dict[int, list[int]] = {}
+    for parent, child in sorted(edges):
+        children.setdefault(parent, []).append(child)
+    roots = sorted(set(children) - {child for _, child in edges})
+    label = lambda node: (names or {}).get(node, str(node))
+
+    def text(node: int) -> str:
+        below = children.get(node)
+        return f"({','.join(map(text, below))}){label(node)}" if below else label(node)
+
+    return ",".join(map(text, roots)) + ";"

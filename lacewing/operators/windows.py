@@ -18,8 +18,8 @@ def sliding_counts(rows: DataFrame, length: Column, width: int = 300, step: int
 
     rows: cluster, pos, effect. A variant is sent to each of its width / step windows and joined with none, so no range join is needed.
     """
-    variants = rows.select("cluster", "pos", "effect").distinct()
-    placed = variants.select("cluster", "effect", F.explode(window_starts(F.col("pos"), width, step, length)).alias("start"))
+    variants = rows.select("cluster", "pos", "effect").distinct().withColumn("length", length)
+    placed = variants.select("cluster", "effect", F.explode(window_starts(F.col("pos"), width, step, F.col("length"))).alias("start"))
     n = placed.groupBy("cluster", "start").agg(F.count_if(F.col("effect") == "NS").alias("n_ns"), F.count_if(F.col("effect") == "S").alias("n_s"))
     return n.withColumn("ratio", F.try_divide(F.col("n_ns").cast("double"), F.col("n_s")))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacewing.functions.lineage import cut
 from lacewing.operators import calls as C
 from lacewing.operators import contexts as X
 from lacewing.operators import landscape as L
@@ -385,3 +386,29 @@ def bootstrap_significance(spark, d):
 def kmeans_clusters(spark, d):
     fitted, _ = _factorised(spark, d)
     return G.clusters(fitted)
+
+
+#: Error rates of the attachment to a fixed tree: false ones and false zeros.
+ALPHA, BETA = 0.01, 0.05
+CLOSURE = "closure as (select parent as ancestor, child, 1 as distance from edges union all select parent, closure.child, distance + 1 from closure join edges on ancestor = edges.child)"
+ATTACHED = f"genotypes as (select rank as clone, pos from top union select t.rank, ancestor from closure join top t on t.pos = child), clones as (select unnest(range(0, {LEADING} + 1)) as clone), scored as (select s.sample, c.clone, round(sum(case when t.pos is null or st.pos is not null and st.state is null then 0 when st.state = 1 and g.pos is not null then ln(1 - {ALPHA}) when st.state = 1 then ln({ALPHA}) when g.pos is not null then ln({BETA}) else ln(1 - {BETA}) end), 6) as log_likelihood from samples s cross join clones c left join top t on true left join states st on st.sample = s.sample and st.pos = t.pos left join genotypes g on g.clone = c.clone and g.pos = t.pos group by 1, 2), attached as (select sample, clone::int as clone, log_likelihood from scored qualify row_number() over (partition by sample order by log_likelihood desc, clone) = 1)"
+ATTACH = ("recursive " + CLONAL[0], *CLONAL[1:], PAIRS, EDGES, CLOSURE, T.SAMPLES, ATTACHED)
+
+
+def _attached(spark, d):
+    states = cut(_states(spark, d))
+    top = cut(P.leading(states, LEADING))
+    tree = P.start_tree(P.associations(states, top, T.n_samples(spark, d)))
+    closure = P.ancestors(tree, P.ancestors_rounds(LEADING))
+    genotypes = cut(P.clone_genotypes(tree, closure, top))
+    return P.attachments(states, T.samples(spark, d), genotypes, top, LEADING, ALPHA, BETA)
+
+
+@query("select * from attached", *ATTACH)
+def attachment_fixed_tree(spark, d):
+    return _attached(spark, d)
+
+
+@query("select clone::int as clone, n, round(n / (select count(*) from attached), 6) as prevalence from clones left join (select clone, count(*) as n from attached group by 1) using (clone)", *ATTACH)
+def clone_prevalence(spark, d):
+    return P.prevalence(cut(_attached(spark, d)), LEADING)

@@ -112,3 +112,14 @@ def test_start_tree_and_closure(spark):
 def test_contingency_has_zero_cells(spark):
     got = L.contingency(spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "k string, v string"), "k", "v").collect()
     assert {(r.k, r.v): (r.n, r.share) for r in got} == {("a", "x"): (2, 1.0), ("a", "y"): (0, 0.0), ("b", "x"): (0, 0.0), ("b", "y"): (1, 1.0)}
+
+
+def test_attachment_and_newick(spark):
+    top = spark.createDataFrame([(10, 5, 1), (20, 3, 2)], "pos int, carriers long, rank int")
+    genotypes = spark.createDataFrame([(1, 10), (2, 10), (2, 20)], "clone int, pos int")
+    states = spark.createDataFrame([(1, 10, 1), (1, 20, 1), (2, 10, 1), (3, 10, None), (3, 20, None)], "sample int, pos int, state int")
+    samples = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "sample int")
+    attached = P.attachments(states, samples, genotypes, top, 2, 0.01, 0.05)
+    assert {r.sample: r.clone for r in attached.collect()} == {1: 2, 2: 1, 3: 0, 4: 0}
+    assert {r.clone: (r.n, r.prevalence) for r in P.prevalence(attached, 3).collect()} == {0: (2, 0.5), 1: (1, 0.25), 2: (1, 0.25), 3: (None, None)}
+    assert P.newick([(1, 2), (1, 4), (2, 3)], {4: "d"}) == "((3)2,d)1;"
