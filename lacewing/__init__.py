@@ -1,0 +1 @@
+"""PySpark operators for intra-host variant data."""

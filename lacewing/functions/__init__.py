@@ -1,0 +1 @@
+"""Helpers on DataFrames."""

@@ -1,0 +1 @@
+"""Relational and numerical operators."""

@@ -1,0 +1 @@
+"""Canonical views over tables."""

@@ -1,0 +1 @@
+"""Place of streaming operators; what this library rebuilds has none."""
