@@ -436,3 +436,32 @@ def test_edit_distance_of_words():
     for _ in range(500):
         a, b = ([rnd.choice("abcd") for _ in range(rnd.randrange(12))] for _ in range(2))
         assert lines.edit_distance(a, b) == slow(a, b)
+
+
+def similar_lines(rnd, n):
+    """Pairs of a line and one that has at most a fifth of its words replaced, left out or put in, in places spread evenly or at random."""
+    words = [f"w{i}" for i in range(3000)] + ["the"] * 1000
+    for _ in range(n):
+        size = rnd.choice([5, 6, 9, 10, 14, 15, 20, 40, 100])
+        line = [rnd.choice(words) for _ in range(size)]
+        other, edits = list(line), rnd.randrange(1, size // 5 + 1)
+        places = [(2 * k + 1) * size // (2 * edits) for k in range(edits)] if rnd.random() < 0.5 else rnd.sample(range(size), edits)
+        for place in sorted(places, reverse=True):
+            kind = rnd.randrange(3)
+            other[place : place + (kind < 2)] = [] if kind == 0 else [rnd.choice(words)]
+        if lines.similar(" ".join(line), " ".join(other)) and len(other) >= lines.LEAST_WORDS:
+            yield line, other
+
+
+def test_similar_lines_share_keys():
+    rnd = random.Random(31)
+    for common in ({}, {"the": 40, "w7": 9}):
+        for pair in similar_lines(rnd, 2000):
+            a, b = lines.prefixes(list(pair), lines._Words(common))
+            assert set(a.tolist()) & set(b.tolist()), pair
+
+
+def test_line_deduplication_finds_every_similar_line(spark):
+    pairs = list(similar_lines(random.Random(32), 150))
+    out = lines.deduplicate_lines(docs(spark, [" ".join(x) for pair in pairs for x in pair])).collect()
+    assert sorted(r.doc_id for r in out if r.n_removed) == list(range(1, 2 * len(pairs), 2))
