@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,53 @@ def nnls(gram: np.ndarray, target: np.ndarray) -> np.ndarray:
     return x
 
 
+def nnls_rows(gram: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """nnls for each row of targets: up to eight entries by trying every set of positive ones for all rows at once."""
+    n, k = targets.shape
+    if k > 8:
+        return np.array([nnls(gram, t) for t in targets]).reshape(n, k)
+    best, x = np.zeros(n), np.zeros((n, k))
+    for size in range(1, k + 1):
+        for chosen in map(list, combinations(range(k), size)):
+            part = gram[np.ix_(chosen, chosen)]
+            trial = targets[:, chosen] @ np.linalg.pinv(part, hermitian=True)
+            value = ((trial @ part) * trial).sum(axis=1) / 2 - (trial * targets[:, chosen]).sum(axis=1)
+            better = (trial > 0).all(axis=1) & (value < best - 1e-12 * np.abs(best))
+            x[better] = 0
+            x[np.ix_(better, chosen)] = trial[better]
+            best[better] = value[better]
+    return x
+
+
+def included(xs: np.ndarray, beta: np.ndarray, enough: float = 0.95) -> np.ndarray:
+    """Exposures of each row of counts to as few signatures as reach a cosine above enough; those of the other signatures are 0.
+
+    The positive exposures of a full fit are sorted by falling size, and signatures are added in this order, each time fitting anew; if none reaches it,
+    all of them are in.
+    """
+    gram, targets = beta @ beta.T, xs @ beta.T
+    full = nnls_rows(gram, targets)
+    order, positive = np.argsort(-full, axis=1, kind="stable"), (full > 0).sum(axis=1)
+    out, open_ = np.zeros_like(full), positive > 0
+    for size in range(1, len(beta) + 1):
+        rows = np.flatnonzero(open_ & (positive >= size))
+        if not len(rows):
+            break
+        sets, of = np.unique(np.sort(order[rows, :size], axis=1), axis=0, return_inverse=True)
+        for i, chosen in enumerate(sets):
+            mine = rows[of.ravel() == i]
+            out[mine] = 0
+            out[np.ix_(mine, chosen)] = nnls_rows(gram[np.ix_(chosen, chosen)], targets[np.ix_(mine, chosen)])
+        open_[rows] = ~(cosines(xs[rows], out[rows] @ beta) > enough)
+    return out
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each row of a and b, NaN where one is zero."""
+    norms = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+    return np.divide((a * b).sum(axis=1), norms, out=np.full(len(a), np.nan), where=norms > 0)
+
+
 def exposures(samples: DataFrame, beta: np.ndarray) -> DataFrame:
     """(sample, x, alpha): exposures of each sample to the signatures, the rows of beta."""
     gram = beta @ beta.T
@@ -100,24 +148,26 @@ def quality(fitted: DataFrame, beta: np.ndarray) -> DataFrame:
 
 
 def bootstrap(samples: DataFrame, beta: np.ndarray, replicates: int, seed: int = 12345) -> DataFrame:
-    """(sample, replicate, signature, fraction): exposures of resampled counts as shares.
+    """(sample, replicate, signature, fraction): exposures of resampled counts as shares, of as few signatures as fit (see included).
 
     Each replicate is a row of its own, drawn with a seed of its own, so replicates are spread over tasks and survive their loss.
     A replicate draws round(100 x total) categories by their shares and is divided by 100; a sample without counts has fractions of 0.
     """
-    gram, k = beta @ beta.T, len(beta)
+    k, categories = beta.shape
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for sample, x, replicate in zip(batch["sample"], batch["x"], batch["replicate"], strict=True):
+            drawn = np.zeros((len(batch), categories))
+            for i, (sample, x, replicate) in enumerate(zip(batch["sample"], batch["x"], batch["replicate"], strict=True)):
                 x = np.asarray(x, float)
                 total = x.sum()
-                drawn = np.random.default_rng([seed, sample, replicate]).multinomial(round(100 * total), x / total) / 100 if total > 0 else x
-                alpha = nnls(gram, beta @ drawn)
-                share = alpha / alpha.sum() if alpha.sum() > 0 else alpha
-                out += [(sample, replicate, i, share[i]) for i in range(k)]
-            yield pd.DataFrame(out, columns=["sample", "replicate", "signature", "fraction"])
+                if total > 0:
+                    drawn[i] = np.random.default_rng([seed, sample, replicate]).multinomial(round(100 * total), x / total) / 100
+            alpha = included(drawn, beta)
+            sums = alpha.sum(axis=1, keepdims=True)
+            share = np.divide(alpha, sums, out=np.zeros_like(alpha), where=sums > 0)
+            keys = {c: np.repeat(batch[c].to_numpy(), k) for c in ("sample", "replicate")}
+            yield pd.DataFrame(keys | {"signature": np.tile(np.arange(k), len(batch)), "fraction": share.ravel()})
 
     rows = samples.select("sample", "x", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     return rows.repartition("sample", "replicate").mapInPandas(run, "sample long, replicate int, signature int, fraction double")
@@ -147,6 +197,28 @@ def significance(replicates: DataFrame, mu: float = 0.05) -> DataFrame:
     return joined.select(*key, "mean", F.when(F.col("mean") > 0, _upper_tail("z")).alias("p"))
 
 
+def refitted(samples: DataFrame, tests: DataFrame, beta: np.ndarray, limit: float = 0.05) -> DataFrame:
+    """(sample, signature, exposure, goodness): samples fitted to the signatures with p < limit alone, and the cosine of sample and fit.
+
+    Signatures without significance have exposure 0; goodness is null for samples without any. tests: as of significance.
+    """
+    kept = tests.groupBy("sample").agg(F.collect_list(F.when(F.col("p") < limit, F.col("signature"))).alias("kept"))
+    gram = beta @ beta.T
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for sample, x, chosen in zip(batch["sample"], batch["x"], batch["kept"], strict=True):
+                x, alpha, chosen = np.asarray(x, float), np.zeros(len(beta)), np.sort(np.asarray(chosen, int))
+                if len(chosen):
+                    alpha[chosen] = nnls(gram[np.ix_(chosen, chosen)], beta[chosen] @ x)
+                cosine = cosines(x[None], (alpha @ beta)[None])[0]
+                out += [(sample, i, v, None if math.isnan(cosine) else cosine) for i, v in enumerate(alpha)]
+            yield pd.DataFrame(out, columns=["sample", "signature", "exposure", "goodness"])
+
+    return samples.select("sample", "x").join(kept, "sample").mapInPandas(run, "sample long, signature int, exposure double, goodness double")
+
+
 def clusters(fitted: DataFrame, k: int = 3, seeds: int = 5) -> DataFrame:
     """(sample, cluster, label): k-means of exposure shares, the best of several starts; labels SC#1 and on by the centre's main signature, then size."""
     total = F.aggregate("alpha", F.lit(0.0), lambda s, v: s + v)

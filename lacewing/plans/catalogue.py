@@ -351,7 +351,7 @@ def dnds_smooth(spark, d):
 
 
 #: Categories of a count vector, and signatures and replicates of the kernels' queries.
-CATEGORIES, SIGNATURES, REPLICATES = 6, 3, 100
+CATEGORIES, SIGNATURES, REPLICATES = 6, 3, 1000
 
 
 def _vectors(spark, d):
@@ -382,6 +382,13 @@ def bootstrap_significance(spark, d):
     return G.significance(G.bootstrap(_vectors(spark, d), beta, REPLICATES))
 
 
+@query()
+def significant_exposures(spark, d):
+    _, beta = _factorised(spark, d)
+    vectors = _vectors(spark, d)
+    return G.refitted(vectors, G.significance(G.bootstrap(vectors, beta, REPLICATES)), beta)
+
+
 @query()
 def kmeans_clusters(spark, d):
     fitted, _ = _factorised(spark, d)

@@ -40,6 +40,34 @@ def test_factorisation_finds_planted_signatures(spark):
             assert r.p < 0.01
 
 
+def test_signatures_are_included_until_they_fit():
+    rng = np.random.default_rng(3)
+    for k in (1, 3, 4):
+        beta = G.normalised(rng.gamma(0.4, 1, size=(k, 6)))
+        gram, xs = beta @ beta.T, rng.gamma(0.5, 10, size=(150, 6))
+        assert G.nnls_rows(gram, xs @ beta.T) == pytest.approx(np.array([G.nnls(gram, beta @ x) for x in xs]), abs=1e-6)
+        for x, got in zip(xs, G.included(xs, beta), strict=True):
+            full, expected = G.nnls(gram, beta @ x), np.zeros(k)
+            chosen = [i for i in np.argsort(-full) if full[i] > 0]
+            for size in range(1, len(chosen) + 1):
+                now = chosen[:size]
+                expected[now] = G.nnls(gram[np.ix_(now, now)], beta[now] @ x)
+                fit = expected @ beta
+                if fit @ x / np.sqrt((fit @ fit) * (x @ x)) > 0.95:
+                    break
+            assert got == pytest.approx(expected, abs=1e-6)
+
+
+def test_weak_signatures_are_left_out(spark):
+    beta = np.array([[1, 0, 0.0], [0, 1, 0], [0, 0, 1]])
+    samples = spark.createDataFrame([(1, [90.0, 4.0, 0.0]), (2, [50.0, 50.0, 1.0]), (3, [0.0, 0.0, 0.0])], "sample long, x array<double>")
+    tests = G.significance(G.bootstrap(samples, beta, 40))
+    assert {(r.sample, r.signature) for r in tests.collect() if r["mean"] > 0} == {(1, 0), (2, 0), (2, 1)}
+    got = {(r.sample, r.signature): (r.exposure, r.goodness) for r in G.refitted(samples, tests, beta).collect()}
+    assert got[1, 0] == (90, pytest.approx(90 / np.hypot(90, 4))) and got[1, 1][0] == got[1, 2][0] == 0
+    assert [got[2, i][0] for i in range(3)] == [50, 50, 0] and got[3, 0] == (0, None)
+
+
 def test_windows(spark):
     rows = spark.createDataFrame([("a", 1, "NS"), ("a", 1, "NS"), ("a", 6, "S"), ("a", 7, "NS")], "cluster string, pos int, effect string")
     got = {r.start: (r.n_ns, r.n_s, r.ratio) for r in W.sliding_counts(rows, F.lit(9), 6, 3).collect()}
