@@ -5,18 +5,19 @@ their own, give the pair back). So the tokens of a word are a path through the t
 only where the two are compatible, and at each position at most one path has just ended a token. That machine is
 non-deterministic and emits late. It is made deterministic as in the subset construction for transducers: a state holds all live
 paths together with the output they don't share yet, and what all share is emitted at once, so output lags behind the input by
-less than the longest token. States and transitions are built when a text first needs them, and kept up to a fixed number.
+less than the longest token. States and moves are made when a text first needs them, and kept up to a fixed number in flat arrays, over which
+very many words are led at once, a byte of each at a time.
 """
 
 from __future__ import annotations
 
 import base64
-import gc
 import struct
 import sys
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,14 +25,20 @@ from pyspark.sql import types as T
 
 from lacewing.llm.common import replace_columns
 
-#: Bounds of what a worker keeps: transitions of the machine, and (twice as many) whole words of at most LONGEST_KEPT characters.
-TRANSITIONS_KEPT, WORDS_KEPT, LONGEST_KEPT = 120_000, 250_000, 40
+#: Bounds of what a worker keeps: moves of the machine, and twice as many bytes of whole words of at most LONGEST_KEPT characters.
+TRANSITIONS_KEPT, WORDS_BYTES, LONGEST_KEPT = 400_000, 32 << 20, 40
+#: Bytes that a word of the table is reckoned to take besides its text and ids.
+WORD_COST = 180
+#: Longer words (bytes) are led through the machine by themselves; the others so many at once.
+LONG, TOGETHER = 48, 8192
 #: A rank above all.
 LAST = 1 << 40
 #: Tokens below a node up to which paths are reduced; marks in the place of the token before.
 FEW, ANY, NEVER = 1, -2, -3
-#: A batch is handed on to Spark when its output reaches this many bytes.
-BATCH_BYTES = 8 << 20
+#: Texts are taken together up to this many characters.
+BATCH_BYTES = 4 << 20
+#: Slots of the moves' hash table, for each move that may be kept, at least; multiplier of its hash.
+_ROOM, _MIX = 2, np.uint64(0x9E3779B97F4A7C15)
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -86,10 +93,31 @@ class Transducer:
         return found
 
     def reset(self) -> None:
-        self.kept = 0
-        self.states: dict[tuple, dict] = {}
+        """Forget all states and moves."""
+        bits = max(4, (_ROOM * TRANSITIONS_KEPT).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots, self.moves = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        self.next, self.emit = np.zeros(TRANSITIONS_KEPT + 1, np.int32), np.zeros(TRANSITIONS_KEPT + 1, np.int32)
+        self.end = np.zeros(TRANSITIONS_KEPT + 2, np.int32)
+        self.first, self.size = np.zeros(2 * TRANSITIONS_KEPT + 4, np.int32), np.zeros(2 * TRANSITIONS_KEPT + 4, np.int32)
+        self.tokens, self.n_tokens, self.kept = np.zeros(1024, np.uint32), 0, 0
+        self.outputs: dict[tuple, int] = {(): 0}
+        self.numbers: dict[tuple, int] = {}
+        self.paths: list[tuple] = []
         self.start = self._state(((-1, 0, ()),))
 
+    def _output(self, tokens: tuple) -> int:
+        """Number of a token sequence that is emitted; 0 is the empty one."""
+        number = self.outputs.get(tokens)
+        if number is None:
+            number = self.outputs[tokens] = len(self.outputs)
+            begin, end = self.n_tokens, self.n_tokens + len(tokens)
+            if end > len(self.tokens):
+                self.tokens = np.concatenate((self.tokens, np.zeros(max(len(self.tokens), end), np.uint32)))
+            self.tokens[begin:end] = tokens
+            self.first[number], self.size[number], self.n_tokens = begin, len(tokens), end
+        return number
+
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for single bytes, and for tokens that merging never makes."""
         if token not in self.made_of:
@@ -147,17 +175,18 @@ class Transducer:
             fit = self.fits[key] = bool(self._edge(right, 0)) if left < 0 else self._apart(left, right, LAST)
         return fit
 
-    def _state(self, paths: tuple) -> dict:
-        state = self.states.get(paths)
+    def _state(self, paths: tuple) -> int:
+        state = self.numbers.get(paths)
         if state is None:
-            end = next((out for _, node, out in paths if node == 0), None)
-            state = self.states[paths] = {-1: paths, -2: end}
+            state = self.numbers[paths] = len(self.paths)
+            self.paths.append(paths)
+            self.end[state] = self._output(next((out for _, node, out in paths if node == 0), ()))
         return state
 
-    def _grow(self, state: dict, byte: int) -> tuple[dict, tuple]:
-        """Make the transition of a state by a byte: the next state, and the tokens that are now certain."""
+    def _grow(self, state: int, byte: int) -> int:
+        """Make the move of a state by a byte, to the next state with the tokens that are now certain: its number."""
         paths, edges, below, token_at, fits = [], self.edges, self.below, self.token_at, self.fits
-        for last, node, out in state[-1]:
+        for last, node, out in self.paths[state]:
             node = edges.get(node << 8 | byte)
             if node is None:
                 continue
@@ -176,60 +205,152 @@ class Transducer:
             for _, _, out in paths:
                 while out[:shared] != first[:shared]:
                     shared -= 1
-        emitted = first[:shared]
-        if self.kept >= TRANSITIONS_KEPT:
-            self.reset()
-            gc.collect()
+        move = self.kept
         self.kept += 1
-        state[byte] = made = self._state(tuple([(last, node, out[shared:]) for last, node, out in paths]) if shared else tuple(paths)), emitted
-        return made
-
-    def encode(self, word: bytes) -> list[int]:
-        """Token ids of one word. A word that is itself a token is that token, as in the rank files' own library."""
-        if word in self.ranks:
-            return [self.ranks[word]]
-        state, ids = self.start, []
-        for byte in word:
-            state, emitted = state.get(byte) or self._grow(state, byte)
-            if emitted:
-                ids += emitted
-        return ids + list(state[-2] or ())
-
-
-class WordTable(dict):
-    """Packed ids (little-endian unsigned 32-bit) of words, looked up or else made by the transducer.
-
-    When it is full, its words become the older ones; of these, those not asked for again go when it is full the next time.
-    """
-
-    def __init__(self, transducer: Transducer):
-        super().__init__()
-        self.transducer, self.older = transducer, {}
-
-    def __missing__(self, word: str) -> bytes:
-        packed = self.older.get(word)
-        if packed is None:
-            packed = pack(self.transducer.encode(word.encode()))
-        if len(word) <= LONGEST_KEPT:
-            if len(self) >= WORDS_KEPT:
-                self.older = dict(self)
-                self.clear()
-            self[word] = packed
+        self.emit[move] = self._output(first[:shared])
+        self.next[move] = self._state(tuple([(last, node, out[shared:]) for last, node, out in paths]) if shared else tuple(paths))
+        key = state << 8 | byte
+        at = int(np.uint64(key * int(_MIX) & (1 << 64) - 1) >> self.shift)
+        while self.slots[at] >= 0:
+            at = (at + 1) & self.mask
+        self.slots[at], self.moves[at] = key, move
+        return move
+
+    def _moves(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the moves of (state << 8 | byte); those that aren't there are made, or _Full is raised if there is no room."""
+        while True:
+            at = (keys.view(np.uint64) * _MIX >> self.shift).view(np.int64)
+            seen = self.slots[at]
+            off = np.flatnonzero((seen != keys) & (seen >= 0))
+            while off.size:
+                at[off] = (at[off] + 1) & self.mask
+                seen[off] = self.slots[at[off]]
+                off = off[(seen[off] != keys[off]) & (seen[off] >= 0)]
+            fresh = np.unique(keys[seen < 0])
+            if not fresh.size:
+                return self.moves[at]
+            if self.kept + fresh.size > TRANSITIONS_KEPT:
+                raise _Full
+            for key in fresh.tolist():
+                self._grow(key >> 8, key & 255)
+
+    def _led(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of words in order of falling length, one after the other, and where those of each begin and the last end."""
+        n, lengths = len(words), np.array([len(w) for w in words])
+        begins, data = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(words), np.uint8)
+        out, state = np.zeros((n, int(lengths[0]) + 1), np.int32), np.full(n, self.start, np.int64)
+        for k in range(int(lengths[0])):
+            live = int(np.searchsorted(-lengths, -k))  # as many words are longer than k
+            moves = self._moves(state[:live] << 8 | data[begins[:live] + k])
+            state[:live], out[:live, k] = self.next[moves], self.emit[moves]
+        out[np.arange(n), lengths] = self.end[state]
+        sizes = self.size[out]
+        bounds = np.concatenate(([0], np.cumsum(sizes.sum(axis=1))))
+        outputs = out[sizes > 0]
+        sizes = self.size[outputs]
+        source = np.repeat(self.first[outputs] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(bounds[-1]))
+        return self.tokens[source], bounds
+
+    def encode_all(self, words: list[bytes]) -> list[bytes]:
+        """Packed token ids of words. A word that is itself a token is that token, as in the rank files' own library."""
+        packed, short, rank_of = [], [], self.ranks.get
+        for i, word in enumerate(words):
+            if (rank := rank_of(word)) is not None:
+                packed.append(pack([rank]))
+            elif len(word) > min(LONG, TRANSITIONS_KEPT // 4):
+                packed.append(self.encode(word))
+            else:
+                short.append(i)
+                packed.append(b"")
+        short.sort(key=lambda i: -len(words[i]))
+        step = max(1, min(TOGETHER, TRANSITIONS_KEPT // LONG))  # their moves surely fit into an empty machine
+        for at in range(0, len(short), step):
+            part = short[at : at + step]
+            taken = [words[i] for i in part]
+            try:
+                tokens, bounds = self._led(taken)
+            except _Full:
+                self.reset()
+                tokens, bounds = self._led(taken)
+            data, edges = tokens.astype("<u4").tobytes(), (4 * bounds).tolist()
+            for k, i in enumerate(part):
+                packed[i] = data[edges[k] : edges[k + 1]]
         return packed
 
+    def encode(self, word: bytes) -> bytes:
+        """Packed token ids of one word of any length that is no token."""
+        state, outputs, known = self.start, [], {}
+        for byte in word:
+            key = state << 8 | byte
+            step = known.get(key)
+            if step is None:
+                if self.kept >= TRANSITIONS_KEPT:
+                    paths, known = self.paths[state], {}
+                    self.reset()
+                    state = self._state(paths)
+                    key = state << 8 | byte
+                move = self._one(key)
+                emitted = int(self.emit[move])
+                begin = int(self.first[emitted])
+                step = known[key] = int(self.next[move]), self.tokens[begin : begin + int(self.size[emitted])].tolist()
+            state, emitted = step
+            outputs += emitted
+        end = int(self.end[state])
+        begin = int(self.first[end])
+        return pack(outputs + self.tokens[begin : begin + int(self.size[end])].tolist())
+
+    def _one(self, key: int) -> int:
+        """Number of one move, made if need be; there must be room for it."""
+        at = int(np.uint64(key * int(_MIX) & (1 << 64) - 1) >> self.shift)
+        while self.slots[at] >= 0:
+            if self.slots[at] == key:
+                return int(self.moves[at])
+            at = (at + 1) & self.mask
+        return self._grow(key >> 8, key & 255)
+
+
+class _Full(Exception):
+    """The machine has no room for further moves."""
+
 
 def pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
+    """Encodes texts; words met before are looked up, new ones are led through the machine together.
+
+    When the table of words holds WORDS_BYTES, its words become the older ones; of these, those not asked for again go when it is full the next
+    time.
+    """
+
     def __init__(self, vocabulary: bytes, pattern: str):
-        self.words = WordTable(Transducer(load_ranks(vocabulary)))
-        self.split = regex.compile(pattern)
+        self.transducer, self.split = Transducer(load_ranks(vocabulary)), regex.compile(pattern)
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts; each match of the pattern is merged separately."""
+        split = [self.split.findall(text) for text in texts]
+        words, older = self.words, self.older
+        unknown = set().union(*split).difference(words)
+        new = [w for w in unknown if w not in older]
+        packed = dict(zip(new, self.transducer.encode_all([w.encode() for w in new]), strict=True))
+        for word in unknown:
+            ids = packed.get(word)
+            words[word] = ids = older[word] if ids is None else ids
+            self.held += WORD_COST + len(word) + len(ids)
+        out = [b"".join(map(words.__getitem__, found)) for found in split]
+        for word in unknown:
+            if len(word) > LONGEST_KEPT:
+                self.held -= WORD_COST + len(word) + len(words.pop(word))
+        if self.held > WORDS_BYTES:
+            self.older, self.words, self.held = words, {}, 0
+        return out
 
     def encode(self, text: str) -> bytes:
-        """Packed ids of a text; each match of the pattern is merged separately."""
-        return b"".join(map(self.words.__getitem__, self.split.findall(text)))
+        return self.encode_all([text])[0]
 
 
 #: For each leading byte: bytes that must follow, and the range of the first of these (the Unicode Standard, table 3-7).
@@ -326,30 +447,30 @@ def _worker(kind: str, vocabulary: bytes, pattern: str = ""):
     """The worker process's own encoder or decoder, made once."""
     key = kind, hash(vocabulary), pattern
     if key not in _MADE:
-        gc.disable()  # its tables hold many small objects and are freed by the bounds above, not by tracing
         _MADE[key] = Encoder(vocabulary, pattern) if kind == "encode" else Decoder({rank: token for token, rank in load_ranks(vocabulary).items()})
     return _MADE[key]
 
 
-def _extended(df: DataFrame, source: str, target: str, kind: T.DataType, make) -> DataFrame:
-    """df with one more column, made value by value from another in Arrow batches of bounded size."""
-    df = replace_columns(df, target)
-    at, arrow = df.columns.index(source), {"binary": pa.binary(), "string": pa.string()}[kind.simpleString()]
+def _extended(df: DataFrame, source: str, targets: dict[str, T.DataType], make: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
+    """df with more columns, made from the values of another in Arrow batches of bounded size; make() gives, in a task, the function of a
+    list of values to a list of values for each target."""
+    df = replace_columns(df, *targets)
+    at, arrow = df.columns.index(source), [{"binary": pa.binary(), "string": pa.string()}[kind.simpleString()] for kind in targets.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
             begin, held, values = 0, 0, []
             for i, value in enumerate(batch.column(at)):
-                value = value.as_py()
-                values.append(f(value))
-                held += len(value or ()) + len(values[-1] or ())
+                values.append(value.as_py())
+                held += len(values[-1] or ())
                 if held > BATCH_BYTES or i + 1 == batch.num_rows:
                     part = batch.slice(begin, i + 1 - begin)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, arrow)], names=[*part.schema.names, target])
+                    made = [pa.array(x, kind) for x, kind in zip(f(values), arrow, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *targets])
                     begin, held, values = i + 1, 0, []
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(target, kind)]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(name, kind) for name, kind in targets.items()]]))
 
 
 def encode(df: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -363,17 +484,34 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "text
 
     def make():
         encoder = _worker("encode", shared.value, pattern)
-        return lambda text: encoder.encode(text or "")
+        return lambda texts: [encoder.encode_all([text or "" for text in texts])]
 
-    return _extended(df, text_col, ids_col, T.BinaryType(), make)
+    return _extended(df, text_col, {ids_col: T.BinaryType()}, make)
 
 
 def decode(df: DataFrame, vocabulary: bytes, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """Add the text of packed token ids. Null ids give null; ids that the vocabulary lacks are skipped; bytes that are not UTF-8 give U+FFFD."""
+    """Add the text of packed token ids. Null ids give null; ids that the vocabulary lacks are skipped; bytes that are not UTF-8 give U+FFFD.
+    An existing column text_col is replaced; other columns, repeated rows and an empty table pass through."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make():
         decoder = _worker("decode", shared.value)
-        return lambda packed: None if packed is None else decoder.decode(packed)
+        return lambda packed: [[None if x is None else decoder.decode(x) for x in packed]]
+
+    return _extended(df, ids_col, {text_col: T.StringType()}, make)
+
+
+def round_trip(df: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """encode() and decode() in one pass over the rows: both columns are added, of the same values and with the same rules."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def make():
+        encoder, decoder = _worker("encode", shared.value, pattern), _worker("decode", shared.value)
+
+        def both(texts: list) -> list[list]:
+            packed = encoder.encode_all([text or "" for text in texts])
+            return [packed, [decoder.decode(x) for x in packed]]
+
+        return both
 
-    return _extended(df, ids_col, text_col, T.StringType(), make)
+    return _extended(df, text_col, {ids_col: T.BinaryType(), decoded_col: T.StringType()}, make)

@@ -26,8 +26,7 @@ def vocabulary() -> bytes:
 
 def encoded(docs: DataFrame) -> DataFrame:
     """Documents' token ids and the text decoded from them, as digests."""
-    ranks = vocabulary()
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).select("doc_id", "ids"), ranks)
+    out = bpe.round_trip(docs.select("doc_id", "text"), vocabulary(), public_tokenizers.PATTERN)
     return out.select(
         "doc_id",
         F.expr("octet_length(ids) div 4").alias("n_tokens"),

@@ -54,7 +54,7 @@ def test_bpe_equals_merging(encoder, reference, text):
 
 def test_bpe_within_bounds(monkeypatch, vocabulary, reference):
     monkeypatch.setattr(bpe, "TRANSITIONS_KEPT", 50)
-    monkeypatch.setattr(bpe, "WORDS_KEPT", 3)
+    monkeypatch.setattr(bpe, "WORDS_BYTES", 600)
     own = bpe.Encoder(vocabulary, public_tokenizers.PATTERN)
     for text in ("thinking of internationalisation " * 9, "a" * 5000, "éàç" * 700, "  \n\t x", ""):
         assert array("I", own.encode(text)).tolist() == reference.encode_ordinary(text)
