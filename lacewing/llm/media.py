@@ -9,6 +9,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,41 +20,44 @@ from lacewing.llm.common import replace_columns
 WIDTH, ROWS, DELAY = 192, 256, 4
 #: Bins of a colour histogram for each of red, green and blue.
 BINS = 8
+#: Canvases and images of more pixels are reported as an error and not rendered.
+MOST_PIXELS = 1 << 25
 
-#: Layout of a decoded file; the histogram counts the pixels of all rendered frames, red bins first, then green, then blue.
+_FRAME = [T.StructField(c, T.IntegerType()) for c in ("delay", "left", "top", "width", "height")] + [T.StructField("histogram", T.ArrayType(T.LongType()))]
+
+#: Layout of a decoded file; a frame's histogram counts the pixels of its rendered canvas, red bins first, then green, then blue.
 DECODED = T.StructType([
     T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("n_frames", T.IntegerType()),
-    T.StructField("delays", T.ArrayType(T.IntegerType())), T.StructField("histogram", T.ArrayType(T.LongType())),
-    T.StructField("samples", T.BinaryType()), T.StructField("error", T.StringType()),
+    T.StructField("frames", T.ArrayType(T.StructType(_FRAME))), T.StructField("samples", T.BinaryType()), T.StructField("error", T.StringType()),
 ])
 
 
 def lzw_encode(data: bytes) -> bytes:
-    """GIF's LZW code stream of 8-bit samples: codes of 9 to 12 bits, lowest bit first, the table cleared when it is full."""
-    codes, clears = [256], [0]
-    table, following, prefix = {}, 258, -1
-    for byte in data:
-        if prefix < 0:
-            prefix = byte
-            continue
-        key = prefix << 8 | byte
-        known = table.get(key)
-        if known is not None:
-            prefix = known
-            continue
-        codes.append(prefix)
-        if following < 4096:
-            table[key] = following
-            following += 1
-        else:
-            clears.append(len(codes))
-            codes.append(256)
-            table, following = {}, 258
-        prefix = byte
-    if prefix >= 0:
-        codes.append(prefix)
-    codes.append(257)
-    return _pack(np.array(codes, np.uint32), clears)
+    """GIF's LZW code stream of 8-bit samples: codes of 9 to 12 bits, lowest bit first, the table cleared when it is full.
+
+    Codes are kept shifted by the width of a sample, so that a code and the sample after it make the table's key by a single or.
+    """
+    codes, clears, step, begin, full = [256 << 8], [0], 1 << 8, 258 << 8, 4096 << 8
+    if data:
+        table: dict[int, int] = {}
+        put, append, following, prefix = table.setdefault, codes.append, begin, data[0] << 8
+        for byte in memoryview(data)[1:]:
+            code = put(prefix | byte, following)
+            if code != following:
+                prefix = code
+                continue
+            append(prefix)
+            prefix = byte << 8
+            if following < full:
+                following += step
+            else:
+                clears.append(len(codes))
+                append(256 << 8)
+                table = {}
+                put, following = table.setdefault, begin
+        append(prefix)
+    codes.append(257 << 8)
+    return _pack(np.array(codes, np.uint32) >> np.uint32(8), clears)
 
 
 @cache
@@ -98,36 +102,32 @@ def _codes(stream: np.ndarray, at: int, n: int, least: int) -> np.ndarray:
     return word >> (starts & 7).astype(np.uint32) & masks
 
 
-def _expand(codes: np.ndarray, clear: int) -> bytes:
-    """Samples of the codes between two clear codes.
+@cache
+def _singles(n: int) -> list[bytes]:
+    return [bytes([i]) for i in range(n)]
 
-    Entry j of the table is what code j stands for and the sample after it, which is one stretch of the output. So each code that
-    isn't a sample copies from where an earlier code's output begins; lengths and sources are followed up to the samples by
-    doubling. Codes from the first that the table can't have on are left out.
-    """
-    parent = codes.astype(np.int64) - (clear + 2)
-    wrong = np.flatnonzero((parent >= np.arange(len(parent))) | (parent >= 4096 - clear - 2))
-    if len(wrong):
-        codes, parent = codes[: wrong[0]], parent[: wrong[0]]
-    n = len(codes)
-    if not n:
+
+def _expand(codes: list[int], clear: int) -> bytes:
+    """Samples of the codes between two clear codes; codes from the first that the table can't have on are left out."""
+    if not codes or codes[0] >= clear:
         return b""
-    above = np.append(np.where(parent < 0, n, parent), n)
-    length = (above < n).astype(np.int64)
-    while (above < n).any():
-        length, above = length + length[above], above[above]
-    length = length[:n] + 1
-    begin = np.cumsum(length) - length
-    back = np.where(parent < 0, 0, begin - begin[np.maximum(parent, 0)])
-    source = np.arange(int(length.sum())) - np.repeat(back, length)
-    while True:
-        further = source[source]
-        if np.array_equal(further, source):
-            break
-        source = further
-    samples = np.zeros(len(source), np.uint8)
-    samples[begin[parent < 0]] = codes[parent < 0]
-    return samples[source].tobytes()
+    table = [*_singles(clear), b"", b""]
+    last = table[codes[0]]
+    parts, room = [last], 4096 - len(table)
+    put, add = parts.append, table.append
+    for code in codes[1 : 1 + room]:
+        try:
+            entry = table[code]
+        except IndexError:
+            if code > len(table):
+                return b"".join(parts)
+            entry = last + last[:1]
+        add(last + entry[:1])
+        put(entry)
+        last = entry
+    if len(codes) > 1 + room:  # a full table goes on to be used
+        parts += [table[code] for code in codes[1 + room :]]
+    return b"".join(parts)
 
 
 def lzw_decode(data: bytes, least: int, most: int) -> bytes:
@@ -147,7 +147,7 @@ def lzw_decode(data: bytes, least: int, most: int) -> bytes:
             stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
             n = int(stop[0]) if len(stop) else len(codes) if len(codes) < asked or asked > most else -1
             asked *= 2
-        out.append(_expand(codes[:n], clear))
+        out.append(_expand(codes[:n].tolist(), clear))
         held += len(out[-1])
         if n == len(codes) or codes[n] != clear:
             break
@@ -188,21 +188,38 @@ class _Control:
     transparent: int = -1
 
 
-def frames_of(data: bytes) -> Iterator[Frame]:
-    """Rendered frames of a GIF, in order.
+@dataclass
+class _Image:
+    """An image as stored: canvas size, rectangle (left, top, width, height), palette indices and which of them are drawn, palette, control, and
+    whether its code stream has samples for all of it."""
 
-    Each image's indices go through its own palette or else the common one; transparent ones leave the canvas as it is. After a frame is
-    shown, its rectangle stays (disposal 0, 1), is cleared (2), or is put back as it was before it (3). Raises ValueError for what is no GIF,
-    and for a file that breaks off before its first image.
-    """
+    size: tuple[int, int]
+    box: tuple[int, int, int, int]
+    indices: np.ndarray
+    shown: np.ndarray
+    palette: np.ndarray
+    control: _Control
+    whole: bool
+
+    def covers(self) -> bool:
+        """Whether nothing of an earlier canvas is seen through it."""
+        return self.box == (0, 0, *self.size) and self.whole and self.control.transparent < 0
+
+
+def _images(data: bytes) -> Iterator[_Image]:
+    """Images of a GIF, in order. Raises ValueError with the reason where it is none, breaks off, or asks for what it may not."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
-    at, common = 13, None
-    if flags & 0x80:
-        common = np.frombuffer(data, np.uint8, 3 << (flags & 7) + 1, at).reshape(-1, 3)
-        at += common.size
-    canvas, control = np.zeros((height, width, 4), np.uint8), _Control()
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"canvas of {width} x {height} pixels")
+    at, control = 13, _Control()
+
+    def palette_at(packed: int, at: int) -> np.ndarray:
+        size = 3 << (packed & 7) + 1
+        if at + size > len(data):
+            raise ValueError("breaks off within a palette")
+        return np.frombuffer(data, np.uint8, size, at).reshape(-1, 3)
 
     def blocks(at: int) -> tuple[bytes, int]:
         parts = []
@@ -211,6 +228,10 @@ def frames_of(data: bytes) -> Iterator[Frame]:
             at += 1 + data[at]
         return b"".join(parts), at + 1
 
+    common = np.zeros((256, 3), np.uint8)
+    if flags & 0x80:
+        common = palette_at(flags, at)
+        at += common.size
     while at < len(data) and data[at] != 0x3B:
         if data[at] == 0x21:
             label = data[at + 1] if at + 1 < len(data) else 0
@@ -218,70 +239,126 @@ def frames_of(data: bytes) -> Iterator[Frame]:
             if label == 0xF9 and len(body) >= 4:
                 packed, delay, transparent = struct.unpack_from("<BHB", body)
                 control = _Control(packed >> 2 & 7, delay, transparent if packed & 1 else -1)
-        elif data[at] == 0x2C and at + 11 < len(data):
+        elif data[at] == 0x2C:
+            if at + 11 > len(data):
+                raise ValueError("breaks off within an image")
             left, top, w, h, packed = struct.unpack_from("<HHHHB", data, at + 1)
+            if w * h > MOST_PIXELS:
+                raise ValueError(f"image of {w} x {h} pixels")
             at, palette = at + 10, common
             if packed & 0x80:
-                palette = np.frombuffer(data, np.uint8, 3 << (packed & 7) + 1, at).reshape(-1, 3)
+                palette = palette_at(packed, at)
                 at += palette.size
-            least = data[at]
+            least = data[at] if at < len(data) else 0
+            if not 1 <= least <= 8:
+                raise ValueError(f"code size {least}")
             stream, at = blocks(at + 1)
             found = np.frombuffer(lzw_decode(stream, least, w * h), np.uint8)
-            shown = np.zeros(w * h, bool)
-            shown[: len(found)] = True
-            indices = np.zeros(w * h, np.uint8)
-            indices[: len(found)] = found
+            indices, shown, whole = found, np.ones(w * h, bool), len(found) == w * h
+            if not whole:
+                indices = np.zeros(w * h, np.uint8)
+                indices[: len(found)], shown[len(found) :] = found, False
             if packed & 0x40:  # rows in four passes
-                order = np.concatenate([np.arange(a, h, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
-                back = np.argsort(order)
-                indices, shown = indices.reshape(h, w)[back].ravel(), shown.reshape(h, w)[back].ravel()
+                back = np.argsort(np.concatenate([np.arange(a, h, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))]))
+                indices, shown = indices.reshape(h, w)[back], shown.reshape(h, w)[back]
             indices, shown = indices.reshape(h, w), shown.reshape(h, w)
             if control.transparent >= 0:
                 shown = shown & (indices != control.transparent)
-            if palette is None:
-                palette = np.zeros((256, 3), np.uint8)
-            before = canvas.copy() if control.disposal == 3 else None
-            box = slice(top, min(top + h, height)), slice(left, min(left + w, width))
-            inner = slice(0, max(0, box[0].stop - top)), slice(0, max(0, box[1].stop - left))
-            colours = palette[indices[inner] if len(palette) == 256 else np.minimum(indices[inner], len(palette) - 1)]
-            part, visible = canvas[box], shown[inner]
-            if visible.all():
-                part[..., :3], part[..., 3] = colours, 255
-            else:
-                part[visible, :3], part[visible, 3] = colours[visible], 255
-            yield Frame(canvas.copy(), control.delay, (left, top, w, h))
-            if control.disposal == 2:
-                canvas[box] = 0
-            elif control.disposal == 3:
-                canvas = before
+            yield _Image((width, height), (left, top, w, h), indices, shown, palette, control, whole)
+            if not whole:
+                raise ValueError("an image's codes break off")
             control = _Control()
         else:
-            break
+            raise ValueError(f"unknown block {data[at]}")
+    if at >= len(data):
+        raise ValueError("breaks off before its end")
+
+
+def _colours(image: _Image, indices: np.ndarray) -> np.ndarray:
+    return image.palette[indices if len(image.palette) == 256 else np.minimum(indices, len(image.palette) - 1)]
+
+
+class _Screen:
+    """The canvas, on which images are drawn one after the other. One that covers it all is drawn only when a later one needs it."""
+
+    def __init__(self, size: tuple[int, int]):
+        self.canvas, self.covering = np.zeros((size[1], size[0], 4), np.uint8), None
+
+    def place(self, image: _Image) -> tuple[slice, slice]:
+        (width, height), (left, top, w, h) = image.size, image.box
+        return slice(top, max(top, min(top + h, height))), slice(left, max(left, min(left + w, width)))
+
+    def draw(self, image: _Image) -> np.ndarray:
+        """The canvas with the image on it."""
+        if self.covering is not None:
+            covering, self.covering = self.covering, None
+            self._put(covering)
+        before = self.canvas.copy() if image.control.disposal == 3 else None
+        self._put(image)
+        shown = self.canvas.copy()
+        if image.control.disposal == 2:
+            self.canvas[self.place(image)] = 0
+        elif image.control.disposal == 3:
+            self.canvas = before
+        return shown
+
+    def _put(self, image: _Image) -> None:
+        box = self.place(image)
+        part, inner = self.canvas[box], (slice(0, box[0].stop - box[0].start), slice(0, box[1].stop - box[1].start))
+        colours, visible = _colours(image, image.indices[inner]), image.shown[inner]
+        part[visible, :3], part[visible, 3] = colours[visible], 255
+
+
+def frames_of(data: bytes) -> Iterator[Frame]:
+    """Rendered frames of a GIF, in order.
+
+    Each image's indices go through its own palette or else the common one; transparent ones leave the canvas as it is. After a frame is
+    shown, its rectangle stays (disposal 0, 1), is cleared (2), or is put back as it was before it (3). Raises ValueError, after the frames that can be
+    rendered, for what is no GIF or breaks off, for code sizes other than 1 to 8, and for more than MOST_PIXELS.
+    """
+    screen = None
+    for image in _images(data):
+        screen = screen or _Screen(image.size)
+        yield Frame(screen.draw(image), image.control.delay, image.box)
+
+
+def _histogram(values: list[np.ndarray], weights: np.ndarray | None = None) -> list[int]:
+    """Counts of red, green and blue values by BINS."""
+    return np.concatenate([np.bincount(v.ravel() // (256 // BINS), weights, BINS) for v in values]).astype(np.int64).tolist()
 
 
 def decode_gif(data: bytes | None) -> dict:
     """One row of DECODED. samples: the red channel of each frame's own rectangle as rendered, frame after frame.
 
-    Null gives nulls; bytes that are no GIF give the reason in error, besides the frames found before it.
+    Null gives nulls. Bytes that are no GIF, or a broken one, give the reason in error, besides the frames that were found before; an error is
+    null only for a file that is whole.
     """
     if data is None:
         return dict.fromkeys(DECODED.names)
-    counts, delays, samples, error, size = np.zeros(3 * BINS, np.int64), [], [], None, (None, None)
+    frames, samples, error, size, screen = [], [], None, (None, None), None
     try:
-        for frame in frames_of(data):
-            size = frame.canvas.shape[1], frame.canvas.shape[0]
-            for c in range(3):
-                counts[c * BINS : (c + 1) * BINS] += np.bincount(frame.canvas[:, :, c].ravel(), minlength=256).reshape(BINS, -1).sum(axis=1)
-            left, top, w, h = frame.box
-            samples.append(frame.canvas[top : top + h, left : left + w, 0].tobytes())
-            delays.append(frame.delay)
-    except (ValueError, IndexError, struct.error) as e:
-        error = str(e) or type(e).__name__
-    return {"width": size[0], "height": size[1], "n_frames": len(delays), "delays": delays, "histogram": counts.tolist(), "samples": b"".join(samples), "error": error}
+        for image in _images(data):
+            size = image.size
+            screen = screen or _Screen(size)
+            left, top, w, h = image.box
+            if image.covers() and image.control.disposal < 2:
+                screen.covering = image  # its colours follow from its indices, whatever was there before
+                palette = _colours(image, np.arange(256))
+                histogram = _histogram(list(palette.T), np.bincount(image.indices.ravel(), minlength=256))
+                samples.append(palette[:, 0][image.indices].tobytes())
+            else:
+                canvas = screen.draw(image)
+                histogram = _histogram([canvas[:, :, c] for c in range(3)])
+                samples.append(canvas[screen.place(image)][..., 0].tobytes())
+            frames.append((image.control.delay, left, top, w, h, histogram))
+    except ValueError as e:
+        error = str(e)
+    return {"width": size[0], "height": size[1], "n_frames": len(frames), "frames": frames, "samples": b"".join(samples), "error": error}
 
 
 def store_gif(df: DataFrame, payload: str = "payload", media: str = "media") -> DataFrame:
-    """Add a binary column of GIF files that hold the payloads (multiples of WIDTH bytes, not empty). Null gives null. No shuffle."""
+    """Add a binary column of GIF files that hold the payloads (multiples of WIDTH bytes, not empty). Null gives null; an existing column of
+    the name is replaced; repeated rows and an empty table pass through. No shuffle."""
 
     @F.pandas_udf("binary")
     def encode(payloads: pd.Series) -> pd.Series:
@@ -291,7 +368,8 @@ def store_gif(df: DataFrame, payload: str = "payload", media: str = "media") ->
 
 
 def read_gif(df: DataFrame, media: str = "media", out: str = "gif") -> DataFrame:
-    """Add a struct column DECODED read from GIF files: size, timed frames, colour histogram and samples. No shuffle."""
+    """Add a struct column DECODED read from GIF files: size, timed frames with their histograms, samples, error. Null gives nulls within; files that
+    can't be read give an error; an existing column of the name is replaced; repeated rows and an empty table pass through. No shuffle."""
 
     @F.pandas_udf(DECODED)
     def decode(files: pd.Series) -> pd.DataFrame:
@@ -300,8 +378,33 @@ def read_gif(df: DataFrame, media: str = "media", out: str = "gif") -> DataFrame
     return replace_columns(df, out).withColumn(out, decode(media))
 
 
+def read_frames(df: DataFrame, id_col: str, media: str = "media") -> DataFrame:
+    """One row for each frame as it is shown: id_col, frame (from 0), delay (hundredths of a second), width, height, rgba (rows from the top,
+    opacity last), histogram. Files that can't be read, and null ones, give the frames found before the fault, or none; frames are made one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, file in enumerate(batch.column(1)):
+                try:
+                    for n, frame in enumerate(frames_of(file.as_py() or b"")):
+                        height, width, _ = frame.canvas.shape
+                        row = [n, frame.delay, width, height], frame.canvas.tobytes(), _histogram([frame.canvas[:, :, c] for c in range(3)])
+                        arrays = [*(pa.array([x], pa.int32()) for x in row[0]), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.list_(pa.int64()))]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *arrays], names=[id_col, *_SHOWN])
+                except ValueError:
+                    continue
+
+    kinds = [T.IntegerType()] * 4 + [T.BinaryType(), T.ArrayType(T.LongType())]
+    schema = T.StructType([df.schema[id_col], *[T.StructField(c, kind) for c, kind in zip(_SHOWN, kinds, strict=True)]])
+    return df.select(id_col, media).mapInArrow(run, schema)
+
+
+_SHOWN = ("frame", "delay", "width", "height", "rgba", "histogram")
+
+
 def payloads(df: DataFrame, text_col: str = "text", payload: str = "payload") -> DataFrame:
-    """Add the UTF-8 bytes of a text, filled up with blanks to a positive multiple of WIDTH. Null counts as empty."""
+    """Add the UTF-8 bytes of a text, filled up with blanks to a positive multiple of WIDTH. Null and empty texts give WIDTH blanks; an existing
+    column of the name is replaced; repeated rows and an empty table pass through."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     length = F.octet_length(text)
     fill = F.greatest(F.lit(1), F.ceil(length / WIDTH)).cast("int") * WIDTH - length

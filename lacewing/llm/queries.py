@@ -95,11 +95,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's bytes stored as the frames of a GIF, read back and summed up by their colours."""
+    """Every document's bytes stored as the frames of a GIF, read back; the feature lists each frame's time, size and colours."""
     rows = media.payloads(documents(spark, sf_dir).select("doc_id", "text"))
     stored = media.read_gif(media.store_gif(rows.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "payload")).drop("payload"))
     read = F.col("gif.samples")
-    feature = F.concat(F.col("gif.n_frames").cast("string"), F.lit("x"), F.array_join(F.transform("gif.delays", lambda x: x.cast("string")), "+"), F.lit(":"), F.array_join(F.col("gif.histogram").cast("array<string>"), ","))
+    shown = lambda f: F.concat_ws(":", *[f[c].cast("string") for c in ("delay", "width", "height")], F.array_join(f["histogram"].cast("array<string>"), ","))
+    feature = F.array_join(F.transform("gif.frames", shown), "+")
     return stored.select(
         "doc_id", "n_bytes", F.octet_length(read).cast("long").alias("payload_bytes"), F.sha2(read, 256).alias("payload_sha256"), F.crc32(F.substring(read, -16, 16)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),

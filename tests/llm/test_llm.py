@@ -351,7 +351,46 @@ def test_media_frames(spark):
         data = (r.text or "").encode()
         padded = data + b" " * (max(1, -(-len(data) // 192)) * 192 - len(data))
         assert bytes(r.gif.samples) == padded and r.gif.n_frames == -(-len(padded) // (192 * 256)) and zlib.crc32(padded) == zlib.crc32(bytes(r.payload))
-        assert sum(r.gif.histogram) == 3 * r.gif.n_frames * r.gif.width * r.gif.height
+        assert r.gif.error is None and [f.delay for f in r.gif.frames] == [media.DELAY] * r.gif.n_frames
+        assert all(sum(f.histogram) == 3 * r.gif.width * r.gif.height for f in r.gif.frames)
+    shown = media.read_frames(media.store_gif(media.payloads(docs(spark, texts))), "doc_id").collect()
+    by_id = {(r.doc_id, i): f for r in out for i, f in enumerate(r.gif.frames)}
+    assert len(shown) == len(by_id) and all(by_id[r.doc_id, r.frame].histogram == r.histogram and len(r.rgba) == 4 * r.width * r.height for r in shown)
+    assert media.read_gif(media.store_gif(media.payloads(docs(spark, ["a"]).limit(0)))).count() == 0
+
+
+def test_broken_gifs_give_an_error():
+    good = media.gif_of(bytes(range(192)) * 2)
+    at = good.index(b"\x08", 13 + 768 + 8 + 10 - 1)
+    assert media.decode_gif(good)["error"] is None
+    for size in (0, 9, 12, 200, 255):
+        assert media.decode_gif(good[:at] + bytes([size]) + good[at + 1 :])["error"] == f"code size {size}"
+    for end in range(len(good)):
+        assert media.decode_gif(good[:end])["error"], end
+    big = media.decode_gif(good[:6] + b"\xff\xff\xff\xff" + good[10:])
+    assert big["error"].startswith("canvas") and big["samples"] == b"" and big["n_frames"] == 0
+    assert media.decode_gif(good[:-1] + b"\x99;")["error"] == "unknown block 153"
+    cut = media.decode_gif(good[:-30] + b"\0;")
+    assert cut["n_frames"] == 1 and cut["error"]
+
+
+def test_histograms_do_not_depend_on_how_frames_are_drawn():
+    rnd = random.Random(12)
+    head = b"GIF89a" + (4).to_bytes(2, "little") + (3).to_bytes(2, "little") + bytes([0x81, 0, 0]) + bytes(rnd.randrange(256) for _ in range(12))
+    for _ in range(60):
+        parts = []
+        for _ in range(5):
+            w, h = rnd.choice([(4, 3), (2, 2), (1, 3)])
+            rect = (rnd.randrange(5 - w), rnd.randrange(4 - h), w, h)
+            parts.append(frame(rect, [rnd.randrange(4) for _ in range(w * h)], rnd.randrange(9), rnd.randrange(4), rnd.choice([None, 1])))
+        data = head + b"".join(parts) + b";"
+        got, shown = media.decode_gif(data), list(media.frames_of(data))
+        samples = b""
+        for (delay, *_, histogram), f in zip(got["frames"], shown, strict=True):
+            assert delay == f.delay and histogram == [sum(int(v) // 32 == k for v in f.canvas[:, :, c].ravel()) for c in range(3) for k in range(8)]
+            left, top, w, h = f.box
+            samples += f.canvas[top : top + h, left : left + w, 0].tobytes()
+        assert got["samples"] == samples and got["error"] is None
 
 
 def bits_shared(a, b):
