@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacewing.functions.lineage import cut, ensure_checkpoint_dir
 
-__all__ = ["BROADCAST_ROWS", "PRE", "SPACE", "checked_join", "cut", "ensure_checkpoint_dir", "let", "n_words", "replace_columns", "words"]
+__all__ = ["BROADCAST_ROWS", "PRE", "SPACE", "checked_join", "cut", "ensure_checkpoint_dir", "let", "likely", "n_words", "put_aside", "put_back", "replace_columns", "words"]
 
 #: Prefix of every working column; an input column of that name is not supported.
 PRE = "_lw_"
@@ -15,6 +17,8 @@ PRE = "_lw_"
 SPACE = r"[\x20\x09-\x0D]+"
 #: A side of a join is broadcast only when it has been counted and has no more rows than this.
 BROADCAST_ROWS = 50_000
+#: The filter of likely() has 2 to this number of bits (4 MB).
+FILTER_BITS = 25
 
 
 def replace_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -23,6 +27,17 @@ def replace_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def put_aside(df: DataFrame, *names: str) -> DataFrame:
+    """df with columns of these names, which an operator would replace, under working names; put_back() gives them their own ones again."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`").alias(f"{PRE}aside_{i}" if c.lower() in taken else c) for i, c in enumerate(df.columns)])
+
+
+def put_back(df: DataFrame, like: DataFrame) -> DataFrame:
+    """df's columns, in their order, under the names of the columns of like."""
+    return df.toDF(*like.columns)
+
+
 def words(text: Column) -> Column:
     """ASCII-white-space separated words; null or blank text gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
@@ -47,3 +62,26 @@ def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str) -> D
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
     return big.join(small, on, how)
+
+
+def likely(keys: DataFrame, column: str) -> Column:
+    """Condition on a long column of that name: false only for values that keys surely lacks.
+
+    It keeps rows without a partner from being shuffled for a join and never changes the join's result. The filter has a fixed size of
+    2^FILTER_BITS bits, whatever the input's size: when keys has very many rows it lets more through.
+    """
+    size = 1 << FILTER_BITS
+    place = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(size)) + 1
+    at = keys.select(place(F.col(column)).alias("at"))
+    rows = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    bits = np.zeros(size // 8, np.uint8)
+    for r in rows:  # pieces of 4 KB
+        bits[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def has(places: pd.Series) -> pd.Series:
+        at = places.to_numpy(np.int64) - 1
+        return pd.Series(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
+
+    return has(place(F.col(column)))

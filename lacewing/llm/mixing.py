@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacewing.llm.common import PRE, checked_join, cut, n_words, replace_columns
+from lacewing.llm.common import PRE, checked_join, cut, n_words, put_aside, put_back, replace_columns
 
 #: Weights of the sources in their order, repeating; copies of a document at most; share of all sizes that is dealt out.
 WEIGHTS, MOST, SHARE = (5, 2, 1), 3, 1.0
@@ -75,6 +75,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 
 def mixture(df: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of df as often as it is taken, with the columns of df."""
-    taken = mix(df, **options).where("copies > 0")
-    return taken.withColumn(PRE + "copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    """The mix itself: each row of df as often as it is taken, with the columns of df, whatever their names; see mix() for nulls and repeated rows."""
+    aside = put_aside(df, _SIZE, "source_size", "target", "copies")
+    taken = mix(aside, **options).where("copies > 0")
+    out = taken.withColumn(PRE + "copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return put_back(out.select(*[F.col(f"`{c}`") for c in aside.columns]), df)

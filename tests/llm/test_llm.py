@@ -10,6 +10,7 @@ import zlib
 from array import array
 from itertools import combinations
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
@@ -393,20 +394,15 @@ def test_histograms_do_not_depend_on_how_frames_are_drawn():
         assert got["samples"] == samples and got["error"] is None
 
 
-def bits_shared(a, b):
-    return sum((a ^ b) >> (16 * k) & 0xFFFF == 0 for k in range(4))
-
-
 def lines_by_brute_force(rows):
-    """rows: (doc_id, text) of distinct ids; the lines that are removed, by document."""
-    hashes, seen = lines._Hashes(), {}
+    """rows: (doc_id, text) of distinct ids; the lines that are removed, by document. All pairs of lines are compared, by their edit similarity alone."""
+    seen = {}
     for doc, text in rows:
         for i, line in enumerate((text or "").split("\n")):
             words = line.lower().split()
             if len(words) >= lines.LEAST_WORDS:
                 seen.setdefault(" ".join(words), []).append((doc, i))
     keys = sorted(seen)
-    prints = dict(zip(keys, (int(x) % (1 << 64) for x in lines.simhashes([set(k.split()) for k in keys], hashes)), strict=True))
     root = {k: k for k in keys}
 
     def find(x):
@@ -415,7 +411,7 @@ def lines_by_brute_force(rows):
         return x
 
     for a, b in combinations(keys, 2):
-        if bits_shared(prints[a], prints[b]) >= 2 and (prints[a] ^ prints[b]).bit_count() <= lines.NEAR and lines.similar(a, b):
+        if lines.similar(a, b):
             root[find(a)] = find(b)
     groups = {}
     for k in keys:
@@ -492,12 +488,39 @@ def similar_lines(rnd, n):
             yield line, other
 
 
-def test_similar_lines_share_keys():
+def test_similar_lines_share_keys_that_stay():
+    """Each similar pair has a key in common that thinning keeps, and fingerprints that differ by twice its edits at most."""
     rnd = random.Random(31)
     for common in ({}, {"the": 40, "w7": 9}):
-        for pair in similar_lines(rnd, 2000):
-            a, b = lines.prefixes(list(pair), lines._Words(common))
-            assert set(a.tolist()) & set(b.tolist()), pair
+        words = lines._Words(common)
+        for pair in similar_lines(rnd, 1500):
+            data = []
+            for of, keys, places in lines.prefixes(list(pair), words):
+                for x, key, place in zip(of.tolist(), keys.tolist(), places.tolist(), strict=True):
+                    data.append((key & 0xFFFFFFFF, x, min(len(pair[x]), lines.ANY), place))
+            left = lines.thinned(np.unique(np.array(data, lines._KEY)))
+            assert set(left["line"].tolist()) == {0, 1}, pair
+            bits = sum((x ^ y).bit_count() if (x ^ y) >= 0 else 64 - (~(x ^ y)).bit_count() for x, y in zip(*(lines.fingerprint(w, words) for w in pair), strict=True))
+            assert bits <= 2 * lines.edit_distance(*pair)
+
+
+def test_thinning_drops_only_what_has_no_partner():
+    rnd = random.Random(13)
+    data = np.array([(rnd.randrange(30), i, rnd.choice([5, 10, 30, 255]), rnd.choice([0, 3, 9, 255])) for i in range(300)], lines._KEY)
+    data = np.unique(data)
+
+    def fits(a, b):
+        longer = max(a["length"], b["length"])
+        limit = int(longer) // 5
+        if a["key"] != b["key"] or longer < 255 and abs(int(a["length"]) - int(b["length"])) > limit:
+            return False
+        if longer == 255 or 255 in (a["place"], b["place"]):
+            return True
+        return abs(int(a["place"]) - int(b["place"])) <= limit and abs(int(a["length"]) - int(a["place"]) - int(b["length"]) + int(b["place"])) <= limit
+
+    expected = [i for i, a in enumerate(data) if any(i != j and fits(a, b) for j, b in enumerate(data))]
+    assert lines.thinned(data).tolist() == data[expected].tolist()
+    assert len(lines.thinned(data[:0])) == 0
 
 
 def test_line_deduplication_finds_every_similar_line(spark):
