@@ -64,8 +64,8 @@ def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str) -> D
     return big.join(small, on, how)
 
 
-def likely(keys: DataFrame, column: str) -> Column:
-    """Condition on a long column of that name: false only for values that keys surely lacks.
+def likely(keys: DataFrame, column: str, value: Column | None = None) -> Column:
+    """Condition on a long column of that name (or another value): false only where it is surely not in that column of keys.
 
     It keeps rows without a partner from being shuffled for a join and never changes the join's result. The filter has a fixed size of
     2^FILTER_BITS bits, whatever the input's size: when keys has very many rows it lets more through.
@@ -84,4 +84,4 @@ def likely(keys: DataFrame, column: str) -> Column:
         at = places.to_numpy(np.int64) - 1
         return pd.Series(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
 
-    return has(place(F.col(column)))
+    return has(place(F.col(column) if value is None else value))

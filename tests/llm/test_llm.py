@@ -498,10 +498,26 @@ def test_similar_lines_share_keys_that_stay():
             for of, keys, places in lines.prefixes(list(pair), words):
                 for x, key, place in zip(of.tolist(), keys.tolist(), places.tolist(), strict=True):
                     data.append((key & 0xFFFFFFFF, x, min(len(pair[x]), lines.ANY), place))
-            left = lines.thinned(np.unique(np.array(data, lines._KEY)))
+            data = np.array(data, lines._KEY)
+            left = lines.thinned(data[np.argsort(data["key"])])
             assert set(left["line"].tolist()) == {0, 1}, pair
-            bits = sum((x ^ y).bit_count() if (x ^ y) >= 0 else 64 - (~(x ^ y)).bit_count() for x, y in zip(*(lines.fingerprint(w, words) for w in pair), strict=True))
-            assert bits <= 2 * lines.edit_distance(*pair)
+            a, b = lines.fingerprints(list(pair), words)
+            assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= 2 * lines.edit_distance(*pair)
+            length, signs = np.array([len(x) for x in pair]), np.stack([a, b])
+            assert [x.tolist() + y.tolist() for x, y in lines.met_in(np.array([3, 7]), length, signs)] == [[0, 1]]
+
+
+def test_members_of_a_bucket_meet_unless_both_are_near_the_smallest():
+    rnd = random.Random(14)
+    for _ in range(40):
+        n = rnd.randrange(2, 30)
+        base = [[f"w{rnd.randrange(40)}" for _ in range(20)] for _ in range(3)]
+        members = [[w if rnd.random() < 0.85 else f"x{rnd.randrange(90)}" for w in rnd.choice(base)] for _ in range(n)]
+        length, signs = np.array([len(x) for x in members]), lines.fingerprints(members, lines._Words({}))
+        close = [lines.near(length, signs, i, np.arange(n)) for i in range(n)]
+        got = {p for i, j in lines.met_in(np.arange(n), length, signs) for p in zip(i.tolist(), j.tolist(), strict=True)}
+        expected = {(i, j) for i, j in combinations(range(n), 2) if close[i][j] and (i == 0 or not (close[0][i] and close[0][j]))}
+        assert got == expected
 
 
 def test_thinning_drops_only_what_has_no_partner():
