@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lacewing.llm import bpe, chat, components, lines, media, mixing, quality, secrets, sharding, simhash, warc
+from lacewing.llm import bpe, chat, components, lines, media, mixing, quality, secrets, sharding, shingles, simhash, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -507,7 +507,7 @@ def test_similar_lines_share_keys_that_stay():
             assert [x.tolist() + y.tolist() for x, y in lines.met_in(np.array([3, 3]), length, signs)][0] == [0, 1]
 
 
-def test_members_of_a_bucket_meet_unless_both_are_near_the_smallest(monkeypatch):
+def test_members_of_a_bucket_meet_unless_they_have_one_head(monkeypatch):
     rnd, members, bucket = random.Random(14), [], []
     monkeypatch.setattr(lines, "PAIRS_TOGETHER", 50)
     for b in range(40):
@@ -517,16 +517,25 @@ def test_members_of_a_bucket_meet_unless_both_are_near_the_smallest(monkeypatch)
             bucket.append(b)
     length, signs = np.array([len(x) for x in members]), lines.fingerprints(members, lines._Words({}))
     got = [p for i, j in lines.met_in(np.array(bucket), length, signs) for p in zip(i.tolist(), j.tolist(), strict=True)]
-    expected = set()
+    close = lambda x, y: lines.near(length, signs, np.array([x]), np.array([y]))[0]
+    head, expected = {}, set()
+    for i in range(len(members)):
+        heads = sorted({h for j, h in head.items() if bucket[j] == bucket[i]})
+        head[i] = next((h for h in heads if close(h, i)), i)
     for i, j in combinations(range(len(members)), 2):
-        if bucket[i] == bucket[j]:
-            head = bucket.index(bucket[i])
-            close = lambda x, y: lines.near(length, signs, np.array([x]), np.array([y]))[0]
-            if close(i, j) and (i == head or not (close(head, i) and close(head, j))):
-                expected.add((i, j))
+        if bucket[i] == bucket[j] and close(i, j) and (head[i] != head[j] or head[j] == i):
+            expected.add((i, j))
     assert len(got) == len(set(got)) and set(got) == expected
 
 
+def test_sketches_bound_the_difference():
+    rnd = random.Random(15)
+    for _ in range(100):
+        a, b = (np.unique([rnd.randrange(2000) for _ in range(rnd.randrange(1, 900))]) for _ in range(2))
+        bits = np.bitwise_count((shingles.sketch(a) ^ shingles.sketch(b)).view(np.uint64)).sum()
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_thinning_drops_only_what_has_no_partner():
     rnd = random.Random(13)
     data = np.array([(rnd.randrange(30), i, rnd.choice([5, 10, 30, 255]), rnd.choice([0, 3, 9, 255])) for i in range(300)], lines._KEY)
