@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Limits of calls. pvalue is calibrated to the given tables, whose p-values go from 0 to 0.08."""
+    """Limits of calls."""
 
     low: float = 0.05
     high: float = 0.90
     alt_count: float = 3
-    pvalue: float = 0.07
+    pvalue: float = 0.01
     coverage: float = 20
     missing: float = 0.25
     frequency: float = 0.03

@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from lacewing.functions.lineage import cut
 
 
-def leading(states: DataFrame, k: int) -> DataFrame:
-    """(pos, carriers, rank) of the k variants with most carriers, ties by position."""
-    sums = states.where("state = 1").groupBy("pos").agg(F.count("*").alias("carriers"))
-    top = sums.orderBy(F.desc("carriers"), "pos").limit(k)  # a report of k rows
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("carriers"), "pos")))
+def ranked(frequent: DataFrame) -> DataFrame:
+    """(pos, carriers, rank) of the frequent variants (see calls.frequent), those with most carriers first, ties by position."""
+    return frequent.select("pos", "carriers", F.row_number().over(Window.orderBy(F.desc("carriers"), "pos")).alias("rank"))
 
 
 def associations(states: DataFrame, top: DataFrame, n: Column) -> DataFrame:
@@ -75,10 +73,11 @@ def by_dominance(rows: DataFrame, group: str, prefix: str) -> DataFrame:
 
 
 def memo_sort(states: DataFrame, top: DataFrame) -> DataFrame:
-    """(sample, score): samples scored by the binary number that their states of the leading variants make."""
-    rows = states.where("state = 1").join(F.broadcast(top), "pos")
-    size = top.agg(F.max("rank")).scalar()
-    return rows.groupBy("sample").agg(F.sum(F.pow(F.lit(2.0), size - F.col("rank"))).cast("long").alias("score"))
+    """(sample, score): the binary number that a sample's states of the leading variants make, as text of one digit a variant, so that it has no
+    largest number of variants and sorts as the number does."""
+    rows = states.where("state = 1").join(top.select("pos", "rank"), "pos").groupBy("sample").agg(F.collect_set("rank").alias("ranks"))
+    rows = rows.withColumn("every", F.sequence(F.lit(1), top.agg(F.max("rank")).scalar()))
+    return rows.select("sample", F.array_join(F.transform("every", lambda i: F.when(F.array_contains("ranks", i), "1").otherwise("0")), "").alias("score"))
 
 
 def ancestors_rounds(k: int) -> int:

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lacewing.operators.stats import benjamini_hochberg
+
 
 def nnls(gram: np.ndarray, target: np.ndarray) -> np.ndarray:
     """x >= 0 that minimises x' gram x / 2 - target' x, by growing and shrinking the set of positive entries."""
@@ -197,6 +199,15 @@ def significance(replicates: DataFrame, mu: float = 0.05) -> DataFrame:
     return joined.select(*key, "mean", F.when(F.col("mean") > 0, _upper_tail("z")).alias("p"))
 
 
+def shares(tests: DataFrame, limit: float = 0.05) -> DataFrame:
+    """(signature, n_with, n_significant, share_with, share_significant, smallest_q) over all samples: those with a mean fraction above 0 and those with p < limit,
+    shares to two digits; q is adjusted over the samples of a signature."""
+    rows = benjamini_hochberg(tests, "p", "signature")
+    n = F.count("*")
+    there, clear = F.count_if(F.col("mean") > 0), F.count_if(F.col("p") < limit)
+    return rows.groupBy("signature").agg(there.alias("n_with"), clear.alias("n_significant"), F.round(there / n, 2).alias("share_with"), F.round(clear / n, 2).alias("share_significant"), F.min("q").alias("smallest_q"))
+
+
 def refitted(samples: DataFrame, tests: DataFrame, beta: np.ndarray, limit: float = 0.05) -> DataFrame:
     """(sample, signature, exposure, goodness): samples fitted to the signatures with p < limit alone, and the cosine of sample and fit.
 

@@ -21,17 +21,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: Variants of the association, tree and order queries.
-LEADING = 20
+#: Limits of the given tables, whose p-values go from 0 to 0.08.
+GIVEN = C.Thresholds(pvalue=0.07)
 
 
 def query(oracle: str | None = None, *views: str):
-    """Register a query with its DuckDB SQL over views; doubles are rounded to six digits on either side."""
+    """Register a query with its DuckDB SQL over views; doubles are rounded to six digits on either side, and none is -0."""
 
     def register(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = f(spark, sf_dir)
-            return df.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+            return df.select(*[(F.round(c, 6) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
         QUERIES[f.__name__] = run
         if oracle is not None:
@@ -64,7 +64,7 @@ CODONS = f"code(codon, amino) as (values {CODE}), coding as (select *, pos - cod
 EFFECTS = (T.GENOME, *ANNOTATED, CODONS)
 ALLELES = "alleles as (select (pos + 1) // 2 as pos, alt, vf from calls join variants using (pos) where vf > 0.05)"
 ALLELE = (T.CALLS, T.VARIANTS, ALLELES)
-PAIRS = f"top as (select pos, count(*) as carriers, row_number() over (order by count(*) desc, pos) as rank from states where state = 1 group by 1 order by 2 desc, 1 limit {LEADING}), ones as (select sample, pos, rank from states join top using (pos) where state = 1), joint as (select a.pos as a, b.pos as b, count(*) as joint from ones a join ones b using (sample) where a.rank < b.rank group by 1, 2), pairs as (select x.pos as a, y.pos as b, x.rank::int as rank_a, y.rank::int as rank_b, coalesce(joint, 0) as joint, ln(joint * {T.N} / (x.carriers * y.carriers)) as pmi from top x join top y on x.rank < y.rank left join joint on a = x.pos and b = y.pos)"
+PAIRS = f"top as (select pos, count(*) as carriers, row_number() over (order by count(*) desc, pos) as rank from states where state = 1 group by 1 having count(*) / {T.N} > 0.03), ones as (select sample, pos, rank from states join top using (pos) where state = 1), joint as (select a.pos as a, b.pos as b, count(*) as joint from ones a join ones b using (sample) where a.rank < b.rank group by 1, 2), pairs as (select x.pos as a, y.pos as b, x.rank::int as rank_a, y.rank::int as rank_b, coalesce(joint, 0) as joint, ln(joint * {T.N} / (x.carriers * y.carriers)) as pmi from top x join top y on x.rank < y.rank left join joint on a = x.pos and b = y.pos)"
 PAIRED = (*CLONAL, PAIRS)
 EDGES = "edges as (select a as parent, b as child, rank_b as rank from pairs qualify row_number() over (partition by b order by round(pmi, 9) desc nulls last, rank_a) = 1)"
 
@@ -79,7 +79,7 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _detected(spark: SparkSession, d: str) -> DataFrame:
-    return C.minor_variants(C.filter_calls(*_calls(spark, d)))
+    return C.minor_variants(C.filter_calls(*_calls(spark, d), GIVEN), GIVEN)
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
@@ -99,12 +99,17 @@ def _effects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _states(spark: SparkSession, d: str) -> DataFrame:
-    return C.clonal_genotypes(*_calls(spark, d))
+    return C.clonal_genotypes(*_calls(spark, d), GIVEN)
+
+
+def _top(states: DataFrame, n) -> DataFrame:
+    """All frequent variants, ranked."""
+    return P.ranked(C.frequent(states, n, GIVEN))
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    states = _states(spark, d)
-    return P.associations(states, P.leading(states, LEADING), T.n_samples(spark, d))
+    states, n = cut(_states(spark, d)), T.n_samples(spark, d)
+    return P.associations(states, cut(_top(states, n)), n)
 
 
 def _alleles(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +120,7 @@ def _alleles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select * from filtered", T.CALLS, MASKED, FILTERED)
 def filter_calls(spark, d):
-    return C.filter_calls(*_calls(spark, d))
+    return C.filter_calls(*_calls(spark, d), GIVEN)
 
 
 @query("select * from states", *CLONAL)
@@ -126,12 +131,12 @@ def clonal_genotypes(spark, d):
 @query(f"select pos, coalesce(sum(state), 0)::bigint as carriers, round(coalesce(sum(state), 0) / {T.N}, 6) as frequency from states group by 1 having coalesce(sum(state), 0) / {T.N} > 0.03", *CLONAL)
 def frequent_clonal(spark, d):
     calls, n = _calls(spark, d)
-    return C.frequent(C.clonal_genotypes(calls, n), n)
+    return C.frequent(C.clonal_genotypes(calls, n, GIVEN), n, GIVEN)
 
 
 @query("select sample, pos, case when vf > 0.9 then '1' when vf < 0.05 then '0' else '{0,1}' end as code from reliable", T.CALLS, UNMASKED)
 def ambiguity_codes(spark, d):
-    unreliable = (F.col("coverage") < C.LIMITS.coverage) | (F.col("pvalue") >= C.LIMITS.pvalue)
+    unreliable = (F.col("coverage") < GIVEN.coverage) | (F.col("pvalue") >= GIVEN.pvalue)
     return T.calls(spark, d).select("sample", "pos", C.ambiguity(F.when(~unreliable, F.col("vf"))).alias("code"))
 
 
@@ -207,9 +212,9 @@ def contingency_type_effect(spark, d):
     return L.contingency(rows, "type", "effect")
 
 
-@query("select sample, type, count(*) as n from facts group by 1, 2", *FACT)
+@query("select sample, type, coalesce(n, 0)::bigint as n, round(coalesce(n, 0) / sum(coalesce(n, 0)) over (partition by sample), 6) as share from (select a.sample, b.type from (select distinct sample from facts) a, (select distinct type from facts) b) left join (select sample, type, count(*) as n from facts group by 1, 2) using (sample, type)", *FACT)
 def sample_type_counts(spark, d):
-    return _facts(spark, d).groupBy("sample", "type").agg(F.count("*").alias("n"))
+    return L.contingency(_facts(spark, d), "sample", "type")
 
 
 @query("select sample, n_minor, n_clonal, round(mean_minor, 6) as mean_minor, count(*) over (partition by n_clonal, n_minor) as n_same from counts", T.CALLS, COUNTS)
@@ -313,7 +318,8 @@ def pmi_start_tree(spark, d):
 
 @query("select ancestor, child, distance from closure", "recursive " + CLONAL[0], *CLONAL[1:], PAIRS, EDGES, "closure as (select parent as ancestor, child, 1 as distance from edges union all select parent, closure.child, distance + 1 from closure join edges on ancestor = edges.child)")
 def ancestor_closure(spark, d):
-    return P.ancestors(P.start_tree(_pairs(spark, d)), P.ancestors_rounds(LEADING))
+    tree = cut(P.start_tree(_pairs(spark, d)))
+    return P.ancestors(tree, P.ancestors_rounds(tree.count() + 1))
 
 
 @query("select clade, pos, round(coalesce(sum(state), 0) / nullif(any_value(size) - sum((state is null)::int), 0), 6) as mean from states join samples using (sample) join (select clade, count(*) as size from samples group by 1) using (clade) group by 1, 2", *CLONAL, T.SAMPLES)
@@ -326,10 +332,10 @@ def dominance_order(spark, d):
     return P.by_dominance(T.samples(spark, d), "clade", "C")
 
 
-@query("select sample, sum(pow(2, (select max(rank) from top) - rank))::bigint as score from ones group by 1", *PAIRED)
+@query("select s.sample, string_agg(case when o.pos is null then '0' else '1' end, '' order by t.rank) as score from (select distinct sample from ones) s cross join top t left join ones o on o.sample = s.sample and o.pos = t.pos group by 1", *PAIRED)
 def memo_sort(spark, d):
-    states = _states(spark, d)
-    return P.memo_sort(states, P.leading(states, LEADING))
+    states = cut(_states(spark, d))
+    return P.memo_sort(states, cut(_top(states, T.n_samples(spark, d))))
 
 
 SLIDING = "spots as (select distinct cluster, pos, effect from effects join facts using (pos)), starts as (select unnest(range(1, (select max(p_partkey) from part) - 298, 3)) as start), sliding as (select cluster, start, sum((effect = 'NS')::int)::bigint as n_ns, sum((effect = 'S')::int)::bigint as n_s from starts join spots on pos between start and start + 299 group by 1, 2), ratios as (select *, n_ns / nullif(n_s, 0) as ratio from sliding)"
@@ -341,12 +347,12 @@ def _sliding(spark, d):
 
 
 @query("select cluster, start, n_ns, n_s, round(ratio, 6) as ratio from ratios", *EFFECTS, T.CALLS, T.SAMPLES, FACTS, SLIDING)
-def dnds_windows(spark, d):
+def effect_windows(spark, d):
     return _sliding(spark, d)
 
 
 @query("select cluster, pos, round(avg(ratio), 6) as mean from (select cluster, unnest(range(start, start + 300)) as pos, ratio from ratios) group by 1, 2", *EFFECTS, T.CALLS, T.SAMPLES, FACTS, SLIDING)
-def dnds_smooth(spark, d):
+def effect_ratio_smooth(spark, d):
     return W.smoothed(_sliding(spark, d), "ratio")
 
 
@@ -355,15 +361,22 @@ CATEGORIES, SIGNATURES, REPLICATES = 6, 3, 1000
 
 
 def _vectors(spark, d):
-    """(sample, x): count vectors as arrays."""
-    x = F.transform(F.slice("embedding", 1, CATEGORIES), lambda v: F.abs(v.cast("double")))
-    return T.table(spark, d, "embeddings").select(F.col("vec_id").alias("sample"), x.alias("x"))
+    """(sample, x): each sample's counts of the six classes of substitutions."""
+    rows = X.rolled_up(_counts(spark, d)).groupBy("sample")
+    of = [F.sum(F.when(F.col("context") == c, F.col("n")).otherwise(0)).cast("double") for c in X.CLASSES]
+    return cut(rows.agg(F.array(*of).alias("x")))
 
 
 def _factorised(spark, d):
     return G.factorise(_vectors(spark, d), SIGNATURES, CATEGORIES)
 
 
+def _tests(spark, d):
+    vectors = _vectors(spark, d)
+    beta = G.factorise(vectors, SIGNATURES, CATEGORIES)[1]
+    return vectors, beta, G.significance(G.bootstrap(vectors, beta, REPLICATES))
+
+
 @query()
 def nmf_decomposition(spark, d):
     fitted, _ = _factorised(spark, d)
@@ -378,15 +391,29 @@ def nmf_quality(spark, d):
 
 @query()
 def bootstrap_significance(spark, d):
-    _, beta = _factorised(spark, d)
-    return G.significance(G.bootstrap(_vectors(spark, d), beta, REPLICATES))
+    return _tests(spark, d)[2]
 
 
 @query()
 def significant_exposures(spark, d):
-    _, beta = _factorised(spark, d)
+    vectors, beta, tests = _tests(spark, d)
+    return G.refitted(vectors, tests, beta)
+
+
+@query()
+def signature_shares(spark, d):
+    """Samples with each signature, and of all samples the shares that have it and have it significantly."""
+    return G.shares(_tests(spark, d)[2])
+
+
+@query()
+def fitted_to_signatures(spark, d):
+    """The second half of the samples as a new cohort, begun from the signatures of the first."""
     vectors = _vectors(spark, d)
-    return G.refitted(vectors, G.significance(G.bootstrap(vectors, beta, REPLICATES)), beta)
+    half = F.pmod(F.xxhash64("sample"), F.lit(2))
+    beta = G.factorise(vectors.where(half == 0), SIGNATURES, CATEGORIES)[1]
+    fitted, _ = G.factorise(vectors.where(half == 1), SIGNATURES, CATEGORIES, beta=beta)
+    return fitted.select("sample", F.posexplode("alpha").alias("signature", "exposure"))
 
 
 @query()
@@ -398,24 +425,24 @@ def kmeans_clusters(spark, d):
 #: Error rates of the attachment to a fixed tree: false ones and false zeros.
 ALPHA, BETA = 0.01, 0.05
 CLOSURE = "closure as (select parent as ancestor, child, 1 as distance from edges union all select parent, closure.child, distance + 1 from closure join edges on ancestor = edges.child)"
-ATTACHED = f"genotypes as (select rank as clone, pos from top union select t.rank, ancestor from closure join top t on t.pos = child), clones as (select unnest(range(0, {LEADING} + 1)) as clone), scored as (select s.sample, c.clone, round(sum(case when t.pos is null or st.pos is not null and st.state is null then 0 when st.state = 1 and g.pos is not null then ln(1 - {ALPHA}) when st.state = 1 then ln({ALPHA}) when g.pos is not null then ln({BETA}) else ln(1 - {BETA}) end), 6) as log_likelihood from samples s cross join clones c left join top t on true left join states st on st.sample = s.sample and st.pos = t.pos left join genotypes g on g.clone = c.clone and g.pos = t.pos group by 1, 2), attached as (select sample, clone::int as clone, log_likelihood from scored qualify row_number() over (partition by sample order by log_likelihood desc, clone) = 1)"
+ATTACHED = f"genotypes as (select rank as clone, pos from top union select t.rank, ancestor from closure join top t on t.pos = child), clones as (select unnest(range(0, (select count(*) + 1 from top))) as clone), scored as (select s.sample, c.clone, round(sum(case when t.pos is null or st.pos is not null and st.state is null then 0 when st.state = 1 and g.pos is not null then ln(1 - {ALPHA}) when st.state = 1 then ln({ALPHA}) when g.pos is not null then ln({BETA}) else ln(1 - {BETA}) end), 6) as log_likelihood from samples s cross join clones c left join top t on true left join states st on st.sample = s.sample and st.pos = t.pos left join genotypes g on g.clone = c.clone and g.pos = t.pos group by 1, 2), attached as (select sample, clone::int as clone, log_likelihood from scored qualify row_number() over (partition by sample order by log_likelihood desc, clone) = 1)"
 ATTACH = ("recursive " + CLONAL[0], *CLONAL[1:], PAIRS, EDGES, CLOSURE, T.SAMPLES, ATTACHED)
 
 
 def _attached(spark, d):
     states = cut(_states(spark, d))
-    top = cut(P.leading(states, LEADING))
-    tree = P.start_tree(P.associations(states, top, T.n_samples(spark, d)))
-    closure = P.ancestors(tree, P.ancestors_rounds(LEADING))
-    genotypes = cut(P.clone_genotypes(tree, closure, top))
-    return P.attachments(states, T.samples(spark, d), genotypes, top, LEADING, ALPHA, BETA)
+    n = T.n_samples(spark, d)
+    top = cut(_top(states, n))
+    tree, size = P.start_tree(P.associations(states, top, n)), top.count()
+    genotypes = cut(P.clone_genotypes(tree, P.ancestors(tree, P.ancestors_rounds(size)), top))
+    return cut(P.attachments(states, T.samples(spark, d), genotypes, top, size, ALPHA, BETA)), size
 
 
 @query("select * from attached", *ATTACH)
 def attachment_fixed_tree(spark, d):
-    return _attached(spark, d)
+    return _attached(spark, d)[0]
 
 
 @query("select clone::int as clone, n, round(n / (select count(*) from attached), 6) as prevalence from clones left join (select clone, count(*) as n from attached group by 1) using (clone)", *ATTACH)
 def clone_prevalence(spark, d):
-    return P.prevalence(cut(_attached(spark, d)), LEADING)
+    return P.prevalence(*_attached(spark, d))

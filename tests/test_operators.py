@@ -14,10 +14,10 @@ from lacewing.operators import stats as S
 
 
 def test_mask_order(spark):
-    rows = [(vf, n, p, c) for vf in (0.05, 0.06) for n in (2.0, 3.0) for p in (0.069, 0.07) for c in (19.0, 20.0)]
+    rows = [(vf, n, p, c) for vf in (0.05, 0.06) for n in (2.0, 3.0) for p in (0.0099, 0.01) for c in (19.0, 20.0)]
     got = spark.createDataFrame(rows, "vf double, alt_count double, pvalue double, coverage double").withColumn("m", C.masked()).collect()
     for r in got:
-        expected = None if r.coverage < 20 or r.pvalue >= 0.07 else 0.0 if r.alt_count < 3 or r.vf <= 0.05 else r.vf
+        expected = None if r.coverage < 20 or r.pvalue >= 0.01 else 0.0 if r.alt_count < 3 or r.vf <= 0.05 else r.vf
         assert r.m == expected
     empty = spark.createDataFrame([(0.5, None, None, None)], "vf double, alt_count double, pvalue double, coverage double").withColumn("m", C.masked())
     assert empty.first().m == 0.5
@@ -103,7 +103,7 @@ def test_merging_needs_equal_missing_states(spark):
 def test_start_tree_and_closure(spark):
     rows = [(s, p, 1) for p, carriers in ((1, range(8)), (2, range(6)), (3, range(4)), (4, (6, 7))) for s in carriers]
     states = spark.createDataFrame(rows, "sample int, pos int, state int")
-    tree = P.start_tree(P.associations(states, P.leading(states, 4), F.lit(10)))
+    tree = P.start_tree(P.associations(states, P.ranked(C.frequent(states, F.lit(10))), F.lit(10)))
     assert sorted((r.parent, r.child) for r in tree.collect()) == [(1, 2), (1, 4), (2, 3)]
     closure = {(r.ancestor, r.child, r.distance) for r in P.ancestors(tree.select("parent", "child"), 2).collect()}
     assert closure == {(1, 2, 1), (1, 4, 1), (2, 3, 1), (1, 3, 2)}
