@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for checkpoints, shared by driver and executors.
 
-    It is the session's spark.checkpoint.dir; only where that is unset (local tests) a temporary folder is taken.
+    It is the session's spark.checkpoint.dir; where that is unset, a temporary folder is taken if all runs on this machine, and else there is none.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return folder or sc.getCheckpointDir()
 
