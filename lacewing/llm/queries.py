@@ -122,5 +122,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op5_chat": chat.ORACLE,
+    "op6_warc": warc.ORACLE,
     "op7_quality": quality.oracle(),
 }

@@ -229,8 +229,19 @@ def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> str:
-    """Write pages to archives and give the folder's name, a new one below the shared folder unless given."""
-    folder = folder or f"{ensure_checkpoint_dir(pages.sparkSession)}/{PRE}warc-{uuid.uuid4()}"
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    """Write pages to archives and give the folder's name, a new one below the shared folder unless given; a name without a scheme is one of the
+    cluster's own file system, as for Spark."""
+    spark = pages.sparkSession
+    folder = folder or f"{ensure_checkpoint_dir(spark)}/{PRE}warc-{uuid.uuid4()}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     write_warc(revisits(pages), folder)
     return folder
+
+
+ORACLE = f"""
+with p as (select page_id, sha1(coalesce(html, '')) as digest, strlen(coalesce(html, '')) as size from pages),
+q as (select *, case when size >= {LEAST_REVISIT} then max(page_id) over (partition by digest, size) end as top from p)
+select page_id, size::bigint as payload_bytes, digest as payload_digest, case when page_id < top then 'revisit' else 'response' end as record_type,
+       case when page_id < top then top end as refers_to
+from q"""
