@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from lacewing.llm.common import replace_columns
 
 #: Bounds of what a worker keeps: moves of the machine, and twice as many bytes of whole words of at most LONGEST_KEPT characters.
-TRANSITIONS_KEPT, WORDS_BYTES, LONGEST_KEPT = 400_000, 32 << 20, 40
+TRANSITIONS_KEPT, WORDS_BYTES, LONGEST_KEPT = 300_000, 20 << 20, 40
 #: Bytes that a word of the table is reckoned to take besides its text and ids.
 WORD_COST = 180
 #: Longer words (bytes) are led through the machine by themselves; the others so many at once.
@@ -36,7 +36,7 @@ LAST = 1 << 40
 #: Tokens below a node up to which paths are reduced; marks in the place of the token before.
 FEW, ANY, NEVER = 1, -2, -3
 #: Texts are taken together up to this many characters.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Slots of the moves' hash table, for each move that may be kept, at least; multiplier of its hash.
 _ROOM, _MIX = 2, np.uint64(0x9E3779B97F4A7C15)
 
