@@ -504,10 +504,12 @@ def test_similar_lines_share_keys_that_stay():
             a, b = lines.fingerprints(list(pair), words)
             assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= 2 * lines.edit_distance(*pair)
             length, signs = np.array([len(x) for x in pair]), np.stack([a, b])
-            assert [x.tolist() + y.tolist() for x, y in lines.met_in(np.array([3, 3]), length, signs)][0] == [0, 1]
+            assert [x.tolist() + y.tolist() for x, y, _ in lines.met_in(np.array([3, 3]), length, signs)][0] == [0, 1]
 
 
-def test_members_of_a_bucket_meet_unless_they_have_one_head(monkeypatch):
+def test_members_of_a_bucket_are_linked_whatever_texts_say(monkeypatch):
+    """met_in gives heads with their groups and one pair for each member near earlier groups; across all that roots leave open. Both together find the
+    components of all pairs that are near and whose texts are similar, whichever these are."""
     rnd, members, bucket = random.Random(14), [], []
     monkeypatch.setattr(lines, "PAIRS_TOGETHER", 50)
     for b in range(40):
@@ -515,17 +517,54 @@ def test_members_of_a_bucket_meet_unless_they_have_one_head(monkeypatch):
         for _ in range(rnd.randrange(1, 30)):
             members.append([w if rnd.random() < 0.85 else f"x{rnd.randrange(90)}" for w in rnd.choice(base)])
             bucket.append(b)
-    length, signs = np.array([len(x) for x in members]), lines.fingerprints(members, lines._Words({}))
-    got = [p for i, j in lines.met_in(np.array(bucket), length, signs) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    bucket, length, signs = np.array(bucket), np.array([len(x) for x in members]), lines.fingerprints(members, lines._Words({}))
+    out = list(lines.met_in(bucket, length, signs))
+    got = [p for i, j, _ in out for p in zip(i.tolist(), j.tolist(), strict=True)]
+    more = {x for _, _, others in out for x in others.tolist()}
     close = lambda x, y: lines.near(length, signs, np.array([x]), np.array([y]))[0]
-    head, expected = {}, set()
+    head, stars, cross = {}, set(), {}
     for i in range(len(members)):
         heads = sorted({h for j, h in head.items() if bucket[j] == bucket[i]})
         head[i] = next((h for h in heads if close(h, i)), i)
-    for i, j in combinations(range(len(members)), 2):
-        if bucket[i] == bucket[j] and close(i, j) and (head[i] != head[j] or head[j] == i):
-            expected.add((i, j))
-    assert len(got) == len(set(got)) and set(got) == expected
+    near = [(i, j) for i, j in combinations(range(len(members)), 2) if bucket[i] == bucket[j] and close(i, j)]
+    for i, j in near:
+        if head[j] == i:
+            stars.add((i, j))
+        elif head[i] != head[j]:
+            late, early = (i, j) if head[i] > head[j] else (j, i)
+            cross.setdefault(late, set()).add((min(late, early), max(late, early)))
+    assert len(got) == len(set(got)) and stars <= set(got)
+    assert all(len(pairs & set(got)) == 1 for pairs in cross.values()) and len(got) == len(stars) + len(cross)
+    assert more == {late for late, pairs in cross.items() if len(pairs) > 1} and more
+
+    def roots(pairs):
+        root = list(range(len(members)))
+        for i, j in sorted(pairs) * len(members[0]):
+            root[i] = root[j] = min(root[i], root[j])
+        return np.array(root)
+
+    for share in (1.0, 0.7, 0.2):
+        alike = {p for p in near if rnd.random() < share}
+        first = roots(set(got) & alike)
+        again = {int(bucket[x]) for x in more} | {int(bucket[x]) for p in set(got) - alike for x in p}
+        rows = np.flatnonzero(np.isin(bucket, list(again)))
+        left = [(rows[i], rows[j]) for x, y, _ in lines.across(bucket[rows], length[rows], signs[rows], first[rows]) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+        assert sorted(left) == [(i, j) for i, j in near if bucket[i] in again and first[i] != first[j]]
+        assert (roots(alike & (set(got) | set(left))) == roots(alike)).all()
+
+
+def test_very_many_near_lines_meet_in_few_pairs(spark):
+    """Pairs grow with the lines of a group, not with their square, and all are found to be one group."""
+    rnd, base = random.Random(8), [f"w{k}" for k in range(40)]
+    texts = [" ".join(w if rnd.random() < 0.93 else f"x{rnd.randrange(10**6)}" for w in base) for _ in range(1500)]
+    words = [t.split() for t in texts]
+    length, signs = np.array([len(x) for x in words]), lines.fingerprints(words, lines._Words({}))
+    pairs = sum(len(i) for i, _, _ in lines.met_in(np.zeros(len(words), int), length, signs))
+    assert pairs <= 2 * len(words)
+    some = list(enumerate(texts[:300]))
+    gone = lines_by_brute_force(some)
+    out = lines.deduplicate_lines(spark.createDataFrame(some, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in out} == {i: len(gone.get(i, ())) for i, _ in some} and len(gone) > 100
 
 
 def test_sketches_bound_the_difference():
