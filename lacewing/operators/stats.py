@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +63,85 @@ def kolmogorov_smirnov(rows: DataFrame, group: str, value: str) -> DataFrame:
     return steps.withColumn("gap", F.abs(F.sum("step").over(upto))).groupBy("a", "b").agg(F.max("gap").alias("d"))
 
 
+def _t_tails(t: float, n: int) -> float:
+    """Both tails of Student's distribution with n degrees of freedom beyond t: the incomplete beta function's continued fraction."""
+    a, b, x = n / 2, 0.5, n / (n + t * t)
+    if x >= 1:
+        return 1.0
+    if x > (a + 1) / (a + b + 2):  # converges faster the other way round
+        a, b, x, turned = b, a, 1 - x, True
+    else:
+        turned = False
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a if x > 0 else 0.0
+    value, c, d = 1.0, 1.0, 0.0
+    for i in range(1, 10_000):
+        m = i // 2
+        term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        c, d = (1 + term / c) or 1e-300, 1 / ((1 + term * d) or 1e-300)
+        value *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    tail = min(1.0, front / value)
+    return 1 - tail if turned else tail
+
+
+def spearman_p(correlations: DataFrame) -> DataFrame:
+    """Add p to (.., n, rho): two-sided, by t = rho sqrt((n - 2) / (1 - rho^2)) with n - 2 degrees of freedom; 0 for a rho of 1 or -1, null where
+    there is no rho or n < 3."""
+
+    @F.pandas_udf("double")
+    def tails(rho: pd.Series, n: pd.Series) -> pd.Series:
+        one = lambda r, k: None if r is None or math.isnan(r) or k < 3 else 0.0 if abs(r) >= 1 - 1e-12 else _t_tails(r * math.sqrt((k - 2) / (1 - r * r)), int(k) - 2)
+        return pd.Series([one(r, k) for r, k in zip(rho, n, strict=True)], dtype=object)
+
+    return correlations.withColumn("p", tails("rho", "n"))
+
+
+def kolmogorov_p(distances: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
+    """(a, b, d, p): the chance of a distance of d or more between samples of these sizes (group, n) of one distribution, by Kolmogorov's limit law."""
+    of = lambda side: sizes.select(F.col(group).alias(side), F.col("n").alias(f"n_{side}"))
+    both = distances.join(of("a"), "a").join(of("b"), "b")
+    reach = F.col("d") * F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))
+    terms = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * reach * reach))
+    # below 0.2 the law's chance is 1 to 12 digits
+    return both.select("a", "b", "d", F.when(reach < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), terms))).alias("p"))
+
+
+def adjusted_harmonic_p(rows: DataFrame, group: str, p: str, total: int | None = None) -> DataFrame:
+    """(group, n, hmp, p_adjusted): the harmonic mean p and its chance by Landau's law, to which the mean of 1 / p tends.
+
+    total: the number of tests that the limit is to hold for, each of weight 1 / total; a group's own number where it isn't given. p-values of 0 and
+    null are left out, as in harmonic_mean_p.
+    """
+
+    @F.pandas_udf("double")
+    def tail(at: pd.Series) -> pd.Series:
+        return pd.Series([_landau_tail(x) for x in at], dtype=float)
+
+    weight = F.lit(1.0) if total is None else F.col("n") / F.lit(float(total))
+    tests = F.col("n") if total is None else F.lit(total)
+    at = (weight / F.col("hmp") - F.log(tests) - (1 + DIGAMMA_1 - math.log(2 / math.pi))) + math.log(math.pi / 2)
+    return harmonic_mean_p(rows, group, p).withColumn("p_adjusted", F.least(F.lit(1.0), weight * tail(at)))
+
+
+#: The digamma function at 1, less Euler's constant.
+DIGAMMA_1 = -0.5772156649015329
+#: Square roots of the points, and their distance, at which Landau's integral is summed.
+STEP, STEPS = 0.002, 4750
+
+
+def _landau_tail(x: float) -> float:
+    """Chance of a standard Landau value above x: the integral over s > 0 of exp(-s log s - x s) sin(pi s) / (pi s).
+
+    Summed at s = v^2 / max(1, x) for equally spaced v; below -4 the chance is 1 to 9 digits.
+    """
+    if x < -4:
+        return 1.0
+    v = (np.arange(STEPS) + 0.5) * STEP
+    s = v * v / max(1.0, x)
+    return float((np.exp(-s * np.log(s) - x * s) * np.sin(np.pi * s) / (np.pi * s) * 2 * v).sum() * STEP / max(1.0, x))
+
+
 def five_numbers(rows: DataFrame, group: str, value: str) -> DataFrame:
     """(group, n, low, lower_hinge, middle, upper_hinge, high): Tukey's summary, whose hinges are no quartiles in general."""
     order = Window.partitionBy(group).orderBy(value)

@@ -12,6 +12,7 @@ from lacewing.operators import calls as C
 from lacewing.operators import contexts as X
 from lacewing.operators import landscape as L
 from lacewing.operators import phylogeny as P
+from lacewing.operators import scan as N
 from lacewing.operators import signatures as G
 from lacewing.operators import stats as S
 from lacewing.operators import windows as W
@@ -358,6 +359,8 @@ def effect_ratio_smooth(spark, d):
 
 #: Categories of a count vector, and signatures and replicates of the kernels' queries.
 CATEGORIES, SIGNATURES, REPLICATES = 6, 3, 1000
+#: Ranks that are compared, and random starts of each.
+RANKS_TRIED, STARTS = [1, 2, 3, 4, 5, 6], 100
 
 
 def _vectors(spark, d):
@@ -367,13 +370,22 @@ def _vectors(spark, d):
     return cut(rows.agg(F.array(*of).alias("x")))
 
 
+def _signatures(vectors):
+    """The best of all starts."""
+    betas = N.restarts(vectors, [SIGNATURES], STARTS, CATEGORIES)
+    chosen = N.best(vectors, betas)
+    return betas[SIGNATURES][chosen[SIGNATURES][0]] if chosen else G.seeded(SIGNATURES, CATEGORIES, 0)
+
+
 def _factorised(spark, d):
-    return G.factorise(_vectors(spark, d), SIGNATURES, CATEGORIES)
+    vectors = _vectors(spark, d)
+    beta = _signatures(vectors)
+    return G.exposures(vectors, beta), beta
 
 
 def _tests(spark, d):
     vectors = _vectors(spark, d)
-    beta = G.factorise(vectors, SIGNATURES, CATEGORIES)[1]
+    beta = _signatures(vectors)
     return vectors, beta, G.significance(G.bootstrap(vectors, beta, REPLICATES))
 
 
@@ -389,6 +401,18 @@ def nmf_quality(spark, d):
     return G.quality(fitted, beta)
 
 
+@query()
+def nmf_rank_scan(spark, d):
+    """Every rank's best start, and how much the starts agree."""
+    vectors = _vectors(spark, d)
+    return N.measures(vectors, N.restarts(vectors, RANKS_TRIED, STARTS, CATEGORIES))
+
+
+@query()
+def nmf_cross_validation(spark, d):
+    return N.held_out(_vectors(spark, d), RANKS_TRIED, CATEGORIES)
+
+
 @query()
 def bootstrap_significance(spark, d):
     return _tests(spark, d)[2]
@@ -411,7 +435,7 @@ def fitted_to_signatures(spark, d):
     """The second half of the samples as a new cohort, begun from the signatures of the first."""
     vectors = _vectors(spark, d)
     half = F.pmod(F.xxhash64("sample"), F.lit(2))
-    beta = G.factorise(vectors.where(half == 0), SIGNATURES, CATEGORIES)[1]
+    beta = _signatures(vectors.where(half == 0))
     fitted, _ = G.factorise(vectors.where(half == 1), SIGNATURES, CATEGORIES, beta=beta)
     return fitted.select("sample", F.posexplode("alpha").alias("signature", "exposure"))
 

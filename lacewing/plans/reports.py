@@ -245,6 +245,26 @@ def spearman_week(spark, d):
     return Z.spearman(T.calls(spark, d).where("vf > 0.05").join(weeks, "sample").select("pos", "vf", "week"), "pos", "vf", "week")
 
 
+#: Both tails of Student's distribution for whole degrees of freedom, as finite sums.
+TAILS = "1 - case when n % 2 = 0 then abs(rho) * coalesce(list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(1 - rho * rho, k) for k in range(0, (n - 2) // 2)]), 0) else 2 / pi() * (asin(least(1, abs(rho))) + abs(rho) * coalesce(list_sum([sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow(greatest(0, 1 - rho * rho), k + 0.5) for k in range(0, (n - 3) // 2)]), 0)) end"
+
+
+@query(f"select pos, n, round(rho, 6) + 0 as rho, case when rho is not null then round(greatest(0, {TAILS}), 6) end as p from rhos", T.CALLS, T.COLLECTED, RANKS)
+def spearman_significance(spark, d):
+    return Z.spearman_p(spearman_week(spark, d))
+
+
+@query("select a, b, round(d, 6) as d, round(case when reach < 0.2 then 1 else greatest(0, least(1, list_sum([(case when k % 2 = 1 then 2 else -2 end) * exp(-2 * k * k * reach * reach) for k in range(1, 101)]))) end, 6) as p from (select *, d * sqrt(nx * ny / (nx + ny)) as reach from (select a, b, nx, ny, max(abs(gap)) as d from (select a, b, nx, ny, vf, sum(step) over (partition by a, b order by vf) as gap from (select x.cluster as a, y.cluster as b, nx, ny, vf, sum(case when f.cluster = x.cluster then 1 / nx else -1 / ny end) as step from sizes x join (select cluster, nx as ny from sizes) y on x.cluster < y.cluster join facts f on f.cluster in (x.cluster, y.cluster) group by 1, 2, 3, 4, 5)) group by 1, 2, 3, 4))", *Q.FACT, "sizes as (select cluster, count(*) as nx from facts where cluster is not null group by 1)")
+def ks_significance(spark, d):
+    facts = cut(Q._facts(spark, d).where("cluster is not null").select("cluster", "vf"))
+    return Z.kolmogorov_p(Z.kolmogorov_smirnov(facts, "cluster", "vf"), facts.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
+
+
+@query(f"select sample, n, round(hmp, 6) as hmp, round(least(1, case when x < -4 then 1 else list_sum([exp(-(v * v / greatest(1, x)) * ln(v * v / greatest(1, x)) - x * v * v / greatest(1, x)) * sin(pi() * v * v / greatest(1, x)) / (pi() * v * v / greatest(1, x)) * 2 * v for v in [(i + 0.5) * {Z.STEP} for i in range(0, {Z.STEPS})]]) * {Z.STEP} / greatest(1, x) end), 6) as p_adjusted from (select *, 1 / hmp - ln(n) - (1 + {Z.DIGAMMA_1} - ln(2 / pi())) + ln(pi() / 2) as x from (select sample, count(*) as n, count(*) / sum(1 / pvalue) as hmp from calls where pvalue > 0 group by 1))", T.CALLS)
+def harmonic_p_adjusted(spark, d):
+    return Z.adjusted_harmonic_p(T.calls(spark, d), "sample", "pvalue")
+
+
 @query("select clade, n, round(high, 6) as share_high from (select clade, count(*) as n, avg((vf > 0.9)::int) as high from facts group by 1)", *Q.FACT)
 def high_share(spark, d):
     return Q._facts(spark, d).groupBy("clade").agg(F.count("*").alias("n"), F.avg((F.col("vf") > L.HIGH).cast("int")).alias("share_high"))

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lacewing.operators import scan as N
 from lacewing.operators import signatures as G
+from lacewing.operators import stats as S
 from lacewing.operators import windows as W
 
 
@@ -74,3 +76,38 @@ def test_windows(spark):
     assert got == {1: (1, 1, 1.0), 4: (1, 1, 1.0)}
     means = {r.pos: r["mean"] for r in W.smoothed(spark.createDataFrame([("a", 1, 2.0), ("a", 4, None)], "cluster string, start long, ratio double"), "ratio", 6).collect()}
     assert means == {1: 2.0, 2: 2.0, 3: 2.0, 4: 2.0, 5: 2.0, 6: 2.0, 7: None, 8: None, 9: None}
+
+
+def test_rank_scan_keeps_the_best_start_and_measures_agreement(spark):
+    rng = np.random.default_rng(4)
+    planted = G.normalised(np.array([[9, 1, 0, 0, 0, 0.0], [0, 0, 8, 2, 0, 0]]))
+    rows = [(i, [float(v) for v in alpha @ planted]) for i, alpha in enumerate(rng.gamma(0.5, 10, size=(40, 2)))]
+    samples = spark.createDataFrame(rows, "sample long, x array<double>").repartition(3)
+    betas = N.restarts(samples, [1, 2, 3], 4, 6, iterations=10)
+    assert {k: b.shape for k, b in betas.items()} == {k: (4, k, 6) for k in (1, 2, 3)}
+    xs = np.array([x for _, x in rows])
+    fits = {(k, s): G.nnls_rows(beta @ beta.T, xs @ beta.T) for k in betas for s, beta in enumerate(betas[k])}
+    got = {r.k: r for r in N.measures(samples, betas).collect()}
+    for k in (1, 2, 3):
+        residuals = [((xs - fits[k, s] @ betas[k][s]) ** 2).sum() for s in range(4)]
+        assert got[k].n == 40 and got[k].rss == pytest.approx(min(residuals), abs=1e-6)
+        together = np.mean([np.equal.outer(g, g) for g in (fits[k, s].argmax(axis=1) for s in range(4))], axis=0)
+        assert got[k].dispersion == pytest.approx((4 * (together - 0.5) ** 2).mean())
+    assert got[1].dispersion == 1 and got[2].explained > 0.99 > got[1].explained
+    beta, alpha = betas[2][got[2].best_start], fits[2, got[2].best_start]
+    hoyer = lambda v: (np.sqrt(len(v)) - v.sum() / np.sqrt((v * v).sum())) / (np.sqrt(len(v)) - 1)
+    assert got[2].sparseness_signatures == pytest.approx(np.mean([hoyer(v) for v in beta]))
+    assert got[2].sparseness_exposures == pytest.approx(np.mean([hoyer(v) for v in alpha.T]))
+    held = {r.k: r for r in N.held_out(samples, [1, 2], 6, folds=2, iterations=10).collect()}
+    assert held[1].n == held[2].n == 40 and held[2].rss < held[1].rss and held[2].mean_cosine > 0.99
+    assert N.restarts(samples.limit(0), [1, 2], 2, 6) == {}
+
+
+def test_tails_of_the_limit_laws(spark):
+    assert S._t_tails(0.0, 5) == 1 and S._t_tails(12.706204736, 1) == pytest.approx(0.05, abs=1e-9)
+    assert S._t_tails(2.228138852, 10) == pytest.approx(0.05, abs=1e-9) and S._t_tails(0.1, 10_000) == pytest.approx(0.920346, abs=1e-6)
+    assert S._landau_tail(-5) == 1 and S._landau_tail(-3.9) == pytest.approx(1, abs=1e-5) and S._landau_tail(1e6) == pytest.approx(1e-6, rel=1e-3)
+    values = [S._landau_tail(x / 4) for x in range(-15, 400)]
+    assert all(a > b for a, b in zip(values, values[1:], strict=False)) and S._landau_tail(1.35578) == pytest.approx(0.5, abs=1e-4)
+    rows = spark.createDataFrame([(4, 1.0), (3, None), (2, 0.5), (6, -0.5)], "n long, rho double")
+    assert [r.p for r in S.spearman_p(rows).collect()] == [0, None, None, pytest.approx(0.312500, abs=1e-6)]
