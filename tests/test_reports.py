@@ -99,3 +99,14 @@ def test_text_formats(spark, tmp_path):
     codes = spark.createDataFrame([("s1", "v2", "1"), ("s1", "v1", "{0,1}"), ("s2", "v1", "1")], "sample string, variant string, code string")
     X.write_codes(codes, ["v1", "v2"], f"{tmp_path}/codes")
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/codes").collect()) == ["s1\t{0,1}\t1", "s2\t1\t0"]
+
+
+def test_nexus(spark, tmp_path):
+    (tmp_path / "a.nex").write_text("#NEXUS\nBegin trees;\n\tTranslate\n\t\t1 x y_,\n\t\t2\tb\n\t\t;\n   tree con = [&U] ((1[&prob=0.9,n=1]:0.5,2:1):0.25,3:2);\n TREE * two=(1,2);\nend;\n")
+    (tmp_path / "b.nex").write_text("#NEXUS\nbegin data; end;\n")
+    rows = X.read_nexus(spark, str(tmp_path)).collect()
+    assert {r.file.rsplit("/", 1)[1] for r in rows} == {"a.nex"}
+    con = {r.child.rsplit("/", 1)[-1]: (r.parent.rsplit("/", 1)[-1], r.length) for r in rows if r.tree == "con"}
+    assert con == {"x": ("a.nex#con:1", 0.5), "b": ("a.nex#con:1", 1.0), "a.nex#con:1": ("a.nex#con:2", 0.25), "3": ("a.nex#con:2", 2.0)}
+    assert sorted((r.child, r.length) for r in rows if r.tree == "two") == [("b", None), ("x", None)]
+    assert X.read_nexus(spark, str(tmp_path / "b.nex")).count() == 0
