@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacewing.llm import bpe, chat, lines, media, mixing, quality, secrets, sharding, simhash, warc
+from lacewing.llm import bpe, chat, extraction, lines, media, merkle, mixing, quality, search, secrets, sharding, simhash, warc
 from lacewing.llm.common import cut
 
 #: The vocabulary of op1 and of the pipeline's last stage.
@@ -107,6 +107,21 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for each benchmark item."""
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of all documents, and what their proofs say when some texts have been changed."""
+    return merkle.manifest(documents(spark, sf_dir), merkle.tampering())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
@@ -118,10 +133,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_media": op10_media,
+    "op11_search": op11_search,
+    "op12_extraction": op12_extraction,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
     "op5_chat": chat.ORACLE,
     "op6_warc": warc.ORACLE,
     "op7_quality": quality.oracle(),
+    "op11_search": search.ORACLE,
+    "op13_merkle": merkle.ORACLE,
 }
