@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacewing.operators.coding import codon_position, offset_in_frame
+from lacewing.operators.intervals import covered
+
 #: Detection and clonal limits of the descriptive analyses.
 LOW, HIGH = 0.05, 0.90
 
@@ -52,47 +55,21 @@ def variant_facts(calls: DataFrame, types: DataFrame, samples: DataFrame, varian
     return rows.join(variants.select("pos", "variant"), "pos").select("sample", "pos", "variant", "vf", "level", "type", "clade", "cluster")
 
 
-def annotated(positions: DataFrame, frames: DataFrame) -> DataFrame:
+def annotated(positions: DataFrame, frames: DataFrame, slip: tuple[str, int] | None = None) -> DataFrame:
     """Positions with region, reading frame, codon position and offset; of overlapping frames the last wins, none is intergenic.
 
-    Frames are cut at their ends into disjoint stretches, so each position has one candidate: the annotation is a table of a few rows,
-    bounded by the number of genes of a virus, and is broadcast.
+    slip: a frame's name and the place in it that is read twice, whose codon position is null. Frames are cut at their ends into disjoint stretches, which
+    positions meet by bucket.
     """
-    hit = positions.join(F.broadcast(frames), (F.col("pos") >= F.col("first")) & (F.col("pos") <= F.col("last")), "left")
-    last = hit.groupBy(*positions.columns).agg(F.max_by(F.struct("name", "region", "first"), "orf").alias("x"))
-    offset = F.when(F.col("x.region") == "CDS", F.col("pos") - F.col("x.first") + 1)
-    codon = F.when(offset % 3 == 0, 3).otherwise(offset % 3)
-    return last.select(
-        *positions.columns, F.coalesce("x.region", F.lit("intergenic")).alias("region"), F.coalesce("x.name", F.lit("intergenic")).alias("orf"), codon.cast("int").alias("codon_position"), offset.alias("offset")
+    hit = covered(positions, frames, ["orf", "name", "region", "first"]).withColumn("x", F.element_at("frames", -1))
+    args = (F.col("pos"), F.col("x.first"), F.col("x.name"), slip)
+    coding = F.col("x.region") == "CDS"
+    return hit.select(
+        *positions.columns, F.coalesce("x.region", F.lit("intergenic")).alias("region"), F.coalesce("x.name", F.lit("intergenic")).alias("orf"),
+        F.when(coding, codon_position(*args)).alias("codon_position"), F.when(coding, offset_in_frame(*args)).cast("long").alias("offset"),
     )
 
 
-def standard_code() -> dict[str, str]:
-    """Codons to amino acids: the standard code's letters are listed with bases in the order T, C, A, G."""
-    letters = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"  # fixed values, NCBI table 1
-    return {a + b + c: letters[16 * i + 4 * j + k] for i, a in enumerate("TCAG") for j, b in enumerate("TCAG") for k, c in enumerate("TCAG")}
-
-
-def codon_effects(coding: DataFrame, genome: DataFrame) -> DataFrame:
-    """Coding variants (pos, alt, offset, codon_position) with their codon before and after, amino acids, and effect: S or NS.
-
-    The three bases come by joining the codon's positions, not by collecting a sequence.
-    """
-    code = F.create_map(*[F.lit(x) for pair in standard_code().items() for x in pair])
-    start = F.col("pos") - F.col("codon_position") + 1
-    at = coding.select("*", start.alias("start")).select("*", F.posexplode(F.array(*[F.col("start") + i for i in range(3)])).alias("i", "at"))
-    bases = at.join(genome.select(F.col("pos").alias("at"), "base"), "at")
-    changed = F.when(F.col("at") == F.col("pos"), F.col("alt")).otherwise(F.col("base"))
-    letter = lambda value, i: F.max(F.when(F.col("i") == i, value))
-    codons = bases.groupBy("pos", "alt", "orf", "offset", "codon_position").agg(
-        F.concat(*[letter(F.col("base"), i) for i in range(3)]).alias("codon"), F.concat(*[letter(changed, i) for i in range(3)]).alias("mutated")
-    )
-    codons = codons.where("codon is not null").withColumns({"amino": code[F.col("codon")], "amino_mutated": code[F.col("mutated")]})
-    place = F.ceil(F.col("offset") / 3).cast("string")
-    change = F.concat("orf", F.lit("."), place, "amino", F.lit(">"), "amino_mutated")
-    return codons.withColumns({"effect": F.when(F.col("amino") == F.col("amino_mutated"), "S").otherwise("NS"), "change": change})
-
-
 def contingency(rows: DataFrame, first: str, second: str) -> DataFrame:
     """(first, second, n) for all combinations of levels that occur, zero cells too, and the share within first."""
     cells = rows.groupBy(first, second).agg(F.count("*").alias("n"))
@@ -105,10 +82,9 @@ def contingency(rows: DataFrame, first: str, second: str) -> DataFrame:
 def substitution_rates(facts: DataFrame, changes: DataFrame, genome: DataFrame, frames: DataFrame) -> DataFrame:
     """(orf, cluster, change, n, content, rate): distinct variants by reading frame, cluster and change, over the frame's count of the changed base."""
     rows = facts.select("pos", "cluster").distinct().join(changes, "pos")
-    inside = (F.col("pos") >= F.col("first")) & (F.col("pos") <= F.col("last"))
-    narrow = F.broadcast(frames.select("name", "first", "last"))  # a few genes
-    n = rows.join(narrow, inside).groupBy(F.col("name").alias("orf"), "cluster", "change").agg(F.count_distinct("pos").alias("n"))
-    content = genome.join(narrow, inside).groupBy(F.col("name").alias("orf"), "base").agg(F.count("*").alias("content"))
+    within = lambda df: covered(df, frames, ["name"]).withColumn("orf", F.explode("frames.name"))
+    n = within(rows).groupBy("orf", "cluster", "change").agg(F.count_distinct("pos").alias("n"))
+    content = within(genome).groupBy("orf", "base").agg(F.count("*").alias("content"))
     joined = n.withColumn("base", F.substring("change", 1, 1)).join(content, ["orf", "base"])
     return joined.select("orf", "cluster", "change", "n", "content", (F.col("n") / F.col("content")).alias("rate"))
 
@@ -159,6 +135,12 @@ def hit_classes(alleles: DataFrame, length: Column) -> DataFrame:
     return both.unpivot([], ["single", "multiple", "none"], "class", "n")
 
 
+def multiple_alleles(alleles: DataFrame) -> DataFrame:
+    """(pos, n, alleles): positions with more than one allele, listed in their order."""
+    found = alleles.groupBy("pos").agg(F.array_sort(F.collect_set("alt")).alias("a"))
+    return found.where(F.size("a") > 1).select("pos", F.size("a").cast("long").alias("n"), F.array_join("a", ",").alias("alleles"))
+
+
 def main_allele(alleles: DataFrame) -> DataFrame:
     """(pos, alt, n_alleles, vf_sum): of each position the allele of the largest summed frequency, the first in order on ties."""
     sums = alleles.groupBy("pos", "alt").agg(F.sum("vf").alias("vf_sum"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacewing.operators.contexts import CLASSES, FOLDED
+
 #: Substitutions by complementary pair, in the order of their numbers.
-PAIRS = (("C>A", "G>T"), ("C>G", "G>C"), ("C>T", "G>A"), ("T>A", "A>T"), ("T>C", "A>G"), ("T>G", "A>C"))
+PAIRS = tuple((change, next(other for other, same in FOLDED.items() if same == change)) for change in CLASSES)
 
 
 def parsed(variant: Column) -> dict[str, Column]:
@@ -108,6 +110,22 @@ def rerooted(edges: DataFrame, paths: DataFrame, root: Column) -> DataFrame:
     return turned.select(F.when(F.col("turn"), F.col("child")).otherwise(F.col("parent")).alias("parent"), F.when(F.col("turn"), F.col("parent")).otherwise(F.col("child")).alias("child"), "length")
 
 
+def with_outgroup(edges: DataFrame, root: Column, name: str = "Outgroup") -> DataFrame:
+    """edges (parent, child, length) with an outgroup's tip at 0 under the root."""
+    tip = edges.sparkSession.range(1).select(root.cast("string").alias("parent"), F.lit(name).alias("child"), F.lit(0).cast("long").alias("length"))
+    named = edges.select(F.col("parent").cast("string").alias("parent"), F.col("child").cast("string").alias("child"), F.col("length").cast("long").alias("length"))
+    return named.unionByName(tip)
+
+
+def labelled_nodes(edges: DataFrame, tips: DataFrame, root: Column, reference: str = "Reference") -> DataFrame:
+    """(node, label) of the inner nodes of edges (parent, child, length): the label that most of the tips (tip, label) right below have, the first of equally
+    many, null where no such tip has one; the root is the reference."""
+    inner = edges.select(F.col("parent").alias("node")).distinct()
+    below = edges.join(tips.select(F.col("tip").alias("child"), "label"), "child").where("label is not null").groupBy(F.col("parent").alias("node"), "label").agg(F.count("*").alias("n"))
+    named = below.groupBy("node").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label"))
+    return inner.join(named, "node", "left").select("node", F.when(F.col("node") == root.cast("string"), reference).otherwise(F.col("label").cast("string")).alias("label"))
+
+
 def cumulative_frequencies(rows: DataFrame, group: str, value: str, bins: int) -> DataFrame:
     """(group, bin, n, share): values up to each of so many bins of [0, 1], as counts and as a share of the group's largest count.
 
@@ -175,7 +193,7 @@ def wide(rows: DataFrame, key: str, column: str, value: str, columns: list[str],
 
 def oncoprint(states: DataFrame, top: DataFrame, groups: DataFrame, missing: int) -> DataFrame:
     """(group, sample, rank, pos, state) of the leading variants, missing states as 0 or 1 as asked; pairs without a row are left out, as they are 0."""
-    rows = states.where("state is null or state = 1").join(F.broadcast(top.select("pos", "rank")), "pos").join(groups, "sample")
+    rows = states.where("state is null or state = 1").join(top.select("pos", "rank"), "pos").join(groups, "sample")
     return rows.select("group", "sample", "rank", "pos", F.coalesce("state", F.lit(missing)).cast("int").alias("state"))
 
 
@@ -184,7 +202,14 @@ def aligned(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.join(second.select("sample").distinct(), "sample", "left_semi").join(second.select("pos").distinct(), "pos", "left_semi")
 
 
-def renamed(rows: DataFrame, column: str, names: dict) -> DataFrame:
-    """Values of a column replaced as the few names say; those without a name go."""
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return rows.withColumn(column, table[F.col(column)]).where(F.col(column).isNotNull())
+def renamed(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """rows with the values of a column replaced by a table's (old, name, place), and their place; those without a name go. So columns of a matrix are reordered
+    and renamed in long form."""
+    kept = [c for c in rows.columns if c != column]
+    return rows.join(names.select(F.col("old").alias(column), "name", "place"), column).select(*kept, F.col("name").alias(column), "place")
+
+
+def product(a: DataFrame, b: DataFrame, inner: str, left: str, right: str, out: str) -> DataFrame:
+    """The product of two matrices in long form, a with a column of values left and b with right, over their common index; cells without a row are 0."""
+    outer = [c for c in (*a.columns, *b.columns) if c not in (inner, left, right)]
+    return a.join(b, inner).groupBy(*outer).agg(F.sum(F.col(left) * F.col(right)).alias(out))

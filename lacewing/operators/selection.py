@@ -1,71 +1,43 @@
-"""Selection: coding coordinates with a ribosomal slip, expected substitutions, and dN/dS by window and over all windows."""
+"""Selection: expected substitutions, and dN/dS by window and over all windows, in the reading frame of coding."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacewing.operators.coding import amino, codon_position, codons, coding_positions, offset_in_frame, with_noncoding  # noqa: F401 - part of this module's names
 from lacewing.operators.contexts import folded
-from lacewing.operators.landscape import standard_code
 from lacewing.operators.windows import window_starts
 
 
-def offset_in_frame(pos: Column, first: Column, name: Column, slip: tuple[str, int] | None) -> Column:
-    """Place of a position in its frame, from 1. slip: a frame's name and the place in it that is read twice; what follows is one place later."""
-    place = pos - first + 1
-    return place if slip is None else place + F.when((name == slip[0]) & (place > slip[1]), 1).otherwise(0)
-
-
-def codon_position(pos: Column, first: Column, name: Column, slip: tuple[str, int] | None) -> Column:
-    """1 to 3; null for the position that is read twice."""
-    codon = ((offset_in_frame(pos, first, name, slip) - 1) % 3 + 1).cast("int")
-    return codon if slip is None else F.when(~((name == slip[0]) & (pos - first + 1 == slip[1])), codon)
-
-
-def coding_positions(frames: DataFrame, genome: DataFrame, slip: tuple[str, int] | None = None) -> DataFrame:
-    """(idx, pos, orf, base): the bases of the coding frames one after the other, by their first position, numbered from 1. The slip's position has
-    two rows, and so has one in two frames. Frames are laid out to positions, so bases come by an equi-join."""
-    extra = F.lit(0) if slip is None else F.when(F.col("name") == slip[0], 1).otherwise(0)
-    genes = frames.where("region = 'CDS'").withColumn("length", F.col("last") - F.col("first") + 1 + extra)
-    earlier = Window.orderBy("first", "name").rowsBetween(Window.unboundedPreceding, -1)  # one row a gene
-    genes = genes.withColumn("before", F.coalesce(F.sum("length").over(earlier), F.lit(0)))
-    laid = genes.select("name", "first", "before", F.explode(F.sequence("first", "last")).alias("pos"))
-    idx = F.col("before") + offset_in_frame(F.col("pos"), F.col("first"), F.col("name"), slip)
-    twice = F.lit(False) if slip is None else (F.col("name") == slip[0]) & (F.col("pos") - F.col("first") + 1 == slip[1])
-    laid = laid.withColumn("idx", F.explode(F.when(twice, F.array(idx, idx + 1)).otherwise(F.array(idx))))
-    return laid.join(genome, "pos").select(F.col("idx").cast("long").alias("idx"), "pos", F.col("name").alias("orf"), "base")
-
-
 def possible_changes(coding: DataFrame) -> DataFrame:
-    """(codon, change, effect, n): of each whole codon (numbered from 0) the single substitutions, folded, that keep (S) or change (NS) its amino acid."""
-    code = F.create_map(*[F.lit(x) for pair in standard_code().items() for x in pair])
-    place = (F.col("idx") - 1) % 3
-    codons = coding.groupBy(F.expr("(idx - 1) div 3").alias("codon")).agg(*[F.max(F.when(place == i, F.col("base"))).alias(f"b{i}") for i in range(3)])
+    """(at, change, effect, n): of each whole codon, known by the index of its first base, the single substitutions, folded, that keep (S) or change (NS) its
+    amino acid. Codons are those of the genes, as for the effects of variants; a gene's end that makes no codon has none."""
     letters = [F.col(f"b{i}") for i in range(3)]
     every = []
     for i in range(3):
         for alt in "ACGT":
             mutated = F.concat(*[F.lit(alt) if k == i else letters[k] for k in range(3)])
             every.append(F.struct(letters[i].alias("ref"), F.lit(alt).alias("alt"), mutated.alias("mutated")))
-    rows = codons.where("b0 is not null and b1 is not null and b2 is not null").select("codon", F.concat(*letters).alias("whole"), F.explode(F.array(*every)).alias("x"))
+    rows = codons(coding).select("at", F.concat(*letters).alias("whole"), F.explode(F.array(*every)).alias("x"))
     rows = rows.where("x.ref <> x.alt").select(
-        "codon",
+        "at",
         folded(F.concat("x.ref", F.lit(">"), "x.alt")).alias("change"),
-        F.when(code[F.col("whole")] == code[F.col("x.mutated")], "S").otherwise("NS").alias("effect"),
+        F.when(amino(F.col("whole")) == amino(F.col("x.mutated")), "S").otherwise("NS").alias("effect"),
     )
-    return rows.groupBy("codon", "change", "effect").agg(F.count("*").alias("n"))
+    return rows.groupBy("at", "change", "effect").agg(F.count("*").alias("n"))
 
 
 def expected_by_codon(changes: DataFrame, prevalence: DataFrame) -> DataFrame:
-    """(cluster, codon, e_ns, e_s): possible changes weighed by their prevalence (cluster, change, share) in the cluster."""
+    """(cluster, at, e_ns, e_s): possible changes weighed by their prevalence (cluster, change, share) in the cluster."""
     weighed = changes.join(prevalence, "change").withColumn("w", F.col("n") * F.col("share"))
     of = lambda effect: F.sum(F.when(F.col("effect") == effect, F.col("w")).otherwise(0.0))
-    return weighed.groupBy("cluster", "codon").agg(of("NS").alias("e_ns"), of("S").alias("e_s"))
+    return weighed.groupBy("cluster", "at").agg(of("NS").alias("e_ns"), of("S").alias("e_s"))
 
 
 def expected_windows(by_codon: DataFrame, length: Column, width: int = 300, step: int = 3) -> DataFrame:
-    """(cluster, start, e_ns, e_s) of windows over the coding index; each codon is sent to its windows, so no order over the genome is needed."""
-    starts = window_starts(F.col("codon") * 3 + 1, width, step, F.col("length"))
+    """(cluster, start, e_ns, e_s) of windows over the coding index; each codon is sent to the windows that hold its first base, so no order over the genome is needed."""
+    starts = window_starts(F.col("at"), width, step, F.col("length"))
     placed = by_codon.withColumn("length", length).select("cluster", "e_ns", "e_s", F.explode(starts).alias("start"))
     return placed.groupBy("cluster", "start").agg(F.sum("e_ns").alias("e_ns"), F.sum("e_s").alias("e_s"))
 
@@ -98,8 +70,3 @@ def dnds_overall(mutations: DataFrame, by_codon: DataFrame) -> DataFrame:
     observed = seen.groupBy("cluster").agg(F.count_if(F.col("effect") == "NS").alias("n_ns"), F.count_if(F.col("effect") == "S").alias("n_s"))
     expected = by_codon.groupBy("cluster").agg(F.sum("e_ns").alias("e_ns"), F.sum("e_s").alias("e_s"))
     return observed.join(expected, "cluster").withColumn("dnds", ratio_of("n_ns", "n_s", "e_ns", "e_s"))
-
-
-def with_noncoding(variants: DataFrame, effects: DataFrame) -> DataFrame:
-    """Variants with the effect of those that are coding, and NC for the others."""
-    return variants.join(effects.select("pos", "effect"), "pos", "left").withColumn("effect", F.coalesce("effect", F.lit("NC")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,21 +18,26 @@ def regression(rows: DataFrame, group: str, y: str, x: str) -> DataFrame:
     return fit.where("n > 2").withColumn("adjusted_r2", adjusted)
 
 
-def _ranked(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Average ranks within the group."""
+def _centred(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Average ranks within the group, doubled, less their mean n + 1: whole numbers, so that sums of them don't depend on an order."""
     order = Window.partitionBy(group).orderBy(value)
     ties = F.count("*").over(Window.partitionBy(group, value))
-    return rows.withColumn(f"rank_{value}", F.rank().over(order) + (ties - 1) / 2)
+    return rows.withColumn(f"rank_{value}", 2 * F.rank().over(order) + ties - 2 - F.count("*").over(Window.partitionBy(group)))
 
 
 def spearman(rows: DataFrame, group: str, x: str, y: str, least: int = 3) -> DataFrame:
-    """(group, n, rho) over pairs without nulls, for groups with at least `least` pairs."""
+    """(group, n, rho, squares) over pairs without nulls, for groups with at least `least` pairs; squares: the sum of squared differences of ranks where
+    neither x nor y has ties, else null.
+
+    Ranks are summed as longs (n^3 / 3 at most) and divided once.
+    """
     rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, x, y)
-    ranked = _ranked(_ranked(rows, group, x), group, y)
-    a, b = f"rank_{x}", f"rank_{y}"
-    # by sums, as corr() of constant ranks would be 0 / 0
-    sums = ranked.groupBy(group).agg(F.count("*").alias("n"), F.covar_pop(a, b).alias("ab"), F.var_pop(a).alias("aa"), F.var_pop(b).alias("bb"))
-    return sums.where(F.col("n") >= least).select(group, "n", F.try_divide(F.col("ab"), F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"))
+    ranked = _centred(_centred(rows, group, x), group, y)
+    a, b = F.col(f"rank_{x}"), F.col(f"rank_{y}")
+    sums = ranked.groupBy(group).agg(F.count("*").alias("n"), F.sum(a * b).alias("ab"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb")).where(F.col("n") >= least)
+    untied = F.expr("aa = (n * n * n - n) div 3 and bb = aa")
+    rho = F.try_divide(F.col("ab").cast("double"), F.sqrt(F.col("aa").cast("double") * F.col("bb").cast("double")))
+    return sums.select(group, "n", rho.alias("rho"), F.when(untied, F.expr("(aa + bb - 2 * ab) div 4")).alias("squares"))
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, family: str) -> DataFrame:
@@ -47,20 +53,21 @@ def benjamini_hochberg(rows: DataFrame, p: str, family: str) -> DataFrame:
 
 
 def kolmogorov_smirnov(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """(a, b, d): largest distance of the distributions of every two groups, a < b.
+    """(a, b, d, tied): largest distance of the distributions of every two groups, a < b, and whether any value is there twice in them.
 
-    Values are counted first; each group's cumulative share at every value is carried on where it has none.
+    Values are counted first; a group's counts go to the pairs that it is in (one row a pair, joined by the group), whose cumulative shares are then compared.
     """
     counts = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
-    names = counts.select(group).distinct()
-    pairs = names.select(F.col(group).alias("a")).join(names.select(F.col(group).alias("b")), F.col("a") < F.col("b"))  # a few groups
     sizes = counts.groupBy(group).agg(F.sum("n").alias("size"))
+    names = sizes.agg(F.sort_array(F.collect_list(group)).alias("names"))  # a few groups
+    pairs = sizes.select(group).crossJoin(F.broadcast(names)).select(group, F.explode(F.filter("names", lambda x: x != F.col(group))).alias("other"))
+    pairs = pairs.select(group, F.least(group, "other").alias("a"), F.greatest(group, "other").alias("b"))
     shares = counts.join(sizes, group).withColumn("share", F.col("n") / F.col("size"))
-    both = pairs.join(shares, (F.col(group) == F.col("a")) | (F.col(group) == F.col("b")))
+    both = pairs.join(shares, group)
     signed = F.when(F.col(group) == F.col("a"), F.col("share")).otherwise(-F.col("share"))
-    steps = both.groupBy("a", "b", value).agg(F.sum(signed).alias("step"))
+    steps = both.groupBy("a", "b", value).agg(F.sum(signed).alias("step"), F.sum("n").alias("n"))
     upto = Window.partitionBy("a", "b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("gap", F.abs(F.sum("step").over(upto))).groupBy("a", "b").agg(F.max("gap").alias("d"))
+    return steps.withColumn("gap", F.abs(F.sum("step").over(upto))).groupBy("a", "b").agg(F.max("gap").alias("d"), (F.max("n") > 1).alias("tied"))
 
 
 def _t_tails(t: float, n: int) -> float:
@@ -85,26 +92,86 @@ def _t_tails(t: float, n: int) -> float:
     return 1 - tail if turned else tail
 
 
+#: Pairs up to which the chance of a Spearman correlation without ties is exact.
+EXACT_PAIRS = 9
+#: Product of two samples' sizes below which the chance of their distance is exact, if no value is there twice.
+EXACT_PRODUCT = 10_000
+
+
+@lru_cache
+def squares_distribution(n: int) -> np.ndarray:
+    """How many of the orders of n things have each sum of squared differences of places, from 0; counted over sets of places taken."""
+    top = n * (n * n - 1) // 3
+    ways = {0: np.eye(1, top + 1, dtype=np.int64)[0]}
+    for i in range(n):
+        grown: dict[int, np.ndarray] = {}
+        for taken, counts in ways.items():
+            for j in range(n):
+                if not taken >> j & 1:
+                    step = (i - j) ** 2
+                    to = grown.setdefault(taken | 1 << j, np.zeros(top + 1, np.int64))
+                    to[step:] += counts[: top + 1 - step]
+        ways = grown
+    return ways[(1 << n) - 1]
+
+
+def squares_tail(squares: int, n: int) -> float:
+    """Chance of a correlation as far from 0 as that of this sum of squares, or farther: twice the smaller tail, 1 at most."""
+    ways = squares_distribution(n)
+    high = squares > (n**3 - n) / 6
+    return min(1.0, 2 * float(ways[squares:].sum() if high else ways[: squares + 1].sum()) / math.factorial(n))
+
+
+def distance_tail(d: float, n: int, m: int) -> float:
+    """Chance that samples of n and m different values of one distribution are at a distance of d or more: lattice paths that reach it, by rows of the lattice."""
+    near = lambda i: np.abs(i / n - np.arange(m + 1) / m) < d - 1e-9
+    share = np.zeros(m + 1)  # share of the paths to (i, j) that stayed near
+    for i in range(n + 1):
+        inside = near(i)
+        for j in range(m + 1):
+            if not inside[j]:
+                share[j] = 0.0
+            elif i == 0 and j == 0:
+                share[0] = 1.0
+            else:
+                share[j] = (share[j] * i if i else 0.0) / (i + j) + (share[j - 1] * j / (i + j) if j else 0.0)
+    return 1 - float(share[m])
+
+
 def spearman_p(correlations: DataFrame) -> DataFrame:
-    """Add p to (.., n, rho): two-sided, by t = rho sqrt((n - 2) / (1 - rho^2)) with n - 2 degrees of freedom; 0 for a rho of 1 or -1, null where
-    there is no rho or n < 3."""
+    """Add p to (.., n, rho, squares), in place of squares: two-sided; exact up to EXACT_PAIRS pairs without ties, else by t = rho sqrt((n - 2) / (1 - rho^2)) with
+    n - 2 degrees of freedom; 0 for a rho of 1 or -1 then; null where there is no rho or n < 3."""
 
     @F.pandas_udf("double")
-    def tails(rho: pd.Series, n: pd.Series) -> pd.Series:
-        one = lambda r, k: None if r is None or math.isnan(r) or k < 3 else 0.0 if abs(r) >= 1 - 1e-12 else _t_tails(r * math.sqrt((k - 2) / (1 - r * r)), int(k) - 2)
-        return pd.Series([one(r, k) for r, k in zip(rho, n, strict=True)], dtype=object)
+    def tails(rho: pd.Series, n: pd.Series, squares: pd.Series) -> pd.Series:
+        def one(r: float | None, k: int, q: float | None) -> float | None:
+            if r is None or math.isnan(r) or k < 3:
+                return None
+            if k <= EXACT_PAIRS and q is not None and not math.isnan(q):
+                return squares_tail(int(q), int(k))
+            return 0.0 if abs(r) >= 1 - 1e-12 else _t_tails(r * math.sqrt((k - 2) / (1 - r * r)), int(k) - 2)
+
+        return pd.Series([one(*x) for x in zip(rho, n, squares, strict=True)], dtype=object)
 
-    return correlations.withColumn("p", tails("rho", "n"))
+    return correlations.withColumn("p", tails("rho", "n", "squares")).drop("squares")
 
 
 def kolmogorov_p(distances: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
-    """(a, b, d, p): the chance of a distance of d or more between samples of these sizes (group, n) of one distribution, by Kolmogorov's limit law."""
+    """(a, b, d, p): the chance of a distance of d or more between samples of these sizes (group, n) of one distribution: exact where the product of sizes is
+    below EXACT_PRODUCT and no value is tied, else by Kolmogorov's limit law."""
     of = lambda side: sizes.select(F.col(group).alias(side), F.col("n").alias(f"n_{side}"))
     both = distances.join(of("a"), "a").join(of("b"), "b")
     reach = F.col("d") * F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))
     terms = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * reach * reach))
     # below 0.2 the law's chance is 1 to 12 digits
-    return both.select("a", "b", "d", F.when(reach < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), terms))).alias("p"))
+    limit = F.when(reach < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), terms)))
+
+    @F.pandas_udf("double")
+    def exact(d: pd.Series, n: pd.Series, m: pd.Series, small: pd.Series) -> pd.Series:
+        return pd.Series([distance_tail(*x) if s else None for *x, s in zip(d, n, m, small, strict=True)], dtype=object)
+
+    small = ~F.col("tied") & (F.col("n_a") * F.col("n_b") < EXACT_PRODUCT)
+    return both.select("a", "b", "d", F.coalesce(exact("d", "n_a", "n_b", small), limit).alias("p"))
 
 
 def adjusted_harmonic_p(rows: DataFrame, group: str, p: str, total: int | None = None) -> DataFrame:
@@ -159,7 +226,22 @@ def harmonic_mean_p(rows: DataFrame, group: str, p: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count("*").alias("n"), (F.count("*") / F.sum(1 / F.col(p))).alias("hmp"))
 
 
-def cosines(rows: DataFrame, key: str, dimension: str, value: str, profiles: DataFrame, name: str, weight: str) -> DataFrame:
-    """(key, name, cosine) of each row vector with each of a few profiles; null for a vector of zeros."""
-    dots = rows.join(profiles, dimension).groupBy(key, name).agg(F.sum(F.col(value) * F.col(weight)).alias("dot"), F.sum(F.col(value) * F.col(value)).alias("aa"), F.sum(F.col(weight) * F.col(weight)).alias("bb"))
-    return dots.select(key, name, F.try_divide(F.col("dot"), F.sqrt(F.col("aa") * F.col("bb"))).alias("cosine"))
+def densities(rows: DataFrame, group: str, value: str, low: float, high: float, points: int = 64) -> DataFrame:
+    """(group, at, density): Gaussian kernel densities of each group at equally spaced points of [low, high], for violins.
+
+    Values are counted at the nearest point first (those outside go to the ends), so each group's counts are convolved point by point, however many rows it
+    has. The bandwidth is 0.9 min(standard deviation, interquartile range / 1.34) n^(-1/5), of the range alone or the deviation alone where the other is 0;
+    groups with one value only, or a single row, have no density.
+    """
+    step = (high - low) / (points - 1)
+    rows = rows.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"))
+    place = F.greatest(F.lit(0), F.least(F.lit(points - 1), F.round((F.col("v") - low) / step))).cast("int")
+    counts = rows.groupBy(group, place.alias("i")).agg(F.count("*").alias("k"))
+    q = rows.groupBy(group).agg(F.stddev_samp("v").alias("sd"), F.expr("percentile(v, array(0.25, 0.75))").alias("q"), F.count("*").alias("n"))
+    spread = F.array_min(F.filter(F.array("sd", (F.col("q")[1] - F.col("q")[0]) / 1.34), lambda x: x > 0))
+    widths = q.select(group, "n", (0.9 * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h")).where("h > 0")
+    binned = counts.join(widths.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+    spots = binned.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    far = (F.col("i") - F.col("j")) * step / F.col("h")
+    part = F.col("k") * F.exp(-far * far / 2) / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))
+    return spots.groupBy(group, "j").agg(F.sum(part).alias("density")).select(group, (F.col("j") * step + low).alias("at"), "density")

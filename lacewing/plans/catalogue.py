@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lacewing.functions.lineage import cut
 from lacewing.operators import calls as C
+from lacewing.operators import coding as K
 from lacewing.operators import contexts as X
 from lacewing.operators import landscape as L
 from lacewing.operators import phylogeny as P
@@ -24,6 +25,8 @@ ORACLES: dict[str, str] = {}
 
 #: Limits of the given tables, whose p-values go from 0 to 0.08.
 GIVEN = C.Thresholds(pvalue=0.07)
+#: The frame and the place in it that is read twice: the last of one codon and the first of the next.
+SLIP = ("ORF1", 15)
 
 
 def query(oracle: str | None = None, *views: str):
@@ -58,11 +61,12 @@ FACT = (T.CALLS, T.SAMPLES, T.VARIANTS, FACTS)
 COUNTS = "counts as (select sample, sum((vf >= 0.05 and vf <= 0.9)::int)::bigint as n_minor, sum((vf > 0.9)::int)::bigint as n_clonal, coalesce(avg(case when vf >= 0.05 and vf <= 0.9 then vf end), 0) as mean_minor from calls group by 1)"
 STATISTICS = "statistics as (select sample, n_minor, n_clonal, mean_minor, collection_date, median_coverage, total_coverage, clade, case when n_minor = 0 then null else coalesce(cluster, 'SC#4') end as cluster, week(collection_date)::int as week, case when week(collection_date) < 16 then '<16' when week(collection_date) <= 39 then ((week(collection_date) - 16) // 3 * 3 + 16) || '-' || ((week(collection_date) - 16) // 3 * 3 + 18) end as week_bin from counts join collected using (sample) join samples using (sample))"
 STATS = (T.CALLS, T.SAMPLES, T.COLLECTED, COUNTS, STATISTICS)
-ORF = "orf as (select pos, alt, variant, coalesce(name, 'intergenic') as orf, coalesce(region, 'intergenic') as region, case when region = 'CDS' then case when (pos - first + 1) % 3 = 0 then 3 else (pos - first + 1) % 3 end end::int as codon_position, case when region = 'CDS' then pos - first + 1 end as offset_ from variants left join lateral (select * from frames where pos between first and last order by orf desc limit 1) on true)"
+ORF = f"orf as (select pos, alt, variant, coalesce(name, 'intergenic') as orf, coalesce(region, 'intergenic') as region, case when region = 'CDS' and not (name = '{SLIP[0]}' and o = {SLIP[1]}) then (o + s - 1) % 3 + 1 end::int as codon_position, case when region = 'CDS' then o + s end as offset_ from (select *, pos - first + 1 as o, (name = '{SLIP[0]}' and pos - first + 1 > {SLIP[1]})::bigint as s from variants left join lateral (select * from frames where pos between first and last order by orf desc limit 1) on true))"
 ANNOTATED = (T.VARIANTS, T.FRAMES, ORF)
-CODE = ", ".join(f"('{codon}', '{amino}')" for codon, amino in L.standard_code().items())
-CODONS = f"code(codon, amino) as (values {CODE}), coding as (select *, pos - codon_position + 1 as s from orf where region = 'CDS'), codons as (select c.pos, c.alt, c.orf, c.codon_position, c.offset_, a.base || b.base || d.base as codon from coding c join genome a on a.pos = s join genome b on b.pos = s + 1 join genome d on d.pos = s + 2), effects as (select e.pos, orf, codon_position, x.amino, y.amino as amino_mutated, case when x.amino = y.amino then 'S' else 'NS' end as effect, orf || '.' || ceil(offset_ / 3)::bigint || x.amino || '>' || y.amino as change from codons e join code x on x.codon = e.codon join code y on y.codon = substr(e.codon, 1, codon_position - 1) || alt || substr(e.codon, codon_position + 1))"
-EFFECTS = (T.GENOME, *ANNOTATED, CODONS)
+CODE = ", ".join(f"('{codon}', '{amino}')" for codon, amino in K.standard_code().items())
+CODING = f"genes as (select orf as gene, name, first, last, coalesce(sum(last - first + 1 + (name = '{SLIP[0]}')::int) over (order by first, name rows between unbounded preceding and 1 preceding), 0)::bigint as before from frames where region = 'CDS'), cds as (select (before + o + (name = '{SLIP[0]}' and o > {SLIP[1]})::int + k)::bigint as idx, (o + (name = '{SLIP[0]}' and o > {SLIP[1]})::int + k)::bigint as place, gene, pos, name as orf, base from (select *, pos - first + 1 as o from genes join genome on pos between first and last), (select unnest([0, 1]) as k) where k = 0 or (name = '{SLIP[0]}' and o = {SLIP[1]}))"
+CODONS = f"code(codon_, amino) as (values {CODE}), hits as (select v.pos, v.ref, v.alt, c.gene, c.orf, c.place, c.base from variants v join cds c on c.pos = v.pos where c.gene = (select max(gene) from cds l where l.pos = v.pos)), spelled as (select t.pos, t.alt, t.codon, t.orf, string_agg(c.base, '' order by c.place) as whole, string_agg(case when c.pos = t.pos then t.alt else c.base end, '' order by c.place) as mutated from (select distinct pos, alt, gene, orf, (place - 1) // 3 as codon from hits) t join cds c on c.gene = t.gene and (c.place - 1) // 3 = t.codon group by all having count(*) = 3), met as (select pos, alt, orf, string_agg(x.amino, '' order by codon) as amino, string_agg(y.amino, '' order by codon) as amino_mutated, case when bool_or(x.amino <> y.amino) then 'NS' else 'S' end as effect, coalesce(string_agg(orf || '.' || (codon + 1) || x.amino || '>' || y.amino, '|' order by codon) filter (where x.amino <> y.amino), '') as changes from spelled join code x on x.codon_ = whole join code y on y.codon_ = mutated group by 1, 2, 3), effects as (select m.*, codon_position, ref_mismatch from met m join (select pos, alt, case when count(*) = 1 then (min(place) - 1) % 3 + 1 end::int as codon_position, bool_or(base <> ref) as ref_mismatch from hits group by 1, 2) using (pos, alt))"
+EFFECTS = (T.GENOME, T.VARIANTS, T.FRAMES, CODING, CODONS)
 ALLELES = "alleles as (select (pos + 1) // 2 as pos, alt, vf from calls join variants using (pos) where vf > 0.05)"
 ALLELE = (T.CALLS, T.VARIANTS, ALLELES)
 PAIRS = f"top as (select pos, count(*) as carriers, row_number() over (order by count(*) desc, pos) as rank from states where state = 1 group by 1 having count(*) / {T.N} > 0.03), ones as (select sample, pos, rank from states join top using (pos) where state = 1), joint as (select a.pos as a, b.pos as b, count(*) as joint from ones a join ones b using (sample) where a.rank < b.rank group by 1, 2), pairs as (select x.pos as a, y.pos as b, x.rank::int as rank_a, y.rank::int as rank_b, coalesce(joint, 0) as joint, ln(joint * {T.N} / (x.carriers * y.carriers)) as pmi from top x join top y on x.rank < y.rank left join joint on a = x.pos and b = y.pos)"
@@ -74,17 +78,18 @@ def _calls(spark: SparkSession, d: str) -> tuple:
     return T.calls(spark, d), T.n_samples(spark, d)
 
 
-def _facts(spark: SparkSession, d: str) -> DataFrame:
-    calls = T.calls(spark, d)
+def _facts(spark: SparkSession, d: str, calls: DataFrame | None = None) -> DataFrame:
+    calls = T.calls(spark, d) if calls is None else calls
     return L.variant_facts(calls, L.mutation_types(calls), T.samples(spark, d), T.variants(spark, d))
 
 
-def _detected(spark: SparkSession, d: str) -> DataFrame:
-    return C.minor_variants(C.filter_calls(*_calls(spark, d), GIVEN), GIVEN)
+def _detected(spark: SparkSession, d: str, calls: DataFrame | None = None) -> DataFrame:
+    calls = T.calls(spark, d) if calls is None else calls
+    return C.minor_variants(C.filter_calls(calls, T.n_samples(spark, d), GIVEN), GIVEN)
 
 
-def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return X.context_counts(_detected(spark, d), X.in_context(T.variants(spark, d), T.genome(spark, d)))
+def _counts(spark: SparkSession, d: str, calls: DataFrame | None = None) -> DataFrame:
+    return X.context_counts(_detected(spark, d, calls), X.in_context(T.variants(spark, d), T.genome(spark, d)))
 
 
 def _statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -92,11 +97,15 @@ def _statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _annotated(spark: SparkSession, d: str) -> DataFrame:
-    return L.annotated(T.variants(spark, d).select("pos", "alt", "variant"), T.frames(spark, d))
+    return L.annotated(T.variants(spark, d).select("pos", "alt", "variant"), T.frames(spark, d), SLIP)
+
+
+def _coding(spark: SparkSession, d: str) -> DataFrame:
+    return K.coding_positions(T.frames(spark, d), T.genome(spark, d), SLIP)
 
 
 def _effects(spark: SparkSession, d: str) -> DataFrame:
-    return L.codon_effects(_annotated(spark, d).where("region = 'CDS'"), T.genome(spark, d))
+    return K.effects(T.variants(spark, d), _coding(spark, d))
 
 
 def _states(spark: SparkSession, d: str) -> DataFrame:
@@ -108,9 +117,11 @@ def _top(states: DataFrame, n) -> DataFrame:
     return P.ranked(C.frequent(states, n, GIVEN))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+def _start_tree(spark: SparkSession, d: str) -> tuple:
+    """(states, leading variants, start tree)"""
     states, n = cut(_states(spark, d)), T.n_samples(spark, d)
-    return P.associations(states, cut(_top(states, n)), n)
+    top = cut(_top(states, n))
+    return states, top, cut(P.start_tree(P.associated(states, top, n), top))
 
 
 def _alleles(spark: SparkSession, d: str) -> DataFrame:
@@ -202,9 +213,10 @@ def orf_annotation(spark, d):
     return _annotated(spark, d)
 
 
-@query("select pos, orf, codon_position, amino, amino_mutated, effect, change from effects", *EFFECTS)
+@query("select pos, orf, codon_position, amino, amino_mutated, effect, changes, ref_mismatch from effects", *EFFECTS)
 def codon_effect(spark, d):
-    return _effects(spark, d).select("pos", "orf", "codon_position", "amino", "amino_mutated", "effect", "change")
+    """Effects in the frame that the slip shifts; the variant on the slip changes two codons."""
+    return _effects(spark, d).select("pos", "orf", "codon_position", "amino", "amino_mutated", "effect", F.array_join("changes", "|").alias("changes"), "ref_mismatch")
 
 
 @query("select type, effect, coalesce(n, 0)::bigint as n, round(coalesce(n, 0) / nullif(sum(coalesce(n, 0)) over (partition by type), 0), 6) as share from (select a.type, b.effect from (select distinct type from cells) a, (select distinct effect from cells) b) left join cells using (type, effect)", *EFFECTS, T.CALLS, T.SAMPLES, FACTS, "cells as (select type, effect, count(*) as n from effects join seen using (pos) group by 1, 2)")
@@ -259,7 +271,7 @@ def coverage_regression(spark, d):
     return S.regression(_statistics(spark, d), "clade", "total_coverage", "median_coverage")
 
 
-RANKS = "rankable as (select pos, vf, total_coverage as y from calls join collected using (sample) where vf > 0.05), ranked as (select pos, rank() over (partition by pos order by vf) + (count(*) over (partition by pos, vf) - 1) / 2 as a, rank() over (partition by pos order by y) + (count(*) over (partition by pos, y) - 1) / 2 as b from rankable), rhos as (select pos, count(*) as n, covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b)), 0) as rho from ranked group by 1 having count(*) >= 3)"
+RANKS = "rankable as (select pos, vf, total_coverage as y from calls join collected using (sample) where vf > 0.05), ranked as (select pos, 2 * rank() over (partition by pos order by vf) + count(*) over (partition by pos, vf) - 2 - count(*) over (partition by pos) as a, 2 * rank() over (partition by pos order by y) + count(*) over (partition by pos, y) - 2 - count(*) over (partition by pos) as b from rankable), rhos as (select pos, count(*) as n, sum(a * b)::double / nullif(sqrt(sum(a * a)::double * sum(b * b)::double), 0) as rho from ranked group by 1 having count(*) >= 3)"
 
 
 def _rhos(spark, d):
@@ -269,7 +281,7 @@ def _rhos(spark, d):
 
 @query("select pos, n, round(rho, 6) as rho from rhos", T.CALLS, T.COLLECTED, RANKS)
 def spearman_rho(spark, d):
-    return _rhos(spark, d)
+    return _rhos(spark, d).drop("squares")
 
 
 @query("select sample, pos, p, round(least(1.0, min(p * m / last_rank) over (partition by sample order by p desc range between unbounded preceding and current row)), 6) as q from (select sample, pos, p, count(*) over (partition by sample) as m, rank() over (partition by sample order by p) + count(*) over (partition by sample, p) - 1 as last_rank from (select sample, pos, pvalue + 0.001 as p from calls))", T.CALLS)
@@ -285,7 +297,7 @@ def harmonic_p(spark, d):
 
 @query("select a, b, round(max(abs(gap)), 6) as d from (select a, b, vf, sum(step) over (partition by a, b order by vf) as gap from (select x.cluster as a, y.cluster as b, vf, sum(case when f.cluster = x.cluster then 1 / nx else -1 / ny end) as step from (select cluster, count(*) as nx from facts where cluster is not null group by 1) x join (select cluster, count(*) as ny from facts where cluster is not null group by 1) y on x.cluster < y.cluster join facts f on f.cluster in (x.cluster, y.cluster) group by 1, 2, 3)) group by 1, 2", *FACT)
 def ks_pairs(spark, d):
-    return S.kolmogorov_smirnov(_facts(spark, d), "cluster", "vf")
+    return S.kolmogorov_smirnov(_facts(spark, d), "cluster", "vf").drop("tied")
 
 
 @query("select clade, n, round(v[1], 6) as low, round((v[floor(k)::int] + v[ceil(k)::int]) / 2, 6) as lower_hinge, round((v[floor((n + 1) / 2)::int] + v[ceil((n + 1) / 2)::int]) / 2, 6) as middle, round((v[floor(n + 1 - k)::int] + v[ceil(n + 1 - k)::int]) / 2, 6) as upper_hinge, round(v[n], 6) as high from (select clade, count(*) as n, ((count(*) + 3) // 2) / 2 as k, list(total_coverage order by total_coverage) as v from statistics group by 1)", *STATS)
@@ -309,17 +321,18 @@ def indistinguishable(spark, d):
 
 @query("select a, b, rank_a, rank_b, joint, round(pmi, 6) as pmi from pairs", *PAIRED)
 def pmi_pairs(spark, d):
-    return _pairs(spark, d)
+    states, n = cut(_states(spark, d)), T.n_samples(spark, d)
+    return P.associations(states, cut(_top(states, n)), n)
 
 
 @query("select parent, child, rank from edges", *PAIRED, EDGES)
 def pmi_start_tree(spark, d):
-    return P.start_tree(_pairs(spark, d))
+    return _start_tree(spark, d)[2]
 
 
 @query("select ancestor, child, distance from closure", "recursive " + CLONAL[0], *CLONAL[1:], PAIRS, EDGES, "closure as (select parent as ancestor, child, 1 as distance from edges union all select parent, closure.child, distance + 1 from closure join edges on ancestor = edges.child)")
 def ancestor_closure(spark, d):
-    tree = cut(P.start_tree(_pairs(spark, d)))
+    tree = _start_tree(spark, d)[2]
     return P.ancestors(tree, P.ancestors_rounds(tree.count() + 1))
 
 
@@ -454,10 +467,8 @@ ATTACH = ("recursive " + CLONAL[0], *CLONAL[1:], PAIRS, EDGES, CLOSURE, T.SAMPLE
 
 
 def _attached(spark, d):
-    states = cut(_states(spark, d))
-    n = T.n_samples(spark, d)
-    top = cut(_top(states, n))
-    tree, size = P.start_tree(P.associations(states, top, n)), top.count()
+    states, top, tree = _start_tree(spark, d)
+    size = top.count()
     genotypes = cut(P.clone_genotypes(tree, P.ancestors(tree, P.ancestors_rounds(size)), top))
     return cut(P.attachments(states, T.samples(spark, d), genotypes, top, size, ALPHA, BETA)), size
 

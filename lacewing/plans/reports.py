@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lacewing.functions.lineage import cut
+from lacewing.functions.lineage import cut, stored
 from lacewing.operators import contexts as X
 from lacewing.operators import landscape as L
 from lacewing.operators import phylogeny as P
@@ -16,45 +16,38 @@ from lacewing.plans import catalogue as Q
 from lacewing.plans.catalogue import query
 from lacewing.sources import tables as T
 
-#: The frame and the place in it that is read twice.
-SLIP = ("ORF1", 13)
 BINS = 20
+SLIP = Q.SLIP
 
-CODING = f"genes as (select name, first, coalesce(sum(last - first + 1 + (name = '{SLIP[0]}')::int) over (order by first, name rows between unbounded preceding and 1 preceding), 0)::bigint as before, last from frames where region = 'CDS'), cds as (select (before + o + (name = '{SLIP[0]}' and o > {SLIP[1]})::int + k)::bigint as idx, pos, name as orf, base from (select *, pos - first + 1 as o from genes join genome on pos between first and last), (select unnest([0, 1]) as k) where k = 0 or (name = '{SLIP[0]}' and o = {SLIP[1]}))"
-CHANGES = f"triplets as (select (idx - 1) // 3 as codon, string_agg(base, '' order by idx) as whole from cds group by 1 having count(*) = 3), changes as (select codon, {Q.FOLD} as change, case when x.amino = y.amino then 'S' else 'NS' end as effect, count(*) as n from (select codon, whole, substr(whole, i, 1) || '>' || alt as c, substr(whole, 1, i - 1) || alt || substr(whole, i + 1) as mutated from triplets, (select unnest([1, 2, 3]) as i), (select unnest(['A', 'C', 'G', 'T']) as alt) where substr(whole, i, 1) <> alt) join code x on x.codon_ = whole join code y on y.codon_ = mutated group by 1, 2, 3)"
-CODONS = Q.CODONS.replace("code(codon, amino)", "code(codon_, amino)").replace("x.codon = e.codon", "x.codon_ = e.codon").replace("y.codon = substr", "y.codon_ = substr")
+CHANGES = f"triplets as (select min(idx) as at_, string_agg(base, '' order by place) as whole from cds group by gene, (place - 1) // 3 having count(*) = 3), possible as (select at_, {Q.FOLD} as change, case when x.amino = y.amino then 'S' else 'NS' end as effect, count(*) as n from (select at_, whole, substr(whole, i, 1) || '>' || alt as c, substr(whole, 1, i - 1) || alt || substr(whole, i + 1) as mutated from triplets, (select unnest([1, 2, 3]) as i), (select unnest(['A', 'C', 'G', 'T']) as alt) where substr(whole, i, 1) <> alt) join code x on x.codon_ = whole join code y on y.codon_ = mutated group by 1, 2, 3)"
 PREVALENCE = "prevalence as (select cluster, substr(context, 3, 3) as change, sum(n) / sum(sum(n)) over (partition by cluster) as share from counts join samples using (sample) where cluster is not null group by 1, 2)"
-EXPECTED = "weights as (select cluster, codon, sum(case when effect = 'NS' then n * share else 0 end) as e_ns, sum(case when effect = 'S' then n * share else 0 end) as e_s from changes join prevalence using (change) group by 1, 2)"
+EXPECTED = "weights as (select cluster, at_, sum(case when effect = 'NS' then n * share else 0 end) as e_ns, sum(case when effect = 'S' then n * share else 0 end) as e_s from possible join prevalence using (change) group by 1, 2)"
 MUTATIONS = "mutations as (select distinct cluster, pos, effect, type from effects join facts using (pos) where cluster is not null)"
 #: Views of calls, samples and variants come once, whichever part asks for them.
-SELECTION = (T.CALLS, T.SAMPLES, T.VARIANTS, T.GENOME, T.FRAMES, Q.MASKED, Q.FILTERED, Q.TOP, Q.CONTEXTS, Q.COUNTED[-1], Q.FACTS, Q.ORF, CODONS, CODING, CHANGES, PREVALENCE, EXPECTED, MUTATIONS)
-WINDOWS = "begun as (select unnest(range(1, (select max(idx) from cds) - 298, 3)) as start), e as (select cluster, start, sum(e_ns) as e_ns, sum(e_s) as e_s from weights join begun on codon * 3 + 1 between start and start + 299 group by 1, 2), o as (select cluster, start, count(distinct case when effect = 'NS' then pos end) as n_ns, count(distinct case when effect = 'S' then pos end) as n_s, count(distinct case when type = 'always clonal' then pos end) as n_always_clonal, count(distinct case when type = 'always minor' then pos end) as n_always_minor, count(distinct case when type = 'mixed' then pos end) as n_mixed from mutations join cds using (pos) join begun on idx between start and start + 299 group by 1, 2), ratios as (select cluster, start, coalesce(n_ns, 0) as n_ns, coalesce(n_s, 0) as n_s, coalesce(n_always_clonal, 0) as n_always_clonal, coalesce(n_always_minor, 0) as n_always_minor, coalesce(n_mixed, 0) as n_mixed, e_ns, e_s, (coalesce(n_ns, 0) / nullif(coalesce(n_s, 0), 0)) / nullif(e_ns / nullif(e_s, 0), 0) as dnds from e left join o using (cluster, start))"
+SELECTION = (T.CALLS, T.SAMPLES, T.VARIANTS, T.GENOME, T.FRAMES, Q.MASKED, Q.FILTERED, Q.TOP, Q.CONTEXTS, Q.COUNTED[-1], Q.FACTS, Q.CODING, Q.CODONS, CHANGES, PREVALENCE, EXPECTED, MUTATIONS)
+WINDOWS = "begun as (select unnest(range(1, (select max(idx) from cds) - 298, 3)) as start), e as (select cluster, start, sum(e_ns) as e_ns, sum(e_s) as e_s from weights join begun on at_ between start and start + 299 group by 1, 2), o as (select cluster, start, count(distinct case when effect = 'NS' then pos end) as n_ns, count(distinct case when effect = 'S' then pos end) as n_s, count(distinct case when type = 'always clonal' then pos end) as n_always_clonal, count(distinct case when type = 'always minor' then pos end) as n_always_minor, count(distinct case when type = 'mixed' then pos end) as n_mixed from mutations join cds using (pos) join begun on idx between start and start + 299 group by 1, 2), ratios as (select cluster, start, coalesce(n_ns, 0) as n_ns, coalesce(n_s, 0) as n_s, coalesce(n_always_clonal, 0) as n_always_clonal, coalesce(n_always_minor, 0) as n_always_minor, coalesce(n_mixed, 0) as n_mixed, e_ns, e_s, (coalesce(n_ns, 0) / nullif(coalesce(n_s, 0), 0)) / nullif(e_ns / nullif(e_s, 0), 0) as dnds from e left join o using (cluster, start))"
 
 
-def _coding(spark, d):
-    return S.coding_positions(T.frames(spark, d), T.genome(spark, d), SLIP)
-
-
-def _mutations(spark, d):
-    rows = Q._effects(spark, d).select("pos", "effect").join(Q._facts(spark, d).select("pos", "cluster", "type"), "pos")
+def _mutations(spark, d, calls):
+    rows = Q._effects(spark, d).select("pos", "effect").join(Q._facts(spark, d, calls).select("pos", "cluster", "type"), "pos")
     return rows.where("cluster is not null").select("cluster", "pos", "effect", "type").distinct()
 
 
-def _expected(spark, d):
+def _expected(spark, d, calls):
     groups = T.samples(spark, d).select("sample", "cluster")
-    prevalence = X.profiles(X.rolled_up(Q._counts(spark, d)), groups, "cluster").select("cluster", F.col("context").alias("change"), "share")
-    return S.expected_by_codon(S.possible_changes(_coding(spark, d)), prevalence)
+    prevalence = X.profiles(X.rolled_up(Q._counts(spark, d, calls)), groups, "cluster").select("cluster", F.col("context").alias("change"), "share")
+    return S.expected_by_codon(S.possible_changes(Q._coding(spark, d)), prevalence)
 
 
 def _windows(spark, d):
-    coding = cut(_coding(spark, d))
+    coding, calls = cut(Q._coding(spark, d)), stored(T.calls(spark, d))
     length = coding.agg(F.coalesce(F.max("idx"), F.lit(0))).scalar()
-    return S.dnds_by_window(S.observed_windows(_mutations(spark, d), coding, length), S.expected_windows(_expected(spark, d), length))
+    return S.dnds_by_window(S.observed_windows(_mutations(spark, d, calls), coding, length), S.expected_windows(_expected(spark, d, calls), length))
 
 
-@query("select idx, pos, orf, base from cds", T.GENOME, T.FRAMES, CODING)
+@query("select idx, pos, orf, base from cds", T.GENOME, T.FRAMES, Q.CODING)
 def coding_positions(spark, d):
-    return _coding(spark, d)
+    return Q._coding(spark, d).select("idx", "pos", "orf", "base")
 
 
 @query("select cluster, start, n_ns, n_s, n_always_clonal, n_always_minor, n_mixed, round(e_ns, 6) as e_ns, round(e_s, 6) as e_s, round(dnds, 6) as dnds from ratios", *SELECTION, WINDOWS)
@@ -69,7 +62,8 @@ def dnds_smooth(spark, d):
 
 @query("select cluster, n_ns, n_s, round(e_ns, 6) as e_ns, round(e_s, 6) as e_s, round((n_ns / nullif(n_s, 0)) / nullif(e_ns / nullif(e_s, 0), 0), 6) as dnds from (select cluster, count(distinct case when effect = 'NS' then pos end) as n_ns, count(distinct case when effect = 'S' then pos end) as n_s from mutations group by 1) join (select cluster, sum(e_ns) as e_ns, sum(e_s) as e_s from weights group by 1) using (cluster)", *SELECTION)
 def dnds_overall(spark, d):
-    return S.dnds_overall(_mutations(spark, d), _expected(spark, d))
+    calls = stored(T.calls(spark, d))
+    return S.dnds_overall(_mutations(spark, d, calls), _expected(spark, d, calls))
 
 
 @query(f"select pos, name, (o + (name = '{SLIP[0]}' and o > {SLIP[1]})::int)::bigint as \"offset\", case when not (name = '{SLIP[0]}' and o = {SLIP[1]}) then (o + (name = '{SLIP[0]}' and o > {SLIP[1]})::int - 1) % 3 + 1 end::int as codon_position from (select pos, name, pos - first + 1 as o from variants join frames on pos between first and last where region = 'CDS')", T.VARIANTS, T.FRAMES)
@@ -86,9 +80,7 @@ def mutation_effects(spark, d):
 
 
 def _tree(spark, d):
-    states, n = cut(Q._states(spark, d)), T.n_samples(spark, d)
-    top = cut(Q._top(states, n))
-    tree = cut(P.start_tree(P.associations(states, top, n)))
+    (states, top, tree), n = Q._start_tree(spark, d), T.n_samples(spark, d)
     size = top.count()
     genotypes = cut(P.clone_genotypes(tree, P.ancestors(tree, P.ancestors_rounds(size)), top))
     return states, top, tree, genotypes, cut(P.attachments(states, T.samples(spark, d), genotypes, top, size, Q.ALPHA, Q.BETA)), n
@@ -236,22 +228,30 @@ def aligned_calls(spark, d):
     return R.aligned(T.calls(spark, d).select("sample", "pos", "vf"), Q._states(spark, d))
 
 
-RANKS = "rankable as (select pos, vf, week(collection_date) as y from calls join collected using (sample) where vf > 0.05), ranked as (select pos, rank() over (partition by pos order by vf) + (count(*) over (partition by pos, vf) - 1) / 2 as a, rank() over (partition by pos order by y) + (count(*) over (partition by pos, y) - 1) / 2 as b from rankable), rhos as (select pos, count(*) as n, covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b)), 0) as rho from ranked group by 1 having count(*) >= 3)"
+RANKS = "rankable as (select pos, vf, week(collection_date) as y from calls join collected using (sample) where vf > 0.05), ranked as (select pos, 2 * rank() over (partition by pos order by vf) + count(*) over (partition by pos, vf) - 2 - count(*) over (partition by pos) as a, 2 * rank() over (partition by pos order by y) + count(*) over (partition by pos, y) - 2 - count(*) over (partition by pos) as b from rankable), rhos as (select pos, count(*) as n, sum(a * b)::double / nullif(sqrt(sum(a * a)::double * sum(b * b)::double), 0) as rho, case when sum(a * a) = (count(*) ** 3 - count(*)) / 3 and sum(b * b) = sum(a * a) then (sum(a * a) + sum(b * b) - 2 * sum(a * b)) // 4 end as squares from ranked group by 1 having count(*) >= 3)"
 
 
-@query("select pos, n, round(rho, 6) + 0 as rho from rhos", T.CALLS, T.COLLECTED, RANKS)
-def spearman_week(spark, d):
+def _by_week(spark, d):
     weeks = T.collected(spark, d).select("sample", F.weekofyear("collection_date").alias("week"))
     return Z.spearman(T.calls(spark, d).where("vf > 0.05").join(weeks, "sample").select("pos", "vf", "week"), "pos", "vf", "week")
 
 
+@query("select pos, n, round(rho, 6) + 0 as rho from rhos", T.CALLS, T.COLLECTED, RANKS)
+def spearman_week(spark, d):
+    return _by_week(spark, d).drop("squares")
+
+
 #: Both tails of Student's distribution for whole degrees of freedom, as finite sums.
 TAILS = "1 - case when n % 2 = 0 then abs(rho) * coalesce(list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(1 - rho * rho, k) for k in range(0, (n - 2) // 2)]), 0) else 2 / pi() * (asin(least(1, abs(rho))) + abs(rho) * coalesce(list_sum([sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow(greatest(0, 1 - rho * rho), k + 0.5) for k in range(0, (n - 3) // 2)]), 0)) end"
 
 
-@query(f"select pos, n, round(rho, 6) + 0 as rho, case when rho is not null then round(greatest(0, {TAILS}), 6) end as p from rhos", T.CALLS, T.COLLECTED, RANKS)
+#: The exact chances of few pairs without ties.
+EXACT = "exact(n_, q, p_exact) as (values " + ", ".join(f"({n}, {q}, {Z.squares_tail(q, n)!r})" for n in range(3, Z.EXACT_PAIRS + 1) for q in range(0, (n**3 - n) // 3 + 1, 2)) + ")"
+
+
+@query(f"select pos, n, round(rho, 6) + 0 as rho, case when p_exact is not null then round(p_exact, 6) when rho is not null then round(greatest(0, {TAILS}), 6) end as p from rhos left join exact on n_ = n and q = squares", T.CALLS, T.COLLECTED, RANKS, EXACT)
 def spearman_significance(spark, d):
-    return Z.spearman_p(spearman_week(spark, d))
+    return Z.spearman_p(_by_week(spark, d))
 
 
 @query("select a, b, round(d, 6) as d, round(case when reach < 0.2 then 1 else greatest(0, least(1, list_sum([(case when k % 2 = 1 then 2 else -2 end) * exp(-2 * k * k * reach * reach) for k in range(1, 101)]))) end, 6) as p from (select *, d * sqrt(nx * ny / (nx + ny)) as reach from (select a, b, nx, ny, max(abs(gap)) as d from (select a, b, nx, ny, vf, sum(step) over (partition by a, b order by vf) as gap from (select x.cluster as a, y.cluster as b, nx, ny, vf, sum(case when f.cluster = x.cluster then 1 / nx else -1 / ny end) as step from sizes x join (select cluster, nx as ny from sizes) y on x.cluster < y.cluster join facts f on f.cluster in (x.cluster, y.cluster) group by 1, 2, 3, 4, 5)) group by 1, 2, 3, 4))", *Q.FACT, "sizes as (select cluster, count(*) as nx from facts where cluster is not null group by 1)")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from lacewing.operators import calls as C
+from lacewing.operators import coding as K
 from lacewing.operators import contexts as X
 from lacewing.operators import landscape as L
 from lacewing.operators import phylogeny as P
@@ -64,7 +65,7 @@ def test_overlapping_frames_and_codons(spark):
     positions = spark.createDataFrame([(2, "A"), (6, "A"), (7, "A"), (20, "A")], "pos int, alt string")
     got = {r.pos: (r.region, r.orf, r.codon_position) for r in L.annotated(positions, frames).collect()}
     assert got == {2: ("5UTR", "U", None), 6: ("CDS", "A", 3), 7: ("CDS", "B", 1), 20: ("intergenic", "intergenic", None)}
-    assert len(L.standard_code()) == 64 and L.standard_code()["ATG"] == "M" and L.standard_code()["TGA"] == "*"
+    assert len(K.standard_code()) == 64 and K.standard_code()["ATG"] == "M" and K.standard_code()["TGA"] == "*"
 
 
 def test_spread_classes(spark):
@@ -103,7 +104,8 @@ def test_merging_needs_equal_missing_states(spark):
 def test_start_tree_and_closure(spark):
     rows = [(s, p, 1) for p, carriers in ((1, range(8)), (2, range(6)), (3, range(4)), (4, (6, 7))) for s in carriers]
     states = spark.createDataFrame(rows, "sample int, pos int, state int")
-    tree = P.start_tree(P.associations(states, P.ranked(C.frequent(states, F.lit(10))), F.lit(10)))
+    top = P.ranked(C.frequent(states, F.lit(10)))
+    tree = P.start_tree(P.associated(states, top, F.lit(10)), top)
     assert sorted((r.parent, r.child) for r in tree.collect()) == [(1, 2), (1, 4), (2, 3)]
     closure = {(r.ancestor, r.child, r.distance) for r in P.ancestors(tree.select("parent", "child"), 2).collect()}
     assert closure == {(1, 2, 1), (1, 4, 1), (2, 3, 1), (1, 3, 2)}
@@ -114,7 +116,7 @@ def test_contingency_has_zero_cells(spark):
     assert {(r.k, r.v): (r.n, r.share) for r in got} == {("a", "x"): (2, 1.0), ("a", "y"): (0, 0.0), ("b", "x"): (0, 0.0), ("b", "y"): (1, 1.0)}
 
 
-def test_attachment_and_newick(spark):
+def test_attachment(spark):
     top = spark.createDataFrame([(10, 5, 1), (20, 3, 2)], "pos int, carriers long, rank int")
     genotypes = spark.createDataFrame([(1, 10), (2, 10), (2, 20)], "clone int, pos int")
     states = spark.createDataFrame([(1, 10, 1), (1, 20, 1), (2, 10, 1), (3, 10, None), (3, 20, None)], "sample int, pos int, state int")
@@ -122,4 +124,3 @@ def test_attachment_and_newick(spark):
     attached = P.attachments(states, samples, genotypes, top, 2, 0.01, 0.05)
     assert {r.sample: r.clone for r in attached.collect()} == {1: 2, 2: 1, 3: 0, 4: 0}
     assert {r.clone: (r.n, r.prevalence) for r in P.prevalence(attached, 3).collect()} == {0: (2, 0.5), 1: (1, 0.25), 2: (1, 0.25), 3: (None, None)}
-    assert P.newick([(1, 2), (1, 4), (2, 3)], {4: "d"}) == "((3)2,d)1;"

@@ -30,12 +30,13 @@ def test_coding_positions_and_expected_changes(spark):
     got = [(r.idx, r.pos, r.base) for r in coding.orderBy("idx").collect()]
     assert got == [(1, 4, "A"), (2, 5, "T"), (3, 6, "G"), (4, 6, "G"), (5, 7, "T"), (6, 8, "T"), (7, 9, "T"), (8, 9, "T"), (9, 10, "A"), (10, 11, "A")]
     changes = S.possible_changes(coding).collect()
-    assert sum(r.n for r in changes) == 27 and all(r.effect == "NS" for r in changes if r.codon == 0)  # ATG is the only one of its amino acid
-    assert sum(r.n for r in changes if r.codon == 1 and r.effect == "S") == 3  # GTT: the third base is free
+    assert sum(r.n for r in changes) == 27 and all(r.effect == "NS" for r in changes if r.at == 1)  # ATG is the only one of its amino acid
+    assert sum(r.n for r in changes if r.at == 4 and r.effect == "S") == 3  # GTT: the third base is free
     prevalence = spark.createDataFrame([("c", x, 0.5) for x in ("C>A", "C>G", "C>T", "T>A", "T>C", "T>G")], "cluster string, change string, share double")
     by_codon = S.expected_by_codon(S.possible_changes(coding), prevalence)
     windows = {r.start: (r.e_ns, r.e_s) for r in S.expected_windows(by_codon, F.lit(10), 6, 3).collect()}
-    assert sorted(windows) == [1, 4] and math.isclose(windows[1][0], 7.5) and math.isclose(windows[1][1], 1.5)
+    # ATG and GTT begin in the first window, GTT and the second frame's TAA (at 8, though no multiple of 3) in the second
+    assert sorted(windows) == [1, 4] and math.isclose(windows[1][0], 7.5) and math.isclose(windows[1][1], 1.5) and math.isclose(sum(windows[4]), 9.0)
     mutations = spark.createDataFrame([("c", 6, "NS", "mixed"), ("c", 6, "NS", "mixed"), ("c", 8, "S", "always minor")], "cluster string, pos int, effect string, type string")
     seen = {r.start: (r.n_ns, r.n_s, r.n_mixed, r.n_always_minor) for r in S.observed_windows(mutations, coding, F.lit(10), 6, 3).collect()}
     assert seen == {1: (1, 1, 1, 1), 4: (1, 1, 1, 1)}  # position 6 is listed twice but counted once
