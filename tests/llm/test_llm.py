@@ -400,7 +400,7 @@ def lines_by_brute_force(rows):
     for doc, text in rows:
         for i, line in enumerate((text or "").split("\n")):
             words = line.lower().split()
-            if len(words) >= lines.LEAST_WORDS:
+            if len(words) >= lines.LEAST_WORDS or len(" ".join(words)) >= lines.LEAST_CHARS:
                 seen.setdefault(" ".join(words), []).append((doc, i))
     keys = sorted(seen)
     root = {k: k for k in keys}
@@ -410,7 +410,7 @@ def lines_by_brute_force(rows):
             x = root[x]
         return x
 
-    for a, b in combinations(keys, 2):
+    for a, b in combinations([k for k in keys if len(k.split()) >= lines.LEAST_WORDS], 2):
         if lines.similar(a, b):
             root[find(a)] = find(b)
     groups = {}
@@ -444,6 +444,36 @@ def test_line_deduplication_equals_brute_force(spark):
         expected = None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone.get(r.doc_id, ()))
         assert r.text == expected and r.n_removed == len(gone.get(r.doc_id, ()))
     assert lines.deduplicate_lines(df.limit(0)).count() == 0
+    # lines whose hashes clash in their first half are told apart and compared all the same
+    same = {r.doc_id: (r.text, r.n_removed) for r in lines.deduplicate_lines(df, bits=4).collect()}
+    assert same == {r.doc_id: (r.text, r.n_removed) for r in lines.deduplicate_lines(df).collect()}
+
+
+def test_short_lines_go_only_if_repeated_exactly(spark):
+    rows = [(1, "All rights reserved.\nmenu\n沿用了原来的名字并且在这里写了很长的一行没有空格"), (2, "all  RIGHTS reserved.\nmenu\n沿用了原来的名字并且在这里写了很长的一行没有空格\nall rights reserved!")]
+    got = {r.doc_id: r.text for r in lines.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "menu\nall rights reserved!"}
+
+
+def test_texts_are_cut_as_split_does(monkeypatch):
+    rnd = random.Random(3)
+    letters = ["A", "É", "ß", "İ", "x", "9", " ", " ", "\t", "\r", "\x1d", "\xa0", "\u3000", "\n", "-", "中", "\ud800", "\x00"]
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(400))) for _ in range(200)] + ["", "\n\n", "a b c d e\n" * 300]
+    for size in (1 << 20, 100):
+        monkeypatch.setattr(lines, "CHARS_TOGETHER", size)
+        got, hashes = {}, {}
+        for keys, lot in lines.together((i, t) for i, t in enumerate(texts)):
+            cut = lines.cut_lines(lot)
+            for t, at, n, begin, line in zip(cut.text.tolist(), cut.at.tolist(), cut.counts.tolist(), cut.begins.tolist(), cut.ids.tolist(), strict=True):
+                key, number = keys[t]
+                got[key, at + number] = (n, tuple(line))
+                for word, value in zip(texts[key].split("\n")[at + number].lower().split(), cut.values[begin : begin + n].tolist(), strict=True):
+                    assert hashes.setdefault(word, value) == value
+        assert len(set(hashes.values())) == len(hashes) > 100
+        expected = {(i, k): " ".join(x.lower().split()) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n"))}
+        expected = {k: x for k, x in expected.items() if len(x.split(" ")) >= lines.LEAST_WORDS or len(x) >= lines.LEAST_CHARS}
+        assert set(got) == set(expected) and all(got[k][0] == len(x.split(" ")) for k, x in expected.items())
+        assert len({(got[k], x) for k, x in expected.items()}) == len(set(expected.values())) == len({got[k] for k in expected})
 
 
 def test_lines_with_null_ids_and_repeated_rows(spark):
@@ -488,20 +518,25 @@ def similar_lines(rnd, n):
             yield line, other
 
 
+def cut_words(rows):
+    return lines.cut_lines(["\n".join(map(" ".join, rows))])
+
+
 def test_similar_lines_share_keys_that_stay():
     """Each similar pair has a key in common that thinning keeps, and fingerprints that differ by twice its edits at most."""
     rnd = random.Random(31)
-    for common in ({}, {"the": 40, "w7": 9}):
-        words = lines._Words(common)
+    common = np.zeros(lines.SLOTS, np.uint8)
+    common[(lines.cut_lines(["the w7 w8 w9 w10"]).values & np.uint64(lines.SLOTS - 1)).astype(int)] = [40, 9, 1, 3, 4]
+    for classes in (np.zeros(lines.SLOTS, np.uint8), common):
         for pair in similar_lines(rnd, 1500):
-            data = []
-            for of, keys, places in lines.prefixes(list(pair), words):
+            data, cut = [], cut_words(pair)
+            for of, keys, places in lines.prefixes(cut, np.arange(2), classes):
                 for x, key, place in zip(of.tolist(), keys.tolist(), places.tolist(), strict=True):
                     data.append((key & 0xFFFFFFFF, x, min(len(pair[x]), lines.ANY), place))
             data = np.array(data, lines._KEY)
             left = lines.thinned(data[np.argsort(data["key"])])
             assert set(left["line"].tolist()) == {0, 1}, pair
-            a, b = lines.fingerprints(list(pair), words)
+            a, b = lines.fingerprints(cut, np.arange(2))
             assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= 2 * lines.edit_distance(*pair)
             length, signs = np.array([len(x) for x in pair]), np.stack([a, b])
             assert [x.tolist() + y.tolist() for x, y, _ in lines.met_in(np.array([3, 3]), length, signs)][0] == [0, 1]
@@ -517,7 +552,7 @@ def test_members_of_a_bucket_are_linked_whatever_texts_say(monkeypatch):
         for _ in range(rnd.randrange(1, 30)):
             members.append([w if rnd.random() < 0.85 else f"x{rnd.randrange(90)}" for w in rnd.choice(base)])
             bucket.append(b)
-    bucket, length, signs = np.array(bucket), np.array([len(x) for x in members]), lines.fingerprints(members, lines._Words({}))
+    bucket, length, signs = np.array(bucket), np.array([len(x) for x in members]), lines.fingerprints(cut_words(members), np.arange(len(members)))
     out = list(lines.met_in(bucket, length, signs))
     got = [p for i, j, _ in out for p in zip(i.tolist(), j.tolist(), strict=True)]
     more = {x for _, _, others in out for x in others.tolist()}
@@ -558,7 +593,7 @@ def test_very_many_near_lines_meet_in_few_pairs(spark):
     rnd, base = random.Random(8), [f"w{k}" for k in range(40)]
     texts = [" ".join(w if rnd.random() < 0.93 else f"x{rnd.randrange(10**6)}" for w in base) for _ in range(1500)]
     words = [t.split() for t in texts]
-    length, signs = np.array([len(x) for x in words]), lines.fingerprints(words, lines._Words({}))
+    length, signs = np.array([len(x) for x in words]), lines.fingerprints(cut_words(words), np.arange(len(words)))
     pairs = sum(len(i) for i, _, _ in lines.met_in(np.zeros(len(words), int), length, signs))
     assert pairs <= 2 * len(words)
     some = list(enumerate(texts[:300]))
