@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacewing.functions.lineage import stored
+from lacewing.operators.consensus import agreement, silhouette_of_rows, silhouette_of_samples
 from lacewing.operators.signatures import cosines, normalised, seeded
 
 #: Samples that are fitted at once.
@@ -96,44 +98,38 @@ def best(samples: DataFrame, betas: dict[int, np.ndarray]) -> dict[int, tuple[in
     return {k: (int(np.argmin(v[:, 1])), v[np.argmin(v[:, 1])]) for k, v in sorted(_summed(samples, betas, _residuals).items())}
 
 
-def agreement(samples: DataFrame, betas: dict[int, np.ndarray]) -> DataFrame:
-    """(k, dispersion): 1 where all starts put the same samples together, 0 where any two share a group in half of the starts.
+def label_classes(samples: DataFrame, betas: dict[int, np.ndarray]) -> DataFrame:
+    """(k, labels, n): how many samples have each vector of labels, a byte a start: the signature of a sample's largest exposure."""
 
-    A sample's group is the signature of its largest exposure. The dispersion is the mean over pairs of samples of 4 (c - 1/2)^2, c being
-    the share of starts that put them together. No pairs are listed: c and c^2 summed over pairs are sums of squares of how many samples
-    are in a group of one start, and in a group of each of two starts.
-    """
-
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
+    def labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k, _, alpha in _fitted(batch, betas):
-                ones = np.eye(k)[np.argmax(alpha, axis=2)].transpose(1, 0, 2).reshape(alpha.shape[1], -1)
-                sums[k] = sums.get(k, 0.0) + ones.T @ ones
-        for k, table in sums.items():
-            a, b = np.nonzero(table)
-            yield pd.DataFrame({"k": k, "a": a, "b": b, "n": table[a, b]})
+                own = np.ascontiguousarray(alpha.argmax(axis=2).T.astype(np.uint8))
+                yield pd.DataFrame({"k": k, "labels": [x.tobytes() for x in own]})
 
-    together = samples.select("x").mapInPandas(counts, "k int, a int, b int, n double").groupBy("k", "a", "b").agg(F.sum("n").alias("n"))
-    starts = max(map(len, betas.values()), default=1)
-    own = F.floor(F.col("a") / F.col("k")) == F.floor(F.col("b") / F.col("k"))
-    square, n = F.col("n") * F.col("n"), F.sum(F.when(own & (F.col("a") == F.col("b")), F.col("n"))) / starts
-    sums = together.groupBy("k").agg(n.alias("size"), (F.sum(F.when(own, square)) / starts).alias("c"), (F.sum(square) / starts**2).alias("cc"))
-    return sums.select("k", (1 + 4 * (F.col("cc") - F.col("c")) / (F.col("size") * F.col("size"))).alias("dispersion"))
+    return samples.select("x").mapInPandas(labels, "k int, labels binary").groupBy("k", "labels").agg(F.count("*").alias("n"))
 
 
 def measures(samples: DataFrame, betas: dict[int, np.ndarray]) -> DataFrame:
-    """(k, starts, best_start, n, rss, explained, sparseness_signatures, sparseness_exposures, dispersion) of each rank.
+    """(k, starts, best_start, n, rss, explained, sparseness_signatures, sparseness_exposures, silhouette_signatures, silhouette_exposures, classes, dispersion,
+    cophenetic, silhouette_consensus) of each rank.
 
-    rss to sparseness_exposures are those of the start with the least residual; explained is 1 - rss / sum of squares, null for counts of zero.
+    rss to silhouette_exposures are those of the start with the least residual, by whose largest exposures samples are clustered (and categories by their
+    largest weight), at the distance 1 - correlation; explained is 1 - rss / sum of squares, null for counts of zero. The others tell how the starts agree.
     """
     spark, starts, rows = samples.sparkSession, max(map(len, betas.values()), default=0), []
     for k, (start, value) in best(samples, betas).items():
         beta, n, total = betas[k][start], int(value[0]), value[2]
         explained = float(1 - value[1] / total) if total > 0 else None
-        rows.append((k, starts, start, n, float(value[1]), explained, _sparseness(beta.shape[1], beta.sum(axis=1), (beta**2).sum(axis=1)), _sparseness(n, value[3 : 3 + k], value[3 + k :])))
-    kinds = "k int, starts int, best_start int, n long, rss double, explained double, sparseness_signatures double, sparseness_exposures double"
-    return spark.createDataFrame(rows, kinds).join(agreement(samples, betas), "k", "left")
+
+        def exposures(batch: pd.DataFrame, k: int = k, beta: np.ndarray = beta) -> Iterator[np.ndarray]:
+            for _, _, alpha in _fitted(batch, {k: beta[None]}):
+                yield alpha[0]
+
+        sparse = _sparseness(beta.shape[1], beta.sum(axis=1), (beta**2).sum(axis=1)), _sparseness(n, value[3 : 3 + k], value[3 + k :])
+        rows.append((k, starts, start, n, float(value[1]), explained, *sparse, silhouette_of_rows(beta.T), silhouette_of_samples(samples.select("x"), exposures, k)))
+    kinds = "k int, starts int, best_start int, n long, rss double, explained double, sparseness_signatures double, sparseness_exposures double, silhouette_signatures double, silhouette_exposures double"
+    return spark.createDataFrame(rows, kinds).join(agreement(label_classes(samples, betas)), "k", "left")
 
 
 def held_out(samples: DataFrame, ranks: list[int], categories: int, folds: int = 5, iterations: int = 20, seed: int = 12345) -> DataFrame:
@@ -157,3 +153,95 @@ def held_out(samples: DataFrame, ranks: list[int], categories: int, folds: int =
     for part in parts[1:]:
         every = every.unionByName(part)
     return every.groupBy("k").agg(F.count("*").alias("n"), F.sum("rss").alias("rss"), F.avg("cosine").alias("mean_cosine"))
+
+
+#: Share of the cells above 0 that a repetition hides, refits of the hidden ones, and rounds of each refit.
+HIDDEN, REFITS, ROUNDS = 0.01, 5, 4
+
+
+def hidden_cells(samples: DataFrame, betas: dict[int, np.ndarray], repetitions: int = 1000, share: float = HIDDEN, refits: int = REFITS, rounds: int = ROUNDS, seed: int = 12345) -> DataFrame:
+    """(k, repetitions, mean_error, median_error): how well cells that were hidden are told by factorisations without them.
+
+    Each repetition hides a share of the cells above 0, chosen by a hash of repetition, sample and category; they are first taken for 0, then for what the
+    last fit says of them, and signatures are refitted each time, beginning with those given (one set a rank). Its error is the mean square of what
+    its cells lack at the end; repetitions without a hidden cell have none.
+
+    All repetitions and ranks go through the samples together: a round is one aggregate, as in restarts(), and a sample's row keeps its hidden cells and
+    what is taken for them. samples: sample (a long), x.
+    """
+    ranks = sorted(betas)
+    categories = next(iter(betas.values())).shape[-1] if betas else 0
+    now = {k: np.repeat(betas[k].reshape(1, k, categories), repetitions, axis=0) for k in ranks}
+
+    def hide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cells = []
+            for sample, x in zip(batch["sample"], batch["x"], strict=True):
+                drawn = np.random.default_rng([seed, int(sample) & (2**63 - 1)]).random((repetitions, categories)) < share
+                cells.append(np.flatnonzero(drawn & (np.asarray(x) > 0)).astype(np.int32))
+            yield batch.assign(cells=cells, taken=[np.zeros(len(ranks) * len(c)) for c in cells])
+
+    kinds = "sample long, x array<double>, cells array<int>, taken array<double>"
+    rows = stored(samples.select("sample", "x").mapInPandas(hide, kinds))
+
+    def filled(part: pd.DataFrame, i: int) -> np.ndarray:
+        """repetitions x samples x categories with the hidden cells as they are taken for a rank now."""
+        xs = np.repeat(np.stack(part["x"].to_numpy()).astype(float)[None], repetitions, axis=0)
+        for s, (cells, taken) in enumerate(zip(part["cells"], part["taken"], strict=True)):
+            cells = np.asarray(cells)
+            xs[cells // categories, s, cells % categories] = np.asarray(taken)[i * len(cells) : (i + 1) * len(cells)]
+        return xs
+
+    def pieces(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        step = max(1, TOGETHER * 100 // repetitions)
+        for begin in range(0, len(batch), step):
+            yield batch.iloc[begin : begin + step]
+
+    for _ in range(refits):
+        for _ in range(rounds):
+
+            def sums(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+                total: dict[int, np.ndarray] = {}
+                for batch in batches:
+                    for part in pieces(batch):
+                        for i, k in enumerate(ranks):
+                            xs = filled(part, i)
+                            alpha = fits(now[k] @ now[k].transpose(0, 2, 1), xs @ now[k].transpose(0, 2, 1))
+                            across = alpha.transpose(0, 2, 1)
+                            value = np.concatenate([(across @ alpha).reshape(repetitions, -1), (across @ xs).reshape(repetitions, -1)], axis=1)
+                            total[k] = total.get(k, 0.0) + value
+                for k, value in total.items():
+                    yield pd.DataFrame({"k": k, "i": np.arange(value.size), "value": value.ravel()})
+
+            found = rows.mapInPandas(sums, "k int, i int, value double").groupBy("k", "i").agg(F.sum("value").alias("value")).toPandas()
+            for k, g in found.groupby("k"):
+                v = g.sort_values("i")["value"].to_numpy().reshape(repetitions, -1)
+                now = now | {int(k): fits(v[:, : k * k].reshape(-1, k, k), v[:, k * k :].reshape(-1, k, categories).transpose(0, 2, 1)).transpose(0, 2, 1)}
+
+        def retake(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for part in pieces(batch):
+                    told = []
+                    for i, k in enumerate(ranks):
+                        alpha = fits(now[k] @ now[k].transpose(0, 2, 1), filled(part, i) @ now[k].transpose(0, 2, 1))
+                        told.append(alpha @ now[k])
+                    taken = [np.concatenate([t[np.asarray(c) // categories, s, np.asarray(c) % categories] for t in told]) for s, c in enumerate(part["cells"])]
+                    yield part.assign(taken=taken)
+
+        rows = stored(rows.mapInPandas(retake, kinds))
+
+    def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            square, n = np.zeros((len(ranks), repetitions)), np.zeros(repetitions)
+            for x, cells, taken in zip(batch["x"], batch["cells"], batch["taken"], strict=True):
+                cells = np.asarray(cells, int)
+                off = (np.asarray(taken, float).reshape(len(ranks), -1) - np.asarray(x, float)[cells % categories]) ** 2
+                np.add.at(n, cells // categories, 1)
+                for i in range(len(ranks)):
+                    np.add.at(square[i], cells // categories, off[i])
+            seen = np.flatnonzero(n)
+            for i, k in enumerate(ranks):
+                yield pd.DataFrame({"k": k, "repetition": seen, "square": square[i][seen], "n": n[seen]})
+
+    every = rows.mapInPandas(errors, "k int, repetition int, square double, n double").groupBy("k", "repetition").agg((F.sum("square") / F.sum("n")).alias("error"))
+    return every.groupBy("k").agg(F.count("*").alias("repetitions"), F.avg("error").alias("mean_error"), F.median("error").alias("median_error"))

@@ -12,12 +12,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lacewing.functions.lineage import cut
 from lacewing.operators.stats import benjamini_hochberg
 
 
@@ -99,7 +98,8 @@ def exposures(samples: DataFrame, beta: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(alpha=[nnls(gram, beta @ np.asarray(x, float)) for x in batch["x"]])
+            xs = np.stack(batch["x"].to_numpy()).astype(float) if len(batch) else np.empty((0, beta.shape[1]))
+            yield batch.assign(alpha=list(nnls_rows(gram, xs @ beta.T)))
 
     return samples.select("sample", "x").mapInPandas(run, "sample long, x array<double>, alpha array<double>")
 
@@ -230,12 +230,62 @@ def refitted(samples: DataFrame, tests: DataFrame, beta: np.ndarray, limit: floa
     return samples.select("sample", "x").join(kept, "sample").mapInPandas(run, "sample long, signature int, exposure double, goodness double")
 
 
-def clusters(fitted: DataFrame, k: int = 3, seeds: int = 5) -> DataFrame:
-    """(sample, cluster, label): k-means of exposure shares, the best of several starts; labels SC#1 and on by the centre's main signature, then size."""
+def _near(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centre, squared distance to it) of each point for each set of centres (sets x k x dimensions)."""
+    far = (points**2).sum(axis=1)[None, :, None] - 2 * points @ centres.transpose(0, 2, 1) + (centres**2).sum(axis=2)[:, None, :]
+    own = far.argmin(axis=2)
+    return own, np.maximum(0, np.take_along_axis(far, own[:, :, None], axis=2)[:, :, 0])
+
+
+def centres_of(points: DataFrame, k: int, starts: int = 1000, rounds: int = 100, seed: int = 12345) -> tuple[np.ndarray, float] | None:
+    """(centres, cost) of the best k-means of many random starts over points (features: array<double>); none without points.
+
+    Starts begin with distinct ones of a few thousand points that are chosen by the hash of the features. All of them go through the points together: each
+    round is one aggregate of a sum for every start, centre and dimension, until no start's cost falls. A centre without points stays.
+    """
+    pool = points.select("features").distinct().orderBy(F.xxhash64(F.lit(seed), "features"), "features").limit(3 * starts).collect()
+    if not pool:
+        return None
+    pool = np.array([r.features for r in pool], float)
+    draw = np.random.default_rng(seed)
+    centres = np.stack([pool[draw.permutation(len(pool))[np.arange(k) % len(pool)]] for _ in range(starts)])
+    cost, dims = np.full(starts, np.inf), pool.shape[1]
+    for _ in range(rounds):
+
+        def sums(batches: Iterator[pd.DataFrame], centres: np.ndarray = centres) -> Iterator[pd.DataFrame]:
+            total = np.zeros((starts, k * (dims + 1) + 1))
+            for batch in batches:
+                every = np.stack(batch["features"].to_numpy()).astype(float) if len(batch) else np.empty((0, dims))
+                for begin in range(0, len(every), 500):
+                    some = every[begin : begin + 500]
+                    own, far = _near(some, centres)
+                    one = (own[:, :, None] == np.arange(k)).astype(float).transpose(0, 2, 1)
+                    total += np.concatenate([(one @ some).reshape(starts, -1), one.sum(axis=2), far.sum(axis=1, keepdims=True)], axis=1)
+            yield pd.DataFrame({"i": np.arange(total.size), "value": total.ravel()})
+
+        found = points.select("features").mapInPandas(sums, "i int, value double").groupBy("i").agg(F.sum("value").alias("value")).toPandas()
+        total = found.sort_values("i")["value"].to_numpy().reshape(starts, -1)
+        before, cost = cost, total[:, -1]
+        if (cost >= before - 1e-12 * np.abs(cost)).all():
+            break
+        n = total[:, k * dims : -1][:, :, None]
+        centres = np.where(n > 0, total[:, : k * dims].reshape(starts, k, dims) / np.maximum(n, 1), centres)
+    best = int(np.argmin(cost))
+    return centres[best], float(cost[best])
+
+
+def clusters(fitted: DataFrame, k: int = 3, starts: int = 1000) -> DataFrame:
+    """(sample, cluster, label): k-means of exposure shares, the best of many starts; clusters are numbered, and labelled SC#1 and on, by the centre's main
+    signature, then its share. A sample is in the first of equally near clusters; one without exposures has shares of 0."""
     total = F.aggregate("alpha", F.lit(0.0), lambda s, v: s + v)
-    shares = fitted.select("sample", array_to_vector(F.transform("alpha", lambda v: F.when(total > 0, v / total).otherwise(0.0))).alias("features"))
-    models = [KMeans(k=k, seed=s, maxIter=50).fit(shares) for s in range(seeds)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    order = sorted(range(len(best.clusterCenters())), key=lambda i: (int(np.argmax(best.clusterCenters()[i])), -float(np.max(best.clusterCenters()[i]))))
-    label = F.element_at(F.create_map(*[F.lit(v) for rank, i in enumerate(order) for v in (i, f"SC#{rank + 1}")]), F.col("prediction"))
-    return best.transform(shares).select("sample", F.col("prediction").alias("cluster"), label.alias("label"))
+    shares = cut(fitted.select("sample", F.transform("alpha", lambda v: F.when(total > 0, v / total).otherwise(0.0)).alias("features")))
+    found = centres_of(shares, k, starts)
+    if found is None:
+        return shares.select("sample", F.lit(0).alias("cluster"), F.lit("").alias("label")).limit(0)
+    centres = np.array(sorted(found[0].tolist(), key=lambda c: (int(np.argmax(c)), -max(c))))
+
+    @F.pandas_udf("int")
+    def nearest(rows: pd.Series) -> pd.Series:
+        return pd.Series(_near(np.stack(rows.to_numpy()).astype(float), centres[None])[0][0])
+
+    return shares.select("sample", nearest("features").alias("cluster")).withColumn("label", F.concat(F.lit("SC#"), (F.col("cluster") + 1).cast("string")))

@@ -139,7 +139,7 @@ def distance_tail(d: float, n: int, m: int) -> float:
 
 
 def spearman_p(correlations: DataFrame) -> DataFrame:
-    """Add p to (.., n, rho, squares), in place of squares: two-sided; exact up to EXACT_PAIRS pairs without ties, else by t = rho sqrt((n - 2) / (1 - rho^2)) with
+    """Add p to (.., n, rho, squares), in place of squares (where there are any): two-sided; exact up to EXACT_PAIRS pairs without ties, else by t = rho sqrt((n - 2) / (1 - rho^2)) with
     n - 2 degrees of freedom; 0 for a rho of 1 or -1 then; null where there is no rho or n < 3."""
 
     @F.pandas_udf("double")
@@ -153,7 +153,8 @@ def spearman_p(correlations: DataFrame) -> DataFrame:
 
         return pd.Series([one(*x) for x in zip(rho, n, squares, strict=True)], dtype=object)
 
-    return correlations.withColumn("p", tails("rho", "n", "squares")).drop("squares")
+    squares = F.col("squares") if "squares" in correlations.columns else F.lit(None).cast("long")
+    return correlations.withColumn("p", tails("rho", "n", squares)).drop("squares")
 
 
 def kolmogorov_p(distances: DataFrame, sizes: DataFrame, group: str) -> DataFrame:

@@ -426,6 +426,19 @@ def nmf_cross_validation(spark, d):
     return N.held_out(_vectors(spark, d), RANKS_TRIED, CATEGORIES)
 
 
+#: Repetitions of the cross validation by hidden cells.
+REPETITIONS = 1000
+
+
+@query()
+def nmf_hidden_cells(spark, d):
+    """Errors at cells that were hidden, by rank."""
+    vectors = _vectors(spark, d)
+    betas = N.restarts(vectors, RANKS_TRIED, STARTS, CATEGORIES)
+    chosen = {k: betas[k][start] for k, (start, _) in N.best(vectors, betas).items()}
+    return N.hidden_cells(vectors, chosen, REPETITIONS)
+
+
 @query()
 def bootstrap_significance(spark, d):
     return _tests(spark, d)[2]

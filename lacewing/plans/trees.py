@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from lacewing.functions.lineage import cut
+from lacewing.functions.lineage import cut, ensure_checkpoint_dir
+from lacewing.operators import calls as C
 from lacewing.operators import contexts as X
 from lacewing.operators import landscape as L
 from lacewing.operators import phylogeny as P
@@ -14,6 +17,7 @@ from lacewing.plans import catalogue as Q
 from lacewing.plans import reports as B
 from lacewing.plans.catalogue import query
 from lacewing.sources import tables as T
+from lacewing.sources import text as texts
 
 #: A variant hangs under another one if its samples are so many times those that chance gives (as a logarithm); else it is a root.
 ASSOCIATED = 0.15
@@ -132,3 +136,23 @@ def node_labels(spark, d):
     _, top, tree, genotypes, attached, _ = B._tree(spark, d)
     tips = T.samples(spark, d).select(F.col("sample").cast("string").alias("tip"), F.col("clade").cast("string").alias("label"))
     return R.labelled_nodes(cut(R.tree_edges(tree, top, genotypes, attached)), tips, F.lit("G0"))
+
+
+@query("select sample, pos, variant, vf, alt_count, pvalue, coverage from calls join variants using (pos)", T.CALLS, T.VARIANTS)
+def calls_of_files(spark, d):
+    """The calls view, written as call and depth files of each sample and read back from them."""
+    return _from_files(spark, d).select("sample", "pos", "variant", "vf", "alt_count", "pvalue", "coverage")
+
+
+def _from_files(spark, d):
+    folder = f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4()}"
+    texts.write_call_files(T.calls(spark, d).join(T.variants(spark, d), "pos"), folder)
+    sample = r"/sample=([^/]+)/[^/]*$"
+    (calls, _), (depths, _) = texts.read_call_files(spark, f"{folder}/calls", sample), texts.read_depth_files(spark, f"{folder}/depth", sample)
+    return texts.bridged(calls, depths).withColumn("sample", F.col("sample").cast("long"))
+
+
+@query("select * from filtered", T.CALLS, Q.MASKED, Q.FILTERED)
+def filter_calls_of_files(spark, d):
+    """Call filtering over the files."""
+    return C.filter_calls(cut(_from_files(spark, d).select("sample", "pos", "vf", "alt_count", "pvalue", "coverage")), T.n_samples(spark, d), Q.GIVEN)

@@ -15,6 +15,7 @@ from lacewing.operators import landscape as L
 from lacewing.operators import phylogeny as P
 from lacewing.operators import reports as R
 from lacewing.operators import stats as S
+from lacewing.sources import text as X
 
 FRAMES = "orf int, first int, last int, region string, name string"
 
@@ -182,3 +183,21 @@ def test_product_and_renaming(spark):
     assert {(r.i, r.j): r.ab for r in R.product(a, b, "k", "a", "b", "ab").collect()} == {(1, "u"): 31.0, (1, "v"): 3.0, (2, "u"): 7.0, (2, "v"): 1.0}
     names = spark.createDataFrame([("y", "S#1", 1)], "old string, name string, place int")
     assert [(r.i, r.k, r.place) for r in R.renamed(a, "k", names).orderBy("i").collect()] == [(1, "S#1", 1), (2, "S#1", 1)]
+
+
+def test_call_and_depth_files(spark, tmp_path):
+    header = "\t".join(("Chrom", "Position", "Ref", "Cons", "Reads1", "Reads2", "VarFreq", "Strands1", "Strands2", "Qual1", "Qual2", "Pvalue", "MapQual1", "MapQual2", "Reads1Plus", "Reads1Minus", "Reads2Plus", "Reads2Minus", "VarAllele"))
+    line = lambda pos, ref, alt, n, vf, p: "\t".join(["NC", str(pos), ref, "N", "5", str(n), vf, "1", "1", "30", "30", str(p), "1", "1", "2", "3", "4", "5", alt])
+    (tmp_path / "calls").mkdir()
+    (tmp_path / "depth").mkdir()
+    (tmp_path / "calls" / "SRR1_aln.sorted.vcf").write_text("\n".join([header, line(7, "A", "g", 12, "12.5%", "1E-3"), line(7, "A", "G", 10, "13%", 0.5), line(9, "C", "T", 4, "0.25", 0.01), "broken\tline", line("x", "A", "C", 1, "1%", 0), line(3, "N", "C", 1, "1%", 0), line(4, "A", "C", 1, "140%", 0), ""]))
+    (tmp_path / "calls" / "SRR2.vcf").write_text(header + "\n" + line(7, "A", "T", 3, "100%", 0.0) + "\n")
+    (tmp_path / "depth" / "SRR1_aln.sorted.txt").write_text("NC\t7\t100\nNC\t8\t5\nNC\tseven\t3\nNC\t9\n")
+    (tmp_path / "depth" / "SRR2.txt").write_text("NC\t7\t20\nNC\t7\t21\n")
+    (calls, bad), (depths, bad_depths) = X.read_call_files(spark, str(tmp_path / "calls")), X.read_depth_files(spark, str(tmp_path / "depth"))
+    got = {(r.sample, r.variant): (r.vf, r.alt_count, r.pvalue, r.coverage) for r in X.bridged(calls, depths).collect()}
+    assert got == {("SRR1", "7_A_G"): (0.13, 12.0, 0.001, 100.0), ("SRR1", "9_C_T"): (0.25, 4.0, 0.01, None), ("SRR2", "7_A_T"): (1.0, 3.0, 0.0, 21.0)}
+    assert bad.count() == 4 and {r.file.rsplit("/", 1)[1] for r in bad.collect()} == {"SRR1_aln.sorted.vcf"} and sorted(r.line for r in bad_depths.collect()) == ["NC\t9", "NC\tseven\t3"]
+    X.write_call_files(X.bridged(calls, depths), str(tmp_path / "again"))
+    (calls, bad), (depths, _) = (read(spark, str(tmp_path / "again" / what), r"/sample=([^/]+)/[^/]*$") for read, what in ((X.read_call_files, "calls"), (X.read_depth_files, "depth")))
+    assert {(r.sample, r.variant): (r.vf, r.alt_count, r.pvalue, r.coverage) for r in X.bridged(calls, depths).collect()} == got and bad.count() == 0

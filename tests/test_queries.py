@@ -28,9 +28,9 @@ def rows_of(columns, rows):
 
 
 #: Queries of kernels, which SQL can't express; tests/test_signatures.py holds the kernels by their invariants.
-KERNELS = {"nmf_decomposition", "nmf_quality", "nmf_rank_scan", "nmf_cross_validation", "bootstrap_significance", "significant_exposures", "signature_shares", "fitted_to_signatures", "kmeans_clusters"}
+KERNELS = {"nmf_decomposition", "nmf_quality", "nmf_rank_scan", "nmf_cross_validation", "bootstrap_significance", "significant_exposures", "signature_shares", "fitted_to_signatures", "kmeans_clusters", "nmf_hidden_cells"}
 #: Queries that are compared here; the others are compared on larger tables.
-COMPARED = ["filter_calls", "context_6", "sample_statistics", "codon_effect", "box_stats", "ks_pairs", "benjamini_hochberg", "memo_sort", "attachment_fixed_tree", "dnds_overall", "coding_positions", "frameshift_offsets", "confusion_counts", "tree_edges", "rerooted_tree", "nearest_clonal", "represented_variants", "cumulative_frequencies", "clonal_and_minor", "variant_labels", "spearman_significance", "ks_significance", "harmonic_p_adjusted", "spearman_week", "orf_annotation", "mutation_effects", "memo_order", "violin_densities", "genotype_phylogeny", "adjacency_of_genotypes", "attachment_corrected", "node_labels", "outgroup_tree", "columns_by_cluster"]
+COMPARED = ["filter_calls", "context_6", "sample_statistics", "codon_effect", "box_stats", "ks_pairs", "benjamini_hochberg", "memo_sort", "attachment_fixed_tree", "dnds_overall", "coding_positions", "frameshift_offsets", "confusion_counts", "tree_edges", "rerooted_tree", "nearest_clonal", "represented_variants", "cumulative_frequencies", "clonal_and_minor", "variant_labels", "spearman_significance", "ks_significance", "harmonic_p_adjusted", "spearman_week", "orf_annotation", "mutation_effects", "memo_order", "violin_densities", "genotype_phylogeny", "adjacency_of_genotypes", "attachment_corrected", "node_labels", "outgroup_tree", "columns_by_cluster", "calls_of_files"]
 
 
 @pytest.mark.parametrize("name", COMPARED)

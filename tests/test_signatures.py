@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lacewing.operators import consensus as C
 from lacewing.operators import scan as N
 from lacewing.operators import signatures as G
 from lacewing.operators import stats as S
@@ -111,3 +112,85 @@ def test_tails_of_the_limit_laws(spark):
     assert all(a > b for a, b in zip(values, values[1:], strict=False)) and S._landau_tail(1.35578) == pytest.approx(0.5, abs=1e-4)
     rows = spark.createDataFrame([(4, 1.0), (3, None), (2, 0.5), (6, -0.5)], "n long, rho double")
     assert [r.p for r in S.spearman_p(rows).collect()] == [0, None, None, pytest.approx(0.312500, abs=1e-6)]
+
+
+def silhouettes_of_all_pairs(distance, cluster):
+    out = []
+    for i, c in enumerate(cluster):
+        mean = {g: np.mean([distance[i, j] for j in range(len(cluster)) if j != i and cluster[j] == g] or [np.nan]) for g in set(cluster)}
+        a, b = mean[c], min((v for g, v in mean.items() if g != c), default=np.nan)
+        out.append(0.0 if np.isnan(a) or max(a, b) <= 0 else (b - a) / max(a, b))
+    return np.mean(out)
+
+
+def average_linkage_of_samples(distance):
+    """Cophenetic distances, one sample a leaf, by the definition: means over all pairs of two clusters."""
+    groups, joined = [[i] for i in range(len(distance))], np.zeros(distance.shape)
+    while len(groups) > 1:
+        pairs = [(distance[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j]
+        height, i, j = min(pairs)
+        joined[np.ix_(groups[i], groups[j])] = joined[np.ix_(groups[j], groups[i])] = height
+        groups[i] += groups.pop(j)
+    return joined
+
+
+def test_consensus_measures_equal_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    shared = rng.integers(0, 3, size=997)  # many starts, as equal distances may be joined in any order
+    labels = np.stack([np.where(rng.random(997) < i / 13, rng.integers(0, 3, size=997), shared) for i in range(12)]).astype(np.uint8)
+    sizes = np.array([1, 2, 3, 1, 1, 4, 1, 2, 1, 1, 1, 2])
+    rows = spark.createDataFrame([(3, bytearray(x.tobytes()), int(n)) for x, n in zip(labels, sizes, strict=True)], "k int, labels binary, n long")
+    got = C.agreement(rows).first()
+    every = np.repeat(labels, sizes, axis=0)
+    distance = 1 - C.shares_together(every)
+    upper = np.triu_indices(len(every), 1)
+    joined = average_linkage_of_samples(distance)
+    assert got.classes == 12 and got.dispersion == pytest.approx((4 * (0.5 - distance) ** 2).mean())
+    assert got.cophenetic == pytest.approx(np.corrcoef(distance[upper], joined[upper])[0, 1])
+    _, cluster = C.average_linkage(1 - C.shares_together(labels), sizes, 3)
+    assert len(set(cluster)) == 3 and got.silhouette_consensus == pytest.approx(silhouettes_of_all_pairs(distance, np.repeat(cluster, sizes).tolist()))
+    same = C.agreement(spark.createDataFrame([(1, bytearray(3), 9)], "k int, labels binary, n long")).first()
+    assert (same.classes, same.dispersion, same.cophenetic, same.silhouette_consensus) == (1, 1.0, 1.0, None)
+    many = spark.range(C.MOST_CLASSES + 1).selectExpr("2 as k", "cast(cast(id as string) as binary) as labels", "1L as n")
+    assert tuple(C.agreement(many).first()) == (2, C.MOST_CLASSES + 1, None, None, None)
+
+
+def test_silhouettes_by_sums_equal_all_pairs(spark):
+    alpha = np.random.default_rng(7).gamma(0.5, 3, size=(50, 3))
+    units = C.directions(alpha)
+    distance = 1 - units @ units.T
+    np.fill_diagonal(distance, 0)
+    expected = silhouettes_of_all_pairs(distance, alpha.argmax(axis=1).tolist())
+    assert C.silhouette_of_rows(alpha) == pytest.approx(expected)
+    samples = spark.createDataFrame([([float(v) for v in x],) for x in alpha], "x array<double>").repartition(3)
+    assert C.silhouette_of_samples(samples, lambda batch: iter([np.stack(batch["x"].to_numpy())]), 3) == pytest.approx(expected)
+    assert C.silhouette_of_rows(np.ones((4, 1))) is None
+
+
+def test_hidden_cells_tell_the_planted_rank(spark):
+    rng = np.random.default_rng(9)
+    planted = G.normalised(np.array([[9, 1, 0, 0, 0, 0.0], [0, 0, 8, 2, 0, 0]]))
+    rows = [(i, [float(v) for v in np.round(alpha @ planted + rng.gamma(1, 0.3, size=6), 3)]) for i, alpha in enumerate(rng.gamma(1.0, 20, size=(60, 2)))]
+    samples = spark.createDataFrame(rows, "sample long, x array<double>").repartition(3)
+    betas = {k: b[0] for k, b in N.restarts(samples, [1, 2, 4], 1, 6, iterations=15).items()}
+    got = {r.k: r for r in N.hidden_cells(samples, betas, repetitions=60, share=0.02).collect()}
+    assert sorted(got) == [1, 2, 4] and len({r.repetitions for r in got.values()}) == 1 and got[1].repetitions > 50
+    assert got[2].median_error < got[1].median_error and got[2].median_error < got[4].median_error
+    assert N.hidden_cells(samples.limit(0), betas, repetitions=5).count() == 0
+
+
+def test_kmeans_costs_no_more_than_the_best_of_five(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(11)
+    points = np.concatenate([rng.normal(c, 0.1, size=(40, 3)) for c in ((0, 0, 1), (0, 1, 0), (1, 0, 0))])
+    frame = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(points)], "sample long, features array<double>").repartition(3)
+    vectors = frame.select(array_to_vector("features").alias("features"))
+    least = min(KMeans(k=3, seed=s).fit(vectors).summary.trainingCost for s in range(5))
+    centres, cost = G.centres_of(frame, 3, 100)
+    assert cost <= least + 1e-6 and sorted(np.round(centres).tolist()) == [[0, 0, 1], [0, 1, 0], [1, 0, 0]]
+    got = G.clusters(frame.select("sample", F.transform("features", lambda v: F.greatest(v, F.lit(0.0))).alias("alpha")), 3, 50).collect()
+    assert [{r.label for r in got if r.sample // 40 == g} for g in range(3)] == [{"SC#3"}, {"SC#2"}, {"SC#1"}]
+    assert G.centres_of(frame.limit(0), 3, 5) is None
+    assert len(G.centres_of(frame.limit(1), 3, 5)[0]) == 3
