@@ -17,15 +17,20 @@ HEX = r"[0-9a-f]{32,}"
 ASSIGN_LEAST = 8
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Tokens that the models judge: runs of at least LEAST of these characters.
+#: Tokens that the models judge: runs of at least LONG of these characters, or of at least LEAST with a digit among them.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-LEAST = 20
-CANDIDATE = f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+LEAST, LONG = 12, 20
+CANDIDATE = f"(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{{LEAST},}}|[A-Za-z0-9+/_=-]{{{LONG},}}"
+#: Lengths from which a limit of its own is fitted; share of held-out ordinary tokens that may lie above it, and of random ones that must, for tokens of
+#: that length to be judged; held-out tokens of either kind that a fit needs, and the limit of LONG tokens without one.
+LENGTHS, FALSE, RECALL, ENOUGH, RATIO = (12, 16, 20, 32), 0.001, 0.9, 30, 0.25
+#: Words of a training document that make one longer ordinary identifier.
+JOINED = 4
 #: Ordinary identifiers of the training sample: words of letters, perhaps joined by _ or -.
 ORDINARY = r"\b[A-Za-z][a-z]{5,}(?:[_-][a-z]+)*\b"
-#: Documents at most, in expectation, from which each of the two models is trained; log-likelihood ratio per transition from which
-#: a token counts as random; weight of a character's own frequency against its transitions, and of even chances within that.
-SAMPLE_DOCS, RATIO, BACKOFF, EVEN = 2000, 0.25, 5.0, 0.05
+#: Documents at most, in expectation, from which each of the two models is trained; weight of a character's own frequency against its transitions, and of even
+#: chances within that; one token of so many is held out for the limits.
+SAMPLE_DOCS, BACKOFF, EVEN, HELD = 2000, 5.0, 0.05, 4
 
 _SPAN = "array<struct<at:int,kind:int,end:int,token:string>>"
 
@@ -105,18 +110,57 @@ def labelled(docs: DataFrame, scanned: DataFrame, id_col: str, text_col: str, sa
     draw = lambda n: F.pmod(F.xxhash64(F.lit("secrets"), id_col), F.lit(1 << 30)) < int(min(1.0, sample_docs / max(n, 1)) * (1 << 30))
     hits = scanned.where(F.size("base") > 0)
     random = hits.where(draw(hits.count())).select(F.explode("base").alias("x")).select(F.col("x.token").alias("token"), F.lit(True).alias("random"))
-    words = docs.where(draw(docs.count())).select(F.explode(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(ORDINARY), F.lit(0))).alias("token"))
-    return random.unionByName(words.select("token", F.lit(False).alias("random")))
+    words = docs.where(draw(docs.count())).select(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(ORDINARY), F.lit(0)).alias("w"))
+    joined = F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / JOINED).cast("int")), lambda i: F.array_join(F.slice("w", i * JOINED + 1, JOINED), "_"))
+    tokens = words.select(F.explode(F.concat("w", joined)).alias("token")).where("token <> ''")
+    return random.unionByName(tokens.select("token", F.lit(False).alias("random")))
 
 
-def find(scanned: DataFrame, ratios: list[float], least: float = RATIO) -> DataFrame:
+def held_out(token: Column) -> Column:
+    """Whether a labelled token is kept from training."""
+    return F.pmod(F.xxhash64(F.lit("held"), token), F.lit(HELD)) == 0
+
+
+def limits(samples: DataFrame, ratios: list[float]) -> list[dict]:
+    """By length: the ratio from which a token of at least that length counts as random (None: such tokens aren't judged), and what it does to held-out samples
+    (token, random), cut to that length: n_random, n_ordinary, recall and false, the share of ordinary ones above it.
+
+    The limit leaves FALSE of the ordinary ones above it. Lengths at which it finds less than RECALL of the random ones aren't judged; with fewer than
+    ENOUGH samples of either kind only tokens of LONG characters are, by the limit of the length before, or else RATIO.
+    """
+    cuts = samples.select("random", "token", F.explode(F.array(*map(F.lit, LENGTHS))).alias("length")).where(F.length("token") >= F.col("length"))
+    rows = cut(cuts.select("random", "length", ratio(F.substr("token", F.lit(1), F.col("length")), ratios).alias("r")))
+    ordinary, random = F.when(~F.col("random"), F.col("r")), F.when(F.col("random"), F.col("r"))
+    found = rows.groupBy("length").agg(F.count(random).alias("n_random"), F.count(ordinary).alias("n_ordinary"), F.percentile_approx(ordinary, 1 - FALSE, 100_000).alias("limit"))
+    judged = rows.join(F.broadcast(found), "length").groupBy("length", "n_random", "n_ordinary", "limit")  # a row a length
+    above = lambda x: F.avg((x > F.col("limit")).cast("double"))
+    by_length = {r["length"]: r.asDict() for r in judged.agg(above(random).alias("recall"), above(ordinary).alias("false")).collect()}
+    out = []
+    for length in LENGTHS:
+        r = by_length.get(length, {"length": length, "n_random": 0, "n_ordinary": 0, "limit": None, "recall": None, "false": None})
+        if min(r["n_random"], r["n_ordinary"]) < ENOUGH:
+            r["limit"] = None if length < LONG else out[-1]["limit"] if out and out[-1]["limit"] is not None else RATIO
+        elif r["recall"] < RECALL:
+            r["limit"] = None
+        out.append(r)
+    return out
+
+
+def find(scanned: DataFrame, ratios: list[float], fitted: list[dict]) -> DataFrame:
     """Replace the columns of scan() by spans: array of (at, kind, end, token) by start, then kind as in KINDS.
 
-    Offsets are code points, ends exclusive. A candidate is added as kind markov when its ratio is at least `least` and it overlaps no
-    span of a fixed form. Repeated rows get equal spans.
+    Offsets are code points, ends exclusive. A candidate is added as kind markov when its ratio is above the limit of its length (see limits) and it overlaps
+    no span of a fixed form. Repeated rows get equal spans.
     """
     base = F.col("base")
-    added = F.filter("candidates", lambda c: (ratio(c["token"], ratios) >= least) & ~F.exists(base, lambda b: (b["at"] < c["end"]) & (c["at"] < b["end"])))
+
+    def random(token: Column) -> Column:
+        limit = F.lit(None).cast("double")
+        for r in fitted:  # by rising length
+            limit = F.when(F.length(token) >= r["length"], F.lit(r["limit"]).cast("double")).otherwise(limit)
+        return F.coalesce(ratio(token, ratios) > limit, F.lit(False))
+
+    added = F.filter("candidates", lambda c: random(c["token"]) & ~F.exists(base, lambda b: (b["at"] < c["end"]) & (c["at"] < b["end"])))
     return replace_columns(scanned, "spans").withColumn("spans", F.array_sort(F.concat(base, added))).drop("base", "candidates")
 
 
@@ -134,6 +178,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = docs.select(F.col(id_col), F.col(text_col))
     scanned = cut(scan(docs, text_col).drop(text_col))
-    return find(scanned, train(labelled(docs, scanned, id_col, text_col)))
+    samples = cut(labelled(docs, scanned, id_col, text_col))
+    ratios = train(samples.where(~held_out(F.col("token"))))
+    return find(scanned, ratios, limits(samples.where(held_out(F.col("token"))), ratios))
 
 
