@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacewing.llm.common import PRE, cut, ensure_checkpoint_dir
+from lacewing.llm.common import BROADCAST_ROWS, PRE, cut, ensure_checkpoint_dir, likely
 
 #: Bytes of an archive that one task scans, and that are read from it at a time; bytes of a candidate that must decode to a record's header.
 SPLIT, READ, PROBE = 32 << 20, 1 << 20, 4096
@@ -214,13 +214,19 @@ def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     """Rows for write_warc(): of records with equal payloads of at least LEAST_REVISIT bytes, that with the largest id is the response.
 
     Null html counts as empty; null ids are smaller than any; rows that share the largest id are all responses; a null url gives no target.
-    Digests are reduced to those of several rows before payloads are joined with them.
+    Digests are reduced to those of several rows; payloads are shuffled only to be joined with very many of these, and then only those that may be shared.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("n"), F.col(url_col).alias("uri"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "length": F.octet_length("payload").cast("long")})
     shared = rows.where(f"length >= {LEAST_REVISIT}").groupBy("digest").agg(F.max("n").alias("top"), F.count("*").alias("m")).where("m > 1 and top is not null")
-    rows = rows.join(cut(shared.select("digest", "top")), "digest", "left")
+    shared = cut(shared.select("digest", "top"))
+    if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(shared), "digest", "left")
+    else:  # payloads of digests that surely aren't shared stay where they are
+        marked = rows.withColumn(PRE + "again", likely(shared, "digest"))
+        alone = marked.where(f"not {PRE}again").withColumn("top", F.lit(None).cast(shared.schema["top"].dataType))
+        rows = marked.where(PRE + "again").join(shared, "digest", "left").unionByName(alone).drop(PRE + "again")
     again = F.col("top").isNotNull() & ~F.col("n").eqNullSafe(F.col("top"))
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))
     return rows.select(
