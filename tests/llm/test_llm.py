@@ -606,6 +606,10 @@ def test_members_of_a_bucket_are_linked_whatever_texts_say(monkeypatch):
         rows = np.flatnonzero(np.isin(bucket, list(again)))
         left = [(rows[i], rows[j]) for x, y, _ in lines.across(bucket[rows], length[rows], signs[rows], first[rows]) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
         assert sorted(left) == [(i, j) for i, j in near if bucket[i] in again and first[i] != first[j]]
+        some = list(lines.across(bucket[rows], length[rows], signs[rows], first[rows], 2))
+        few = {(int(rows[i]), int(rows[j])) for x, y, _ in some for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+        more_buckets = {int(bucket[rows][x]) for _, _, others in some for x in others.tolist()}
+        assert few <= set(left) and {p for p in left if bucket[p[0]] not in more_buckets} <= few
         assert (roots(alike & (set(got) | set(left))) == roots(alike)).all()
 
 
