@@ -24,12 +24,14 @@ EMPTY = frozenset("area base br col embed hr img input link meta param source tr
 #: Elements that hold what is beside the text; a header counts unless it is an article's.
 BESIDE = frozenset("nav aside footer form header dialog menu".split())
 WITHIN = frozenset(("article", "main"))
-#: Words in an element's class, id or role that tell what is beside the text; the weak ones don't count beside a word of WITHIN_WORDS.
+#: Words in an element's class, id, role or label that tell what is beside the text; the weak ones don't count beside a word of WITHIN_WORDS.
 BESIDE_WORDS = frozenset(
     "ad ads advert advertisement advertising adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert comment comments commentlist disqus reply replies respond sidebar side rail "
     "menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended recommendations footer contentinfo complementary masthead topbar copyright legal disclaimer newsletter subscribe "
     "subscription signup login popup modal overlay widget pagination pager toolbar search form hidden".split()
 )
+#: Beginnings of such words.
+BESIDE_STEMS = ("ads", "advert", "sponsor", "promo", "cookie", "comment", "sidebar", "navbar", "footer", "newsletter", "breadcrumb", "related", "recommend", "social", "sharing", "popup")
 WEAK_WORDS = frozenset("header tags meta foot top bottom".split())
 WITHIN_WORDS = frozenset("article post entry content story main body text".split())
 #: Phrases of notices.
@@ -57,9 +59,9 @@ def _hint(tag: str) -> int:
     if re.search(r"\s(?:hidden|aria-hidden\s*=\s*[\"']?true)\b", tag) or re.search(r"display\s*:\s*none", tag):
         return -1
     for name, value in _ATTRIBUTE.findall(tag):
-        if name.lower() in ("class", "id", "role"):
+        if name.lower() in ("class", "id", "role", "aria-label"):
             words |= {w.lower() for w in _WORD.findall(value)}
-    if words & BESIDE_WORDS:
+    if words & BESIDE_WORDS or any(w.startswith(BESIDE_STEMS) for w in words):
         return -1
     if words & WITHIN_WORDS:
         return 1

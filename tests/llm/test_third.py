@@ -159,6 +159,8 @@ PAGES = [
     ("<body><article><p>First part of the text is here.</p><div class='advertisement'>Buy now and save very much</div><p>Second part, a < b.</p><section id='comments'><article><p>Great article, I read it twice and learned much.</p></article></section></article><aside><p>A box at the side with quite some words in it.</p></aside><form action=x><p>Your name please</p><input></form>", "First part of the text is here. Second part, a < b."),
     ("<script>if (a < b) document.write('<p>no</p>')</script><!-- <p>none</p> --><main><p>Kept &lt;p&gt; as text.</p><noscript><p>off</p></noscript></main><nav>off</nav>", "Kept <p> as text."),
     ("<article><p>Not closed<p>nor this<article", "Not closed nor this"),
+    ("<div id=page><header class='site-header'><h1 class='site-title'><a href=/>My Blog</a></h1><p>Just another page of words</p></header><div class='site-content'><main id=main><article class='post hentry'><header class='entry-header'><h1 class='entry-title'>On tea</h1></header><div class='entry-content'><p>Tea is made from leaves, as everybody knows well.</p><div class='adsbygoogle'>Cheap cups here</div><p>Drink it hot.</p></div><footer class='entry-footer'>Filed under: drinks</footer></article><div id='comments' class='comments-area'><ol class='comment-list'><li><p>I prefer coffee to tea, and so do all the people that I know.</p></li></ol></div></main></div><aside class='widget-area'><section class='widget'><h2>Recent</h2><ul><li><a href=x>On milk and honey</a></li></ul></section></aside></div>", "On tea Tea is made from leaves, as everybody knows well. Drink it hot."),
+    ("<section aria-label='Cookie settings'><p>We set small files on your machine, please say if you agree to that.</p></section><div><h1>Rivers</h1><p>The river runs from the hills to the sea and takes its time for it.</p><p>It is long.</p><table><tr><td>Length</td><td>900 km</td></tr></table><p>In winter it freezes over, and in spring the ice goes out with much noise.</p></div><div>© 2021 River people</div>", "Rivers The river runs from the hills to the sea and takes its time for it. It is long. Length 900 km In winter it freezes over, and in spring the ice goes out with much noise."),
     (None, ""), ("", ""), ("<nav><a href=x>only</a></nav>", ""),
 ]
 
