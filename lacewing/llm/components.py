@@ -42,3 +42,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if sign == before:
             break
     return now.selectExpr("hi as node", "lo as root").unionByName(now.selectExpr("lo as node", "lo as root").distinct())
+
+
+def joined(roots: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root) as of components() when edges (a, b) are added to those that gave roots: only the roots that they link are gone through again."""
+    own = lambda c, to: edges_now.join(roots.withColumnRenamed("node", c).withColumnRenamed("root", to), c, "left").withColumn(to, F.coalesce(to, c))
+    edges_now = edges.select(a, b)
+    edges_now = own(a, "_ra")
+    edges_now = own(b, "_rb")
+    apart = cut(edges_now.where("_ra <> _rb").select("_ra", "_rb").distinct())
+    merged = cut(components(apart, "_ra", "_rb").selectExpr("node as root", "root as _top"))
+    moved = roots.join(merged, "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
+    return cut(moved.unionByName(merged.selectExpr("root as node", "_top as root").join(roots, "node", "left_anti")))

@@ -666,3 +666,15 @@ def test_very_many_shared_digests_are_joined_apart(spark, monkeypatch):
     once = sorted(map(tuple, warc.revisits(pages).collect()))
     monkeypatch.setattr(warc, "BROADCAST_ROWS", 5)
     assert sorted(map(tuple, warc.revisits(pages).collect())) == once and sum(r[1] == "revisit" for r in once) == 60
+
+
+def test_components_grow_with_further_edges(spark):
+    rnd = random.Random(40)
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(40)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    roots = components.components(frame(edges[:20]), "a", "b")
+    for more in (edges[20:35], edges[35:], edges[:2]):
+        roots = components.joined(roots, frame(more), "a", "b")
+    whole = lambda df: sorted((r.node, r.root) for r in df.collect())
+    assert whole(roots) == whole(components.components(frame(edges), "a", "b"))
+    assert components.joined(roots.limit(0), frame([]), "a", "b").count() == 0
