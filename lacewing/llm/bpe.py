@@ -36,7 +36,7 @@ LAST = 1 << 40
 #: Tokens below a node up to which paths are reduced; marks in the place of the token before.
 FEW, ANY, NEVER = 1, -2, -3
 #: Texts are taken together up to this many characters.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 #: Slots of the moves' hash table, for each move that may be kept, at least; multiplier of its hash.
 _ROOM, _MIX = 2, np.uint64(0x9E3779B97F4A7C15)
 
