@@ -381,6 +381,19 @@ def test_media_frames(spark):
     assert media.read_gif(media.store_gif(media.payloads(docs(spark, ["a"]).limit(0)))).count() == 0
 
 
+def test_payloads_are_encoded_once(spark):
+    """Files are both read back and handed on; null and broken ones keep their rows."""
+    stored = media.store_gif(media.payloads(docs(spark, ["a", "b"])))
+    out = media.read_gif(stored)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("encode(") == 1
+    files = spark.createDataFrame([(0, None), (1, b"no"), (2, bytes(stored.first().media)), (3, media.gif_of(bytes(range(192)) * 300))], "i int, media binary")
+    for r in media.read_gif(files).collect():
+        want = media.decode_gif(None if r.media is None else bytes(r.media))
+        got = r.gif.asDict(recursive=True)
+        assert got["frames"] == (None if want["frames"] is None else [dict(zip(("delay", "left", "top", "width", "height", "histogram"), f, strict=True)) for f in want["frames"]])
+        assert all(got[c] == want[c] for c in ("width", "height", "n_frames", "samples", "error"))
+
+
 def test_broken_gifs_give_an_error():
     good = media.gif_of(bytes(range(192)) * 2)
     at = good.index(b"\x08", 13 + 768 + 8 + 10 - 1)
