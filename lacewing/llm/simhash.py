@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -33,11 +33,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     joined, k = b" ".join(found), min(shingle, len(found))
     ends = list(accumulate([len(w) + 1 for w in found]))
     starts = [0, *ends]
-    n, ones, digest = len(found) - k + 1, np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, n, _STEP):
-        upto = min(at + _STEP, n)
-        hashes = np.array([digest(joined[s : e - 1], SEED) for s, e in zip(starts[at:upto], ends[at + k - 1 : upto + k - 1], strict=True)], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    n, digest = len(found) - k + 1, xxhash.xxh64_intdigest
+    spans = ((starts[at : at + _STEP], ends[at + k - 1 : min(at + _STEP, n) + k - 1]) for at in range(0, n, _STEP))
+    return majority(np.array([digest(joined[s : e - 1], SEED) for s, e in zip(begins, stops)], "<u8") for begins, stops in spans)
+
+
+def majority(lots: Iterable[np.ndarray]) -> int:
+    """The SimHash of 64-bit hashes, which come in lots, as a signed number: bit i is 1 if it is set in over half of them."""
+    n, ones = 0, np.zeros(BITS, np.int64)
+    for hashes in lots:
+        n += len(hashes)
+        ones += np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
