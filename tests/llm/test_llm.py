@@ -648,6 +648,29 @@ def test_sketches_bound_the_difference():
         assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
+def test_line_sketches_bound_the_edits():
+    rnd = random.Random(21)
+    texts, pairs = [], []
+    for _ in range(60):
+        a = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randrange(40, 300))]
+        b = list(a)
+        for _ in range(rnd.randrange(1, 40)):
+            at = rnd.randrange(len(b))
+            rnd.choice([lambda: b.pop(at), lambda: b.insert(at, "new"), lambda: b.__setitem__(at, "other")])()
+        texts += [" ".join(a), " ".join(b)]
+        pairs.append((a, b))
+    found = lines.sketches(lines.cut_lines(texts), np.arange(len(texts)))
+    bits = np.bitwise_count((found[:, None] ^ found[None]).view(np.uint64)).sum(axis=2)
+    for k, (a, b) in enumerate(pairs):
+        d = lines.edit_distance(a, b)
+        assert bits[2 * k, 2 * k + 1] <= 2 * d
+        for most in (0, d // 2, d - 1, d, d + 1):
+            got = lines.edit_distance(a, b, most)
+            assert got == d if most >= d else got > most
+    unlike = [(i, j) for i in range(0, len(texts), 2) for j in range(i) if j // 2 != i // 2]
+    assert sum(bits[i, j] <= 2 * int(0.2 * max(len(texts[i].split()), len(texts[j].split()))) for i, j in unlike) < 0.02 * len(unlike)
+
+
 def test_thinning_drops_only_what_has_no_partner():
     rnd = random.Random(13)
     data = np.array([(rnd.randrange(30), i, rnd.choice([5, 10, 30, 255]), rnd.choice([0, 3, 9, 255])) for i in range(300)], lines._KEY)
