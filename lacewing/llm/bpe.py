@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lacewing.llm.common import replace_columns
+from lacewing.llm.common import replace_columns, small_batches, trimmed
 
 #: Bounds of what a worker keeps: moves of the machine, and twice as many bytes of whole words of at most LONGEST_KEPT characters.
 TRANSITIONS_KEPT, WORDS_BYTES, LONGEST_KEPT = 300_000, 20 << 20, 40
@@ -444,31 +444,42 @@ _MADE: dict[tuple, object] = {}
 
 
 def _worker(kind: str, vocabulary: bytes, pattern: str = ""):
-    """The worker process's own encoder or decoder, made once."""
+    """The worker process's own encoder or decoder, made once a task; _released() forgets it."""
     key = kind, hash(vocabulary), pattern
     if key not in _MADE:
         _MADE[key] = Encoder(vocabulary, pattern) if kind == "encode" else Decoder({rank: token for token, rank in load_ranks(vocabulary).items()})
     return _MADE[key]
 
 
+def _released() -> None:
+    """Forget the worker's tables when a task ends: workers outlive it, and idle or in later stages of other kinds they would hold them still."""
+    _MADE.clear()
+    trimmed()
+
+
 def _extended(df: DataFrame, source: str, targets: dict[str, T.DataType], make: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
     """df with more columns, made from the values of another in Arrow batches of bounded size; make() gives, in a task, the function of a
     list of values to a list of values for each target."""
     df = replace_columns(df, *targets)
+    small_batches(df.sparkSession)
     at, arrow = df.columns.index(source), [{"binary": pa.binary(), "string": pa.string()}[kind.simpleString()] for kind in targets.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            begin, held, values = 0, 0, []
-            for i, value in enumerate(batch.column(at)):
-                values.append(value.as_py())
-                held += len(values[-1] or ())
-                if held > BATCH_BYTES or i + 1 == batch.num_rows:
-                    part = batch.slice(begin, i + 1 - begin)
-                    made = [pa.array(x, kind) for x, kind in zip(f(values), arrow, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *targets])
-                    begin, held, values = i + 1, 0, []
+        try:
+            for batch in batches:
+                begin, held, values = 0, 0, []
+                for i, value in enumerate(batch.column(at)):
+                    values.append(value.as_py())
+                    held += len(values[-1] or ())
+                    if held > BATCH_BYTES or i + 1 == batch.num_rows:
+                        part = batch.slice(begin, i + 1 - begin)
+                        made = [pa.array(x, kind) for x, kind in zip(f(values), arrow, strict=True)]
+                        yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *targets])
+                        begin, held, values = i + 1, 0, []
+        finally:
+            f = None
+            _released()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(name, kind) for name, kind in targets.items()]]))
 
