@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import glob
+import random
 import tempfile
 import time
 
@@ -66,3 +67,20 @@ def test_shuffles_of_tables_that_are_gone_are_dropped(spark):
         if not own & files():
             break
     assert not own & files()
+
+
+def test_rounds_of_the_second_comparison_have_plans_of_one_size(spark, monkeypatch):
+    """A round's pairs are a table; its plan doesn't hold those of the rounds before."""
+    sizes, close = [], lines._close
+
+    def watched(pairs, of):
+        sizes.append(pairs._jdf.queryExecution().analyzed().toString().count("Join"))
+        return close(pairs, of)
+
+    monkeypatch.setattr(lines, "_close", watched)
+    monkeypatch.setattr(lines, "MOST_PAIRS", (1, 2))
+    rnd, base = random.Random(8), [f"w{k}" for k in range(40)]
+    texts = [" ".join(w if rnd.random() < 0.93 else f"x{rnd.randrange(10**6)}" for w in base) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines.deduplicate_lines(docs).count()
+    assert len(sizes) > 2 and max(sizes) == 0
