@@ -33,7 +33,7 @@ def coding_positions(frames: DataFrame, genome: DataFrame, slip: tuple[str, int]
     """(idx, pos, orf, base, gene, place): the bases of the coding frames one after the other, by their first position, numbered from 1. gene is the frame's
     number (column orf of frames), place the base's own number in it. The slip's position has two rows, and so has one in two frames.
 
-    Frames are laid out to positions, so bases come by an equi-join.
+    Frames are laid out to positions, so bases come by an equi-join. Spark takes what was laid out for as small as the frames, so it is told not to broadcast it.
     """
     extra = F.lit(0) if slip is None else F.when(F.col("name") == slip[0], 1).otherwise(0)
     genes = frames.where("region = 'CDS'").withColumn("length", F.col("last") - F.col("first") + 1 + extra)
@@ -43,7 +43,7 @@ def coding_positions(frames: DataFrame, genome: DataFrame, slip: tuple[str, int]
     place = offset_in_frame(F.col("pos"), F.col("first"), F.col("name"), slip)
     twice = F.lit(False) if slip is None else (F.col("name") == slip[0]) & (F.col("pos") - F.col("first") + 1 == slip[1])
     laid = laid.withColumn("place", F.explode(F.when(twice, F.array(place, place + 1)).otherwise(F.array(place))))
-    rows = laid.join(genome, "pos")
+    rows = laid.hint("merge").join(genome, "pos")
     return rows.select((F.col("before") + F.col("place")).cast("long").alias("idx"), "pos", F.col("name").alias("orf"), "base", F.col("orf").alias("gene"), F.col("place").cast("long").alias("place"))
 
 

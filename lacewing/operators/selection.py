@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacewing.operators.coding import amino, codon_position, codons, coding_positions, offset_in_frame, with_noncoding  # noqa: F401 - part of this module's names
 from lacewing.operators.contexts import folded
-from lacewing.operators.windows import window_starts
+from lacewing.operators.windows import summed, window_starts
 
 
 def possible_changes(coding: DataFrame) -> DataFrame:
@@ -36,20 +36,25 @@ def expected_by_codon(changes: DataFrame, prevalence: DataFrame) -> DataFrame:
 
 
 def expected_windows(by_codon: DataFrame, length: Column, width: int = 300, step: int = 3) -> DataFrame:
-    """(cluster, start, e_ns, e_s) of windows over the coding index; each codon is sent to the windows that hold its first base, so no order over the genome is needed."""
-    starts = window_starts(F.col("at"), width, step, F.col("length"))
-    placed = by_codon.withColumn("length", length).select("cluster", "e_ns", "e_s", F.explode(starts).alias("start"))
-    return placed.groupBy("cluster", "start").agg(F.sum("e_ns").alias("e_ns"), F.sum("e_s").alias("e_s"))
+    """(cluster, start, e_ns, e_s) of windows over the coding index, which hold the codons whose first base they hold."""
+    return summed(by_codon, "at", ["e_ns", "e_s"], length, width, step)
 
 
 def observed_windows(mutations: DataFrame, coding: DataFrame, length: Column, width: int = 300, step: int = 3) -> DataFrame:
-    """(cluster, start, n_ns, n_s, n_always_clonal, n_always_minor, n_mixed): distinct variants (cluster, pos, effect, type) by window of the coding index."""
-    rows = mutations.distinct().join(coding.select("pos", "idx"), "pos").withColumn("length", length)
-    placed = rows.select("cluster", "pos", "effect", "type", F.explode(window_starts(F.col("idx"), width, step, F.col("length"))).alias("start")).distinct()
+    """(cluster, start, n_ns, n_s, n_always_clonal, n_always_minor, n_mixed): distinct variants (cluster, pos, effect, type) by window of the coding index.
+
+    A variant that has several indices counts once in a window that holds several of them: for each two that follow each other, the windows that hold both take one off.
+    """
     kinds = ("always clonal", "always minor", "mixed")
-    return placed.groupBy("cluster", "start").agg(
-        *[F.count_if(F.col("effect") == e).alias(f"n_{e.lower()}") for e in ("NS", "S")], *[F.count_if(F.col("type") == k).alias("n_" + k.replace(" ", "_")) for k in kinds]
-    )
+    of = {f"n_{e.lower()}": F.col("effect") == e for e in ("NS", "S")} | {"n_" + k.replace(" ", "_"): F.col("type") == k for k in kinds}
+    earlier = F.lag("idx").over(Window.partitionBy("pos").orderBy("idx"))
+    places = coding.select("pos", "idx").distinct().withColumn("earlier", earlier)
+    rows = mutations.distinct().join(places, "pos").select("cluster", "idx", "earlier", *[F.coalesce(c, F.lit(False)).cast("long").alias(name) for name, c in of.items()])
+    counts = summed(rows.drop("earlier"), "idx", list(of), length, width, step)
+    twice = rows.where(F.col("idx") - F.col("earlier") < width).withColumn("length", length)
+    both = F.array_intersect(*[window_starts(F.col(c), width, step, F.col("length")) for c in ("idx", "earlier")])
+    less = twice.select("cluster", F.explode(both).alias("start"), *[(-F.col(name)).alias(name) for name in of])
+    return counts.unionByName(less).groupBy("cluster", "start").agg(*[F.sum(name).alias(name) for name in of])
 
 
 def ratio_of(n_ns: str, n_s: str, e_ns: str, e_s: str) -> Column:

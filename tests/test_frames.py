@@ -14,7 +14,9 @@ from lacewing.operators import intervals as I
 from lacewing.operators import landscape as L
 from lacewing.operators import phylogeny as P
 from lacewing.operators import reports as R
+from lacewing.operators import selection as Z
 from lacewing.operators import stats as S
+from lacewing.operators import windows as W
 from lacewing.sources import text as X
 
 FRAMES = "orf int, first int, last int, region string, name string"
@@ -201,3 +203,35 @@ def test_call_and_depth_files(spark, tmp_path):
     X.write_call_files(X.bridged(calls, depths), str(tmp_path / "again"))
     (calls, bad), (depths, _) = (read(spark, str(tmp_path / "again" / what), r"/sample=([^/]+)/[^/]*$") for read, what in ((X.read_call_files, "calls"), (X.read_depth_files, "depth")))
     assert {(r.sample, r.variant): (r.vf, r.alt_count, r.pvalue, r.coverage) for r in X.bridged(calls, depths).collect()} == got and bad.count() == 0
+
+
+def test_positions_of_frames_are_not_broadcast(spark):
+    """Spark takes what is laid out from a few intervals for a few rows."""
+    genome = spark.range(1, 200_001).selectExpr("id as pos", "'A' as base")
+    coding = K.coding_positions(spark.createDataFrame([(0, 1, 200_000, "CDS", "A")], FRAMES), genome)
+    assert coding.count() == 200_000 and "Broadcast" not in coding._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_equal_brute_force_and_are_not_listed_by_row(spark, monkeypatch):
+    monkeypatch.setattr(W, "STRETCH", 40)
+    draw = random.Random(3)
+    for width, step in ((30, 3), (10, 4), (7, 7)):
+        length, starts = 200, range(1, 200 - width + 2, step)
+        rows = [(c, draw.randint(0, length), draw.choice(["NS", "S"])) for c in ("a", "b", None) for _ in range(12)]
+        df = spark.createDataFrame(rows, "cluster string, pos long, effect string")
+        got = {(r.cluster, r.start): (r.n_ns, r.n_s) for r in W.sliding_counts(df, F.lit(length), width, step).collect()}
+        held = {(c, s): {(p, e) for k, p, e in rows if k == c and s <= p < s + width} for c in ("a", "b", None) for s in starts}
+        assert got == {k: tuple(sum(e == x for _, e in v) for x in ("NS", "S")) for k, v in held.items() if v}
+        windows = [("a", s, draw.choice([None, draw.random()])) for s in starts if draw.random() < 0.3]
+        means = {r.pos: r["mean"] for r in W.smoothed(spark.createDataFrame(windows, "cluster string, start long, ratio double"), "ratio", width, step).collect()}
+        of = {p: [v for _, s, v in windows if s <= p < s + width] for p in range(1, length + 1)}
+        expected = {p: [v for v in vs if v is not None] for p, vs in of.items() if vs}
+        assert means.keys() == expected.keys() and all(means[p] is None if not v else math.isclose(means[p], sum(v) / len(v)) for p, v in expected.items())
+        places = [(p, i) for p in range(1, 60) for i in sorted(draw.sample(range(1, length), draw.randint(1, 4)))]
+        seen = [("a", p, draw.choice(["NS", "S"]), draw.choice(["mixed", "always minor"])) for p in draw.sample(range(1, 60), 30)]
+        coding = spark.createDataFrame(places, "pos long, idx long")
+        got = {r.start: (r.n_ns, r.n_s, r.n_mixed) for r in Z.observed_windows(spark.createDataFrame(seen, "cluster string, pos long, effect string, type string"), coding, F.lit(length), width, step).collect()}
+        held = {s: {x for x in seen if any(p == x[1] and s <= i < s + width for p, i in places)} for s in starts}
+        assert got == {s: (sum(x[2] == "NS" for x in v), sum(x[2] == "S" for x in v), sum(x[3] == "mixed" for x in v)) for s, v in held.items() if v}
+    plan = W.sliding_counts(df, F.lit(10**6))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") >= 2  # rows go to stretches and are summed up there
