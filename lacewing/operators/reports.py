@@ -9,6 +9,8 @@ from lacewing.operators.contexts import CLASSES, FOLDED
 
 #: Substitutions by complementary pair, in the order of their numbers.
 PAIRS = tuple((change, next(other for other, same in FOLDED.items() if same == change)) for change in CLASSES)
+#: Characters of names in a lot of merged variants that are told apart together.
+LOT = 1 << 26
 
 
 def parsed(variant: Column) -> dict[str, Column]:
@@ -176,13 +178,30 @@ def nearest(points: DataFrame, positions: DataFrame, width: int) -> DataFrame:
 
 
 def split_merged(merged: DataFrame) -> DataFrame:
-    """(name, variant, first): each variant of a merged name a|b|c, and whether it is the one that stands for all."""
-    return merged.select("name", F.posexplode(F.split("name", r"\|")).alias("i", "variant")).select("name", "variant", (F.col("i") == 0).alias("first"))
+    """(name, variant, first): each variant of a merged name a|b|c, and whether it is the one that stands for all.
+
+    The result has each name as often as it has variants, so it grows with their square. It is therefore made in lots of about LOT characters, dealt over all tasks, and the longest
+    names come first in each: a writer that guesses from the first rows how many of them it may hold never holds too many.
+    """
+    parts = F.split("name", r"\|")
+    lots = F.greatest(F.lit(1), F.ceil(F.length("name").cast("long") * F.size(parts) / LOT)).cast("int")
+    dealt = merged.select("name", lots.alias("lots")).select("name", "lots", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+    dealt = dealt.repartition("name", "lot").sortWithinPartitions(F.length("name").desc())
+    each = F.ceil(F.size(parts) / F.col("lots")).cast("int")
+    own = dealt.select("name", "lot", F.posexplode(F.slice(parts, F.col("lot") * each + 1, each)).alias("i", "variant"))
+    return own.select("name", "variant", ((F.col("lot") == 0) & (F.col("i") == 0)).alias("first"))
+
+
+def stand_ins(members: DataFrame) -> DataFrame:
+    """(variant, first, name): the name of those of the merged variants that stand for all, null for the others."""
+    return members.select("variant", "first", F.when(F.col("first"), F.col("name")).alias("name"))
 
 
 def represented(states: DataFrame, names: DataFrame, members: DataFrame) -> DataFrame:
-    """States (sample, variant, state) with one column for each group of merged variants: others are dropped, and it is renamed to the group's name."""
-    rows = states.join(names, "pos").join(members, "variant", "left").where("first is null or first")
+    """States (sample, variant, state) with one column for each group of merged variants: others are dropped, and it is renamed to the group's name.
+
+    members: as of split_merged, not stored, so that names of variants that are dropped go where they are made."""
+    rows = states.join(names, "pos").join(stand_ins(members), "variant", "left").where("first is null or first")
     return rows.select("sample", F.coalesce("name", "variant").alias("variant"), "state")
 
 

@@ -196,7 +196,7 @@ def merged_variants(spark, d):
 @query("select sample as clade, coalesce(name, variant) as variant, state::int as state from shared join variants using (pos) left join parts using (variant) where \"first\" is null or \"first\"", *Q.CLONAL, T.SAMPLES, T.VARIANTS, BY_CLADE)
 def represented_variants(spark, d):
     shared, names = _by_clade(spark, d), T.variants(spark, d).select("pos", "variant")
-    return R.represented(shared, names, cut(R.split_merged(P.indistinguishable(shared, names)))).withColumnRenamed("sample", "clade")
+    return R.represented(shared, names, R.split_merged(P.indistinguishable(shared, names))).withColumnRenamed("sample", "clade")
 
 
 @query("select variant, pos, ref, alt, label, i::int as pair, 'pair ' || i as name, label like '%A' as adenine from (select *, case ref || '>' || alt when 'C>A' then 'C>A | G>T' when 'G>T' then 'C>A | G>T' when 'C>G' then 'C>G | G>C' when 'G>C' then 'C>G | G>C' when 'C>T' then 'C>T | G>A' when 'G>A' then 'C>T | G>A' when 'T>A' then 'T>A | A>T' when 'A>T' then 'T>A | A>T' when 'T>C' then 'T>C | A>G' when 'A>G' then 'T>C | A>G' else 'T>G | A>C' end as label from variants) join (select unnest(['C>A | G>T', 'C>G | G>C', 'C>T | G>A', 'T>A | A>T', 'T>C | A>G', 'T>G | A>C']) as label, unnest(range(1, 7)) as i) using (label)", T.VARIANTS)

@@ -44,6 +44,18 @@ def test_coding_positions_and_expected_changes(spark):
     assert overall.n_ns == overall.n_s == 1 and math.isclose(overall.dnds, overall.e_s / overall.e_ns)
 
 
+def test_many_merged_variants_are_told_apart_in_lots(spark, monkeypatch):
+    monkeypatch.setattr(R, "LOT", 2000)
+    names = spark.range(1, 121).selectExpr("id as pos", "concat(id, '_A_C') as variant")
+    states = names.selectExpr("pos % 2 as sample", "pos", "1 as state")
+    members = R.split_merged(P.indistinguishable(states, names))
+    groups = {k: [f"{i}_A_C" for i in range(1, 121) if i % 2 == k] for k in (0, 1)}
+    assert {(r.name, r.variant, r.first) for r in members.collect()} == {("|".join(g), v, v == g[0]) for g in groups.values() for v in g} and members.count() == 120
+    # each name is kept once, not with each of its variants
+    assert R.stand_ins(members).agg(F.sum(F.length("name"))).first()[0] == sum(len("|".join(g)) for g in groups.values())
+    assert {(r.sample, r.variant) for r in R.represented(states, names, members).collect()} == {(k, "|".join(g)) for k, g in groups.items()}
+
+
 def test_merged_columns_are_split_and_represented(spark):
     rows = [(1, 10, 1), (2, 10, 1), (1, 11, 1), (2, 11, 1), (1, 12, 1)]
     states, names = spark.createDataFrame(rows, "sample int, pos int, state int"), spark.createDataFrame([(p, f"v{p}") for p in (10, 11, 12)], "pos int, variant string")
