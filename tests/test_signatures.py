@@ -194,3 +194,42 @@ def test_kmeans_costs_no_more_than_the_best_of_five(spark):
     assert [{r.label for r in got if r.sample // 40 == g} for g in range(3)] == [{"SC#3"}, {"SC#2"}, {"SC#1"}]
     assert G.centres_of(frame.limit(0), 3, 5) is None
     assert len(G.centres_of(frame.limit(1), 3, 5)[0]) == 3
+
+
+def test_fits_by_turns_equal_every_set():
+    rng = np.random.default_rng(8)
+    for k in (4, 5, 6):
+        betas = rng.random((20, k, 6)) * (rng.random((20, k, 6)) < 0.7)
+        betas[3, 1] = betas[3, 0]  # dependent
+        xs = rng.poisson(rng.gamma(1, 10, size=(50, 6))).astype(float)
+        grams, targets = betas @ betas.transpose(0, 2, 1), xs @ betas.transpose(0, 2, 1)
+        value = lambda x: ((x @ grams) * x).sum(axis=2) / 2 - (x * targets).sum(axis=2)  # noqa: E731, B023
+        x, every = N.fits(grams, targets), N._listed(grams, targets)
+        assert (x >= 0).all() and np.allclose(value(x), value(every), rtol=1e-9, atol=1e-7)
+
+
+def test_replicates_are_tested_where_they_are_drawn(spark):
+    rng = np.random.default_rng(6)
+    beta = np.array([[5, 1, 0.5, 0], [0, 2, 3, 1], [1, 0, 0, 4.0]])
+    rows = [(i, [float(v) for v in rng.poisson(20 * rng.random(3) @ beta)]) for i in range(12)] + [(99, [0.0] * 4), (100, [3.0, 0.0, 0.0, 0.0])]
+    samples = spark.createDataFrame(rows, "sample long, x array<double>")
+    fused = G.tested(samples, beta, 60)
+    plan = fused._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Window", "Join", "Aggregate", "Explode"))
+    expected = {(r.sample, r.signature): (r.mean, r.p) for r in G.significance(G.bootstrap(samples, beta, 60)).collect()}
+    got = {(r.sample, r.signature): (r.mean, r.p) for r in fused.collect()}
+    assert got.keys() == expected.keys() and len(got) == 42
+    for key, (mean, p) in expected.items():
+        assert got[key][0] == pytest.approx(mean) and (got[key][1] is None) == (p is None) and (p is None or got[key][1] == pytest.approx(p))
+
+
+def test_samples_with_equal_counts_are_fitted_once(spark):
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate([(9, 1, 0), (0, 4, 4), (2, 2, 7)] * 5)]
+    samples = spark.createDataFrame(rows, "sample long, x array<double>")
+    once = N.distinct(samples)
+    assert {(tuple(r.x), r.n) for r in once.collect()} == {((9.0, 1.0, 0.0), 5), ((0.0, 4.0, 4.0), 5), ((2.0, 2.0, 7.0), 5)}
+    betas = N.restarts(samples, [2], 3, 3, 5)
+    each = samples.withColumn("n", F.lit(1))
+    assert np.allclose(betas[2], N.restarts(each, [2], 3, 3, 5)[2])
+    assert np.allclose(N.best(once, betas)[2][1], N.best(each, betas)[2][1]) and N.best(once, betas)[2][1][0] == 15
+    assert sum(r.n for r in N.label_classes(once, betas).collect()) == 15
