@@ -123,3 +123,13 @@ def test_nexus(spark, tmp_path):
     assert con == {"x": ("a.nex#con:1", 0.5), "b": ("a.nex#con:1", 1.0), "a.nex#con:1": ("a.nex#con:2", 0.25), "3": ("a.nex#con:2", 2.0)}
     assert sorted((r.child, r.length) for r in rows if r.tree == "two") == [("b", None), ("x", None)]
     assert X.read_nexus(spark, str(tmp_path / "b.nex")).count() == 0
+
+
+def test_many_small_files_go_to_few_tasks(spark, tmp_path):
+    calls = spark.range(300).selectExpr("id as sample", "id + 1 as pos", "'A' as ref", "'C' as alt", "0.5 as vf", "3.0 as alt_count", "0.01 as pvalue", "30.0 as coverage")
+    X.write_call_files(calls, str(tmp_path))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    with X.small_files(spark):
+        (rows, bad), (depths, _) = X.read_call_files(spark, f"{tmp_path}/calls", r"/sample=([^/]+)/[^/]*$"), X.read_depth_files(spark, f"{tmp_path}/depth", r"/sample=([^/]+)/[^/]*$")
+        assert rows.rdd.getNumPartitions() <= 8 and rows.count() == depths.count() == 300 and bad.count() == 0
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before and X.BY_TASK[1] == "2"
